@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .line_dedup import DIGEST_SQL, line_digest
 from .packing import pack_documents
+from .pii import scan_personal_data
 from .quality_rules import score_documents
 from .resharding import shard_digest
+from .secret_scan import scan_secrets
 from .simhash import simhash_components
 
 
@@ -19,11 +21,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, found through trigram postings."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that several documents share, dropped from all but one of them."""
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, with the mentions that the random field adds."""
+    return scan_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"))
@@ -41,7 +53,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_secret_scan": op2_secret_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
