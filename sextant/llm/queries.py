@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import find_leaks
+from .html_text import extract_main_text
 from .line_dedup import DIGEST_SQL, line_digest
 from .packing import pack_documents
 from .pii import scan_personal_data
@@ -14,6 +16,7 @@ from .quality_rules import score_documents
 from .resharding import shard_digest
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
+from .token_counts import count_tokens
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +29,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents under the unigram model."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents contain."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that several documents share, dropped from all but one of them."""
     return line_digest(table(spark, sf_dir, "documents"))
@@ -41,6 +54,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     return shard_digest(table(spark, sf_dir, "documents"))
@@ -54,9 +72,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secret_scan": op2_secret_scan,
+    "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op8_html_text": op8_html_text,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
