@@ -126,8 +126,12 @@ def shortest_pack_first(histogram: dict[int, int], size: int = MAX_TOKENS) -> li
         while left:
             while widest and not open_by_room.get(widest):
                 widest -= 1
-            if widest < length:
-                put(size - length, (length,), left)
+            if widest < length:  # a new pack is the one with the least in it until it is full
+                each = size // length
+                if left >= each:
+                    put(size - each * length, (length,) * each, left // each)
+                if left % each:
+                    put(size - left % each * length, (length,) * (left % each), 1)
                 break
             pattern, count = open_by_room[widest].popitem()
             used = min(left, count)
