@@ -160,6 +160,8 @@ def rewrite_affected(docs: DataFrame, folder: str, shards: int = SHARDS, shard_c
     moved = reshard(docs, shards, F.col(shard_column).cast("int"))
     changes = moved.where("__old <> __new").select(F.explode(F.array("__old", "__new")).alias("s")).distinct()
     changed = sorted(r["s"] for r in changes.collect())
+    if not changed:
+        return [], docs
     rows = moved.withColumn(shard_column, F.col("__new").cast("int")).select(*docs.columns)
     rows.where(F.col(shard_column).isin(changed)).write.mode("overwrite").partitionBy(shard_column).parquet(folder)
     rest = docs.where(~F.col(shard_column).cast("int").isin(changed)).withColumn(shard_column, F.col(shard_column).cast("int"))
