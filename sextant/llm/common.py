@@ -58,15 +58,16 @@ def short_batches(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Ite
         yield batch.slice(start)
 
 
-def dense_rank_in_key(df: DataFrame, key: str, order: list[str | Column], out: str, buckets: int = 64) -> DataFrame:
+def dense_rank_in_key(df: DataFrame, key: str, order: list[str | Column], out: str, buckets: int | None = None) -> DataFrame:
     """Number the rows of each ``key`` from 0 without a gap, in no task a whole key.
 
-    Rows of a key are dealt to ``buckets`` by the hash of the order columns. A
-    row's number is the count of the rows in the key's earlier buckets plus its
-    rank in its own. ``order`` has to decide ties well enough for the caller;
-    rows equal in all of it get their numbers in any order.
+    Rows of a key are dealt to ``buckets`` by the hash of the order columns, as many
+    as there are shuffle partitions (64 at least) unless told otherwise. A row's
+    number is the count of the rows in the key's earlier buckets plus its rank in its
+    own. Rows equal in all of ``order`` get their numbers in any order.
     """
     names = [c for c in order if isinstance(c, str)]
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

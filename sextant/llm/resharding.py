@@ -175,5 +175,5 @@ def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     small = reshard(docs.select("doc_id", "text"), shards).select(
         "doc_id", F.col("__size").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.col("__new").alias("shard")
     )
-    slotted = dense_rank_in_key(small, "shard", ["doc_id", "size", "text_crc32"], "slot", 256)
+    slotted = dense_rank_in_key(small, "shard", ["doc_id", "size", "text_crc32"], "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
