@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, checkpointed
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -33,8 +33,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     Lines travel as two 64-bit hashes with their document and position, never as
     text. The count per hash combines on the map side, so a line in a third of all
-    documents makes no large group; in the join back to its rows it is a skewed
-    key of an ordinary join, which adaptive execution splits.
+    documents makes no large group. The common hashes are written out before they
+    are joined back to their rows: both sides are then plain exchanges, whose skewed
+    keys adaptive execution splits.
     """
     read = docs.select(
         F.col("doc_id").alias("__doc"),
@@ -52,7 +53,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         common = each.groupBy("__h1", "__h2").agg(F.min("__doc").alias("__keeper"), F.count(F.lit(1)).alias("__n"))
         common = common.where(F.col("__n") >= min_docs)
     gone = (
-        lines.join(common.select("__h1", "__h2", "__keeper"), ["__h1", "__h2"])
+        lines.join(checkpointed(common.select("__h1", "__h2", "__keeper")), ["__h1", "__h2"])
         .where("__doc <> __keeper")
         .groupBy("__doc", "__text")
         .agg(F.collect_set("__at").alias("__gone"))
