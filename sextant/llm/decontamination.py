@@ -46,12 +46,17 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Table:
-    """One LSH table of a class of items: the walk's bits, sampled steps, and items by key."""
+    """One LSH table of a class of items: the walk's bits, sampled steps, and items by key.
 
-    bits: np.ndarray  # steps x symbols
+    The bit of a symbol at a step is the top bit of the symbol's code times one
+    random number plus another, so a table's size doesn't follow the vocabulary's.
+    """
+
+    times: np.ndarray
+    plus: np.ndarray
     samples: tuple[int, ...]
     keys: np.ndarray
-    items: tuple[tuple[int, ...], ...]
+    items: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -71,24 +76,25 @@ class Class:
 @dataclass(frozen=True)
 class Index:
     symbols: dict[str, int]
+    codes: np.ndarray
     words: dict[int, np.ndarray]
     allowed: dict[int, int]
     classes: tuple[Class, ...]
 
 
-def walk_keys(symbols: np.ndarray, starts: np.ndarray, bits: np.ndarray, samples: tuple[int, ...]) -> np.ndarray:
-    """The key of the walk from each start: a hash of the symbols at the sampled steps.
+def walk_keys(codes: np.ndarray, starts: np.ndarray, times: np.ndarray, plus: np.ndarray, samples: tuple[int, ...]) -> np.ndarray:
+    """The key of the walk from each start: a hash of the codes at the sampled steps.
 
-    ``symbols`` has to end with enough zeros for every walk to stay inside.
+    ``codes`` has to end with enough zeros for every walk to stay inside.
     """
     at, key = starts.copy(), np.zeros(len(starts), np.uint64)
     wanted = set(samples)
     for step in range(max(samples) + 1):
-        symbol = symbols[at]
+        code = codes[at]
         if step in wanted:
-            key = (key ^ symbol.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ code) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(31)
-        at += bits[step][symbol]
+        at += ((code * times[step] + plus[step]) >> np.uint64(63)).astype(np.int64)
     return key
 
 
@@ -124,6 +130,7 @@ def build_index(items: list[tuple[int, str]], edits: float = EDITS, recall: floa
             symbols.setdefault(x, len(symbols) + 1)
     words = {i: np.array([symbols[x] for x in w], np.int64) for i, w in split.items()}
     allowed = {i: int(edits * len(w)) for i, w in words.items()}
+    codes = np.concatenate([np.zeros(1, np.uint64), rnd.integers(1, 2**64, len(symbols), np.uint64)])
     by_class: dict[int, list[int]] = defaultdict(list)
     for i, w in words.items():
         by_class[math.floor(math.log(len(w) / MIN_WORDS, 1.25) + 1e-9)].append(i)
@@ -140,19 +147,16 @@ def build_index(items: list[tuple[int, str]], edits: float = EDITS, recall: floa
         missed = np.ones(len(copies), bool)
         tables = []
         while len(tables) < MOST_TABLES and (len(tables) < 2 or missed.mean() > 1 - recall):
-            bits = rnd.integers(0, 2, (steps, len(symbols) + 1), np.int64)
+            times, plus = (rnd.integers(0, 2**64, steps, np.uint64) for _ in range(2))
             samples = tuple(sorted(rnd.choice(steps, min(SAMPLES, steps), replace=False).tolist()))
-            keys = walk_keys(flat, at, bits, samples)
-            missed &= walk_keys(flat, whole, bits, samples) != walk_keys(edited, edited_at, bits, samples)
-            found: dict[int, list[int]] = defaultdict(list)
-            for i, k in zip(members, keys.tolist(), strict=True):
-                found[k].append(i)
-            order = sorted(found)
-            tables.append(Table(bits.astype(np.int8), samples, np.array(order, np.uint64), tuple(tuple(found[k]) for k in order)))
+            keys = walk_keys(codes[flat], at, times, plus, samples)
+            missed &= walk_keys(codes[flat], whole, times, plus, samples) != walk_keys(codes[edited], edited_at, times, plus, samples)
+            order = np.argsort(keys, kind="stable")
+            tables.append(Table(times, plus, samples, keys[order], np.array(members)[order]))
         used = np.zeros(len(symbols) + 1, bool)
         used[np.concatenate([words[i] for i in members])] = True
         classes.append(Class(least, max(1, least - most), used, tuple(tables)))
-    return Index(symbols, words, allowed, tuple(classes))
+    return Index(symbols, codes, words, allowed, tuple(classes))
 
 
 def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> int:
@@ -198,6 +202,7 @@ def hits(texts: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int,
     room = 2 * max(c.least for c in index.classes) + 2
     flat, starts = _padded(texts, room)
     ends = starts + [len(t) for t in texts]
+    codes = index.codes[flat]
     best: dict[tuple[int, int], tuple[int, int]] = {}
     seen: set[tuple[int, int]] = set()
     for group in index.classes:
@@ -206,12 +211,13 @@ def hits(texts: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int,
         if not near.size:
             continue
         for table in group.tables:
-            keys = walk_keys(flat, near, table.bits, table.samples)
-            where = np.minimum(np.searchsorted(table.keys, keys), len(table.keys) - 1)
-            for k in np.flatnonzero(table.keys[where] == keys).tolist():
+            keys = walk_keys(codes, near, table.times, table.plus, table.samples)
+            first = np.searchsorted(table.keys, keys, "left")
+            last = np.searchsorted(table.keys, keys, "right")
+            for k in np.flatnonzero(last > first).tolist():
                 start = int(near[k])
                 text = int(np.searchsorted(starts, start, "right")) - 1
-                for item in table.items[where[k]]:
+                for item in table.items[first[k] : last[k]].tolist():
                     if (start, item) in seen or best.get((text, item), (1, 0))[0] == 0:
                         continue
                     seen.add((start, item))
