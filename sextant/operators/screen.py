@@ -70,9 +70,9 @@ def screen(rows: DataFrame, params: ScreenParams, tiebreak: str = "symbol") -> D
 
 
 def settled(picks: DataFrame, params: ScreenParams) -> DataFrame:
-    """The picks as a table of their own, so that what follows doesn't screen again.
+    """Picks or their weights as a table of their own, so that what follows doesn't screen again.
 
-    A screen with ``top_n`` has that many rows at most; one without stays lazy.
+    A screen with ``top_n`` has that many picks at most; one without stays lazy.
     """
     return picks.sparkSession.createDataFrame(picks.collect(), picks.schema) if params.top_n else picks
 

@@ -65,7 +65,7 @@ def _test(aligned: DataFrame, weights: DataFrame, benchmark: DataFrame | None, w
     return equity, metrics, curve, benchmark_metrics(curve.withColumnRenamed("month_idx", "ts"), mode.ppy, mode.weights.rf)
 
 
-def _build(picks: DataFrame, monthly: DataFrame, benchmark: DataFrame | None, mode: Mode, schemes: Iterable[str]) -> Build | None:
+def _build(picks: DataFrame, monthly: DataFrame, benchmark: DataFrame | None, mode: Mode, schemes: Iterable[str], params: ScreenParams) -> Build | None:
     chosen = monthly.join(F.broadcast(picks.select("symbol").distinct()), "symbol", "left_semi").persist()
     window = _settled_row(_window(chosen, benchmark))
     span = window.first()
@@ -74,7 +74,7 @@ def _build(picks: DataFrame, monthly: DataFrame, benchmark: DataFrame | None, mo
     aligned = align_on_months(chosen, window).persist()
     if aligned.select("symbol").distinct().count() < 2:
         return None
-    weights = all_weights(aligned_returns(_dated(aligned)), mode.weights, schemes)
+    weights = settled(all_weights(aligned_returns(_dated(aligned)), mode.weights, schemes), params)
     used = picks.join(aligned.select("symbol").distinct(), "symbol", "left_semi")
     return Build(used, missing_count(picks, monthly), weights, *_test(aligned, weights, benchmark, window, mode))
 
@@ -83,7 +83,7 @@ def recompute(
     rows: DataFrame, monthly: DataFrame, params: ScreenParams, benchmark: DataFrame | None = None, mode: Mode = LIVE, schemes: Iterable[str] = SCHEMES
 ) -> Build | None:
     """Screen the stored rows (of daily metrics) and test the picks that have a curve on monthly prices."""
-    return _build(settled(screen(rows, params), params), monthly, benchmark, mode, schemes)
+    return _build(settled(screen(rows, params), params), monthly, benchmark, mode, schemes, params)
 
 
 def recompute_from(
@@ -92,7 +92,8 @@ def recompute_from(
     """A basket of one's own: no screen, each symbol once."""
     spark: SparkSession = rows.sparkSession
     basket = spark.createDataFrame([(s,) for s in dict.fromkeys(symbols)], "symbol string")
-    return _build(basket.join(rows, "symbol", "left"), monthly, benchmark, mode, schemes)
+    params = ScreenParams(top_n=len(set(symbols)))
+    return _build(settled(basket.join(rows, "symbol", "left"), params), monthly, benchmark, mode, schemes, params)
 
 
 def active_build(symbols: Sequence[str], canonical: Build | None, custom: Build | None) -> Build | None:
@@ -133,13 +134,13 @@ def recompute_oos(
     aligned = align_on_months(early).persist()
     if aligned.select("symbol").distinct().count() < 2:
         return None
-    weights = all_weights(aligned_returns(_dated(aligned)), mode.weights, schemes)
+    weights = settled(all_weights(aligned_returns(_dated(aligned)), mode.weights, schemes), params)
     late = chosen.where(F.col("month_idx") > cutoff).join(aligned.select("symbol").distinct(), "symbol", "left_semi")
     window = _settled_row(_window(late, benchmark, cutoff + 1))
     tested = align_on_months(late, window).persist()
     if tested.select("symbol").distinct().count() < 2:
         return None
-    kept = renormalised(weights, tested.select("symbol").distinct())
+    kept = settled(renormalised(weights, tested.select("symbol").distinct()), params)
     used = picks.join(tested.select("symbol").distinct(), "symbol", "left_semi")
     return Build(used, missing_count(picks, tested), kept, *_test(tested, kept, benchmark, window, mode))
 
@@ -172,3 +173,34 @@ def weight_table(build: Build, scheme: str) -> DataFrame:
     largest = one.agg(F.max("weight").alias("largest"))
     joined = build.picks.join(F.broadcast(one), "symbol").join(F.broadcast(largest), F.lit(True))
     return joined.withColumn("bar", F.try_divide("weight", "largest")).drop("largest").orderBy(F.desc("weight"), "symbol")
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """The stored universes a user has chosen, put together."""
+
+    universes: tuple[str, ...]
+    updated: DataFrame
+    rows: DataFrame
+    monthly: DataFrame
+    benchmark: DataFrame
+
+
+def load(spark: SparkSession, folder: str, wanted: Sequence[str]) -> Loaded:
+    """Metric rows and curves of the wanted universes, re-ranked together, with the fitting benchmark.
+
+    A symbol in several universes counts once, for the first in the fixed order.
+    """
+    from ..operators.universe import choose_benchmark, latest_update, select_universes, union_and_rank, union_curves
+    from ..sources import artifacts
+
+    chosen = select_universes(wanted)
+    tables = [artifacts.read_metrics(spark, f"{folder}/metrics_{u}") for u in chosen]
+    curves = union_curves([artifacts.read_curves(spark, f"{folder}/curves_{u}") for u in chosen])
+    stamps = [t.select("updated").limit(1) for t in tables]
+    headers = stamps[0]
+    for stamp in stamps[1:]:
+        headers = headers.unionByName(stamp)
+    benchmarks = artifacts.read_benchmarks(spark, f"{folder}/benchmarks")
+    bench = choose_benchmark(benchmarks, chosen, artifacts.read_bench_curve(spark, f"{folder}/curves_{chosen[0]}"))
+    return Loaded(chosen, latest_update(headers), union_and_rank(tables).persist(), curves.persist(), bench.persist())

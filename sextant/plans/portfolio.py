@@ -82,7 +82,7 @@ def build_portfolio(
     size = aligned.agg(F.count_distinct("symbol").alias("k"), F.count_distinct("ts").alias("n")).first()
     if size["k"] < 2 or size["n"] - 1 < mode.least_returns:
         return None
-    weights = all_weights(aligned_returns(aligned), mode.weights, schemes)
+    weights = settled(all_weights(aligned_returns(aligned), mode.weights, schemes), params)
     return Portfolio(picks, aligned, weights)
 
 
@@ -129,7 +129,7 @@ def out_of_sample(
     if chosen is None:
         return None
     alive = settled(usable_picks(chosen.picks, after, survivor), params)
-    weights = renormalised(chosen.weights, alive)
+    weights = settled(renormalised(chosen.weights, alive), params)
     aligned = align_on_dates(prices_of(after, alive)).persist()
     if aligned.select("symbol").distinct().count() < 2:
         return None

@@ -237,3 +237,39 @@ def test_queries_equal_their_sql(spark, name):
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(made.columns)
     assert sorted(map(str, (tuple(r) for r in made.select(*names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_whole_batch_and_explorer(spark, tmp_path):
+    """Two universes from raw series to stored artifacts and back to a combined portfolio."""
+    from sextant.plans import batch
+
+    rnd = random.Random(5)
+    stamps = [int(datetime(1990 + i // 12, i % 12 + 1, 28, tzinfo=UTC).timestamp()) for i in range(180)]
+    rows = []
+    for symbol, ccy in [("A", "USD"), ("B", "USD"), ("C", "EUR"), ("D", "GBp"), ("E", "SEK"), ("^GSPC", "USD"), ("^STOXX", "EUR"), ("ACWI", "USD")]:
+        px = 100.0
+        for t in stamps:
+            px *= math.exp(0.008 + rnd.gauss(0, 0.03))
+            rows.append((symbol, ccy, t, px))
+    rows += [(pair, None, t, rate) for pair, rate in (("EURUSD=X", 1.1), ("EURGBP=X", 0.9)) for t in stamps] + [("A", "USD", 1, float("nan"))]
+    raw = spark.createDataFrame(rows, "symbol string, currency string, ts bigint, px double").cache()
+    config = {"SP500": {"label": "US", "benchmark": "^GSPC", "tickers": ["A", "B", "C", "E"]}, "STOXX600": {"label": "EU", "benchmark": "^STOXX", "tickers": ["C", "D", "A"]}}
+    (tmp_path / "u.json").write_text(json.dumps(config))
+    folder, params = str(tmp_path / "data"), replace(LOOSE, min_years=5)
+    as_of = int(datetime(2005, 1, 1, tzinfo=UTC).timestamp())
+    done = batch.run_all(spark, ["SP500", "STOXX600"], str(tmp_path / "u.json"), raw, folder, params, as_of, "2005-01-01", MODE)
+    assert done == ["SP500", "STOXX600"]
+    assert batch.requested([]) == ("SP500",) and batch.requested(["BENCH"]) == ()
+    meta = {r["universe"]: r["count"] for r in artifacts.read_meta(spark, f"{folder}/meta").collect()}
+    assert meta == {"SP500": 3, "STOXX600": 3}  # no rate for E
+    document = json.loads(spark.read.text(f"{folder}/portfolio_SP500", wholetext=True).first()["value"])
+    assert {p["symbol"] for p in document["picks"]} == {"A", "B", "C"} and "oos" in document
+    loaded = explorer.load(spark, folder, ["STOXX600", "SP500"])
+    assert loaded.universes == ("SP500", "STOXX600") and loaded.updated.first()["updated"] == "2005-01-01"
+    assert {r["symbol"]: r["universe"] for r in loaded.rows.collect()} == {"A": "SP500", "B": "SP500", "C": "SP500", "D": "STOXX600"}
+    assert loaded.benchmark.count() == 180
+    build = explorer.recompute(loaded.rows, loaded.monthly, replace(LOOSE, undefined_as_zero=True, min_r2=-1), loaded.benchmark, schemes=("equal",))
+    assert build.metrics.count() == 2 and build.with_edge().where("edge is null").count() == 0
+    watched, seen = batch.counted(raw, "quality")
+    watched.count()
+    assert seen.get["unusable"] == 1
