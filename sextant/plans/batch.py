@@ -127,14 +127,25 @@ def store_benchmarks(raw: DataFrame, folder: str, updated: str, labels: Mapping[
     sink.benchmarks_document(found.select("symbol", "ts", "px"), dict(labels), updated).write.mode("overwrite").text(f"{folder}/benchmarks")
 
 
-def run_all(spark: SparkSession, arguments: Sequence[str], config: str, raw: DataFrame, folder: str, params: ScreenParams, as_of: int, updated: str, mode: Mode = BATCH) -> list[str]:
+def run_all(
+    spark: SparkSession,
+    arguments: Sequence[str],
+    config: str,
+    raw: DataFrame,
+    folder: str,
+    params: ScreenParams,
+    as_of: int,
+    updated: str,
+    mode: Mode = BATCH,
+    schemes: Sequence[str] = SCHEMES,
+) -> list[str]:
     """The command line's run: each universe in turn, then the benchmarks. Returns the ids that ran."""
     from ..sources.universes import load_symbols, read_universe
 
     done = []
     for wanted in requested(arguments):
         universe = read_universe(spark, config, wanted)
-        run = run_universe(universe, load_symbols(spark, universe), raw, params, as_of, mode)
+        run = run_universe(universe, load_symbols(spark, universe), raw, params, as_of, mode, schemes)
         store(run, folder, params, updated, mode)
         run.rows.unpersist()
         run.prices.unpersist()

@@ -19,35 +19,38 @@ def _mean_price(column: str) -> Column:
     return F.sum(F.col(column).cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
 
 
+def _panel(rows: DataFrame, keys: list[str], day: str, price: str, unit: str) -> DataFrame:
+    """Mean price by key columns and period; names and epochs are made after the sum, once per point."""
+    at = F.date_trunc(unit, F.col(day).cast("timestamp")).alias("at")
+    means = rows.groupBy(*keys, at).agg(_mean_price(price).alias("px"))
+    return means.withColumn("ts", _epoch(F.col("at"))).drop("at")
+
+
 def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean line price of each supplier and month; ``ts`` is the month's first day."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
-    month = _epoch(F.date_trunc("month", F.col("l_shipdate").cast("timestamp")))
-    keyed = lines.select(F.format_string("S%06d", "l_suppkey").alias("symbol"), month.alias("ts"), "l_extendedprice")
-    return keyed.groupBy("symbol", "ts").agg(_mean_price("l_extendedprice").alias("px"))
+    return _suppliers(spark, sf_dir, "month")
 
 
 def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean line price of each supplier and day."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
-    day = _epoch(F.date_trunc("day", F.col("l_shipdate").cast("timestamp")))
-    keyed = lines.select(F.format_string("S%06d", "l_suppkey").alias("symbol"), day.alias("ts"), "l_extendedprice")
-    return keyed.groupBy("symbol", "ts").agg(_mean_price("l_extendedprice").alias("px"))
+    return _suppliers(spark, sf_dir, "day")
+
+
+def _suppliers(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
+    means = _panel(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_shipdate", "l_extendedprice", unit)
+    return means.select(F.format_string("S%06d", "l_suppkey").alias("symbol"), "ts", "px")
 
 
 def flag_days(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
     """Mean line price of each return flag with line status and day (or month): a few long series."""
-    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_shipdate", "l_extendedprice")
-    day = _epoch(F.date_trunc(unit, F.col("l_shipdate").cast("timestamp")))
-    keyed = lines.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), day.alias("ts"), "l_extendedprice")
-    return keyed.groupBy("symbol", "ts").agg(_mean_price("l_extendedprice").alias("px"))
+    means = _panel(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_shipdate", "l_extendedprice", unit)
+    return means.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), "ts", "px")
 
 
 def urgent_days(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
     """The benchmark: mean price of urgent orders by day (or month), with gaps."""
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderdate", "o_totalprice")
-    day = _epoch(F.date_trunc(unit, F.col("o_orderdate").cast("timestamp")))
-    return orders.groupBy(day.alias("ts")).agg(_mean_price("o_totalprice").alias("px"))
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return _panel(orders, [], "o_orderdate", "o_totalprice", unit).select("ts", "px")
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,22 +62,19 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views as rates of two currencies, the first tenth of the ids left out so that early prices have none."""
-    events = table(spark, sf_dir, "events")
-    views = events.where("event_type = 'view'")
+    """Views as rates of two currencies; ``ts`` in microseconds."""
+    views = table(spark, sf_dir, "events").where("event_type = 'view'")
     ccy = F.when(F.col("user_id") % 2 == 0, "USD").otherwise("GBP")
-    first = events.agg((F.max("event_id") / 10).alias("first"))
-    late = views.join(F.broadcast(first), F.col("event_id") >= F.col("first"))
-    return late.select(ccy.alias("ccy"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").alias("rate"))
+    return views.select(ccy.alias("ccy"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").alias("rate"))
 
 
 def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(symbol, universe)``: suppliers by region, and the even ones of each in the next region too."""
+    """``(symbol, universe)``: suppliers by region and in the next region too, so that universes overlap."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
     placed = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(nations), "s_nationkey")
     symbol = F.format_string("S%06d", "s_suppkey").alias("symbol")
     own = placed.select(symbol, F.col("n_regionkey").cast("int").alias("universe"))
-    also = placed.where("s_suppkey % 2 = 0").select(symbol, ((F.col("n_regionkey") + 1) % 5).cast("int").alias("universe"))
+    also = placed.select(symbol, ((F.col("n_regionkey") + 1) % 5).cast("int").alias("universe"))
     return own.unionByName(also)
 
 

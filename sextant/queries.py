@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import month_ordinal, month_text
+from .functions.columns import month_text
 from .functions.numeric import Stream, bootstrap_indices, max_sharpe, portfolio_stats
 from .operators import align, backtest, fx, metrics, quality, resample, screen, universe, weights
 from .params import BATCH, DAILY, LIVE, MONTHLY, Mode, ScreenParams, WeightParams
@@ -17,6 +17,7 @@ from .plans import explorer, panels, portfolio
 #: Thresholds that noise can pass; the production ones reject every made-up series.
 LOOSE = ScreenParams(min_years=5, tolerance_5y=-0.99, min_r2=0.0, min_cagr=None, max_drawdown=None, ppy=MONTHLY)
 STRICT = ScreenParams(min_years=6, tolerance_5y=-0.35, min_r2=0.004, min_cagr=-0.02, max_drawdown=-0.75, ppy=MONTHLY)
+SHORT_PPY = 24
 #: Fixed dates of the slices: the years 1996 to 1999, and the start of 1999.
 SLICE = (820_454_400, 946_684_799)
 CUTOFF = 915_148_800
@@ -85,9 +86,8 @@ def q_screen_ascending(spark, sf_dir):
 
 
 def _short_rows(spark, sf_dir, as_zero: bool):
-    """Series cut to 48 months, which have no five-year return."""
-    cut = panels.supplier_months(spark, sf_dir).where(month_ordinal(F.col("ts")) < 1999 * 12)
-    rows = quality.quality_score(metrics.series_metrics(cut, MONTHLY), as_zero)
+    """At 24 periods a year no series has five years, so none has a five-year return."""
+    rows = quality.quality_score(metrics.series_metrics(panels.supplier_months(spark, sf_dir), SHORT_PPY), as_zero)
     params = replace(STRICT, min_years=3, tolerance_5y=0.01, undefined_as_zero=as_zero)
     return screen.with_reason(rows, params).select("symbol", "reject_reason", *_r("quality"))
 
@@ -209,7 +209,7 @@ def q_live_backtest_equal(spark, sf_dir):
 def q_universe_union_rerank(spark, sf_dir):
     rows = metrics.universe_metrics(panels.supplier_months(spark, sf_dir), MONTHLY)
     members = panels.supplier_regions(spark, sf_dir)
-    tables = [rows.join(members.where(F.col("universe") == u), "symbol") for u in range(3)]
+    tables = [rows.join(members.where(F.col("universe") == u), "symbol") for u in range(5)]
     merged = universe.union_and_rank(tables)
     return merged.select("symbol", F.col("universe").cast("bigint").alias("universe"), *_r("quality"))
 
@@ -239,10 +239,11 @@ def q_ticker_cleaning(spark, sf_dir):
 
 
 def q_bootstrap_indices(spark, sf_dir):
-    """The row numbers of the first ten scenarios over the aligned dates."""
-    dates = _aligned(spark, sf_dir).select("ts").distinct().count()
-    stream = Stream(BATCH.weights.seed)
-    made = [(s, bootstrap_indices(max(1, dates - 1), 60, 21, stream).tolist()) for s in range(10)]
+    """The row numbers of all scenarios over the aligned dates."""
+    rows = max(1, _aligned(spark, sf_dir).select("ts").distinct().count() - 1)
+    p = BATCH.weights
+    stream = Stream(p.seed)
+    made = [(s, bootstrap_indices(rows, p.window(rows), p.mean_block, stream).tolist()) for s in range(p.scenarios)]
     return spark.createDataFrame(made, "scenario int, picks array<int>").select("scenario", F.posexplode("picks").alias("pos", "src_row"))
 
 
@@ -380,18 +381,18 @@ _BENCH, _BENCH_MONTHS = (_BENCH_ON.format(urgent=_URGENT.format(unit=u, price=_P
 _PURCHASES = """SELECT 'E' || CAST(user_id % 12 AS VARCHAR) AS symbol, CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'GBp' ELSE 'EUR' END AS currency,
   epoch_us(ts) AS ts, "value" AS px FROM events WHERE event_type = 'purchase'"""
 _RATES = """SELECT CASE WHEN user_id % 2 = 0 THEN 'USD' ELSE 'GBP' END AS ccy, epoch_us(ts) AS ts, "value" AS rate
-  FROM events WHERE event_type = 'view' AND event_id >= (SELECT max(event_id) / 10.0 FROM events)"""
+  FROM events WHERE event_type = 'view'"""
 _IDX = "CAST(year(to_timestamp(ts) AT TIME ZONE 'UTC') * 12 + month(to_timestamp(ts) AT TIME ZONE 'UTC') - 1 AS BIGINT)"
 _TEXT = "printf('%04d-%02d', {0} // 12, {0} % 12 + 1)"
 _GAPLESS = f"""mo AS (SELECT symbol, {_IDX} AS idx, px FROM p),
 ok AS (SELECT symbol FROM mo GROUP BY symbol HAVING count(*) = max(idx) - min(idx) + 1), g AS (SELECT mo.* FROM mo JOIN ok USING (symbol))"""
 _REGIONS = """SELECT printf('S%06d', s_suppkey) AS symbol, n_regionkey AS universe FROM supplier JOIN nation ON s_nationkey = n_nationkey
-  UNION ALL SELECT printf('S%06d', s_suppkey), (n_regionkey + 1) % 5 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0"""
+  UNION ALL SELECT printf('S%06d', s_suppkey), (n_regionkey + 1) % 5 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
 
 def _short_sql(as_zero: bool) -> str:
     params = replace(STRICT, min_years=3, tolerance_5y=0.01, undefined_as_zero=as_zero)
-    return f"""WITH p AS (SELECT * FROM ({_MONTHS}) WHERE {_IDX} < {1999 * 12}), {_metric_ctes(MONTHLY)}, {_rank_ctes('m', 'q', as_zero)}
+    return f"""WITH p AS ({_MONTHS}), {_metric_ctes(SHORT_PPY)}, {_rank_ctes('m', 'q', as_zero)}
 SELECT symbol, {_reason_sql(params)} AS reject_reason, round(quality, 6) AS quality FROM q"""
 
 
@@ -482,7 +483,7 @@ SELECT {_TEXT.format('lo')} AS first_month, {_TEXT.format('hi')} AS last_month,
 e AS (SELECT symbol, min(idx) AS i0, max(idx) AS i1 FROM ch GROUP BY symbol), w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM e),
 cov AS (SELECT symbol FROM e, w WHERE i0 <= lo AND i1 >= hi), t AS (SELECT ch.symbol, ch.idx AS ts, ch.px FROM ch JOIN cov USING (symbol), w WHERE idx BETWEEN lo AND hi),
 {_equal_sql('t')} SELECT mode, {_TEXT.format('ts')} AS month, round(px, 4) AS value FROM eq""",
-    "universe_union_rerank": f"""{_MONTH_METRICS}, mem AS ({_REGIONS}), un AS (SELECT symbol, min(universe) AS universe FROM mem WHERE universe < 3 GROUP BY symbol),
+    "universe_union_rerank": f"""{_MONTH_METRICS}, mem AS ({_REGIONS}), un AS (SELECT symbol, min(universe) AS universe FROM mem GROUP BY symbol),
 u AS (SELECT m.*, un.universe FROM m JOIN un USING (symbol) WHERE days >= 30), {_rank_ctes('u', 'q', True)}
 SELECT symbol, CAST(universe AS BIGINT) AS universe, {_rounded('quality')} FROM q""",
     "eligible_pool": f"{_MONTH_RANKS} SELECT symbol, days, {_rounded('r2')} FROM q WHERE days >= 72 AND r2 >= 0.004",

@@ -257,7 +257,7 @@ def test_whole_batch_and_explorer(spark, tmp_path):
     (tmp_path / "u.json").write_text(json.dumps(config))
     folder, params = str(tmp_path / "data"), replace(LOOSE, min_years=5)
     as_of = int(datetime(2005, 1, 1, tzinfo=UTC).timestamp())
-    done = batch.run_all(spark, ["SP500", "STOXX600"], str(tmp_path / "u.json"), raw, folder, params, as_of, "2005-01-01", MODE)
+    done = batch.run_all(spark, ["SP500", "STOXX600"], str(tmp_path / "u.json"), raw, folder, params, as_of, "2005-01-01", MODE, ("equal",))
     assert done == ["SP500", "STOXX600"]
     assert batch.requested([]) == ("SP500",) and batch.requested(["BENCH"]) == ()
     meta = {r["universe"]: r["count"] for r in artifacts.read_meta(spark, f"{folder}/meta").collect()}
