@@ -37,17 +37,24 @@ class Stream:
 
 
 def project(v: np.ndarray, floor: float, cap: float) -> np.ndarray:
-    """Rows of ``v`` moved to the nearest point with sum 1 inside the box."""
+    """Rows of ``v`` moved to the nearest point with sum 1 inside the box.
+
+    The clipped sum falls in straight pieces as the shift grows: a Newton step ends
+    on the right piece, and a halving of the bracket replaces one that leaves it.
+    """
     lo, hi = v.min(axis=-1) - cap, v.max(axis=-1) - floor
+    shift = (lo + hi) / 2
     for _ in range(100):
-        middle = (lo + hi) / 2
-        excess = np.clip(v - middle[..., None], floor, cap).sum(axis=-1) - 1
+        moved = v - shift[..., None]
+        excess = np.clip(moved, floor, cap).sum(axis=-1) - 1
         if (np.abs(excess) < 1e-10).all():
-            return np.clip(v - middle[..., None], floor, cap)
-        done = np.abs(excess) < 1e-10
-        lo = np.where((excess > 0) | done, middle, lo)
-        hi = np.where((excess <= 0) | done, middle, hi)
-    return np.clip(v - ((lo + hi) / 2)[..., None], floor, cap)
+            break
+        lo, hi = np.where(excess > 0, shift, lo), np.where(excess <= 0, shift, hi)
+        free = ((moved > floor) & (moved < cap)).sum(axis=-1)
+        step = shift + excess / np.maximum(free, 1)
+        inside = (free > 0) & (step > lo) & (step < hi)
+        shift = np.where(np.abs(excess) < 1e-10, shift, np.where(inside, step, (lo + hi) / 2))
+    return np.clip(v - shift[..., None], floor, cap)
 
 
 def max_sharpe(mu: np.ndarray, cov: np.ndarray, rf: float, floor: float, cap: float, iterations: int = 400) -> np.ndarray:

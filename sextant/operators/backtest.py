@@ -18,7 +18,7 @@ def rebalanced(prices: DataFrame, weights: DataFrame, base: float = 100.0) -> Da
     """
     series = Window.partitionBy("symbol").orderBy("ts")
     step = F.coalesce(F.try_divide(F.col("px"), F.lag("px").over(series)) - 1, F.lit(0.0))
-    moves = prices.withColumn("ret", step).join(F.broadcast(weights.select("scheme", "symbol", "weight")), "symbol")
+    moves = prices.withColumn("ret", step).join(weights.select("scheme", "symbol", "weight"), "symbol")
     per_date = moves.groupBy("scheme", "ts").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
     so_far = Window.partitionBy("scheme").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     value = F.lit(base) * F.exp(F.sum(F.log1p("ret")).over(so_far))
@@ -29,7 +29,7 @@ def buy_and_hold(prices: DataFrame, weights: DataFrame, base: float = 100.0) ->
     """``(scheme, mode, ts, value)`` of portfolios bought at the first date and left alone."""
     whole = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     grown = prices.withColumn("growth", F.try_divide(F.col("px"), F.first("px").over(whole)))
-    held = grown.join(F.broadcast(weights.select("scheme", "symbol", "weight")), "symbol")
+    held = grown.join(weights.select("scheme", "symbol", "weight"), "symbol")
     summed = held.groupBy("scheme", "ts").agg((F.sum(F.col("weight") * F.col("growth")) * base).alias("value"))
     return summed.select("scheme", F.lit("buyhold").alias("mode"), "ts", "value")
 

@@ -53,14 +53,15 @@ def percentile_ranks(rows: DataFrame, columns: tuple[str, ...], tiebreak: str =
 def quality_score(rows: DataFrame, undefined_as_zero: bool = False, tiebreak: str = "symbol") -> DataFrame:
     """``rows`` with ``quality``: the mean of the ranks of r2, min5y and mar that are defined.
 
-    ``undefined_as_zero`` ranks an undefined value as 0, as rows read back from an
+    The rows, one per series, are kept, as counts and ranks both read them and would
+    else compute all metrics twice. ``undefined_as_zero`` ranks an undefined value as 0, as rows read back from an
     artifact are ranked.
     """
     used = tuple(f"__{p}" for p in PARTS)
     for name, part in zip(used, PARTS, strict=True):
         value = defined(F.col(part))
         rows = rows.withColumn(name, F.coalesce(value, F.lit(0.0)) if undefined_as_zero else value)
-    ranked = percentile_ranks(rows, used, tiebreak)
+    ranked = percentile_ranks(rows.persist(), used, tiebreak)
     ranks = [F.col(f"rank_{c}") for c in used]
     total = reduce(lambda a, b: a + b, [F.coalesce(r, F.lit(0.0)) for r in ranks])
     count = reduce(lambda a, b: a + b, [r.isNotNull().cast("int") for r in ranks])

@@ -77,6 +77,11 @@ def settled(picks: DataFrame, params: ScreenParams) -> DataFrame:
     return picks.sparkSession.createDataFrame(picks.collect(), picks.schema) if params.top_n else picks
 
 
+def bounded(picks: DataFrame, params: ScreenParams) -> DataFrame:
+    """The picks with a hint to broadcast them where ``top_n`` bounds their number."""
+    return F.broadcast(picks) if params.top_n else picks
+
+
 def screen_summary(rows: DataFrame, params: ScreenParams) -> DataFrame:
     """One row: analysed, passed, shown, and a counter per reject reason."""
     tagged = with_reason(rows, params)

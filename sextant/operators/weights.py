@@ -71,7 +71,7 @@ def inverse_vol_weights(returns: DataFrame, floor: float = 0.02, cap: float = 0.
 
 def renormalised(weights: DataFrame, kept: DataFrame) -> DataFrame:
     """The weights of the kept symbols, scaled to add up to 1 in each scheme."""
-    left = weights.join(F.broadcast(kept.select("symbol").distinct()), "symbol", "left_semi")
+    left = weights.join(kept.select("symbol").distinct(), "symbol", "left_semi")
     return left.withColumn("weight", F.try_divide("weight", F.sum("weight").over(Window.partitionBy("scheme"))))
 
 
@@ -105,7 +105,7 @@ def resampled_scenarios(matrix: ReturnMatrix, params: WeightParams, spark) -> Da
     stream = Stream(params.seed or 12345)
     length = params.window(rows)
     samples = [(s, bootstrap_indices(rows, length, params.mean_block, stream).tolist()) for s in range(params.scenarios)]
-    frame = spark.createDataFrame(samples, "scenario int, picks array<int>").repartition(min(params.scenarios, 4 * spark.sparkContext.defaultParallelism), "scenario")
+    frame = spark.createDataFrame(samples, "scenario int, picks array<int>").repartition(min(params.scenarios, spark.sparkContext.defaultParallelism))
     shared = spark.sparkContext.broadcast(matrix.values)
 
     def optimise(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -165,11 +165,11 @@ def all_weights(returns: DataFrame, params: WeightParams, schemes: Iterable[str]
 
 def portfolio_statistics(weights: DataFrame, returns: DataFrame, params: WeightParams) -> DataFrame:
     """``(scheme, expected_return, volatility, sharpe)`` of weights from the returns' means and covariances."""
-    mean = col_means(returns).join(F.broadcast(weights), "symbol").groupBy("scheme")
+    mean = col_means(returns).join(weights, "symbol").groupBy("scheme")
     gain = mean.agg((F.sum(F.col("weight") * F.col("mean_ret")) * params.ppy).alias("expected_return"))
     by_a = weights.select("scheme", F.col("symbol").alias("a"), F.col("weight").alias("wa"))
     by_b = weights.select(F.col("scheme").alias("scheme_b"), F.col("symbol").alias("b"), F.col("weight").alias("wb"))
-    terms = cov_matrix(returns).join(F.broadcast(by_a), "a").join(F.broadcast(by_b), "b").where("scheme = scheme_b")
+    terms = cov_matrix(returns).join(by_a, "a").join(by_b, "b").where("scheme = scheme_b")
     twice = F.when(F.col("a") == F.col("b"), 1).otherwise(2)
     risk = terms.groupBy("scheme").agg(F.sqrt(F.greatest(F.sum(twice * F.col("wa") * F.col("wb") * F.col("cov")), F.lit(0.0)) * params.ppy).alias("volatility"))
     return gain.join(risk, "scheme").withColumn("sharpe", F.try_divide(F.col("expected_return") - params.rf, F.col("volatility")))

@@ -12,7 +12,7 @@ from ..operators.align import align_on_months, aligned_returns
 from ..operators.backtest import backtest_metrics, benchmark_metrics, benchmark_on_months, edge, equity_curves
 from ..operators.metrics import series_metrics
 from ..operators.quality import quality_score
-from ..operators.screen import screen, settled
+from ..operators.screen import bounded, screen, settled
 from ..operators.universe import missing_count
 from ..operators.weights import all_weights, renormalised
 from ..params import LIVE, MONTHLY, SCHEMES, Mode, ScreenParams
@@ -66,7 +66,7 @@ def _test(aligned: DataFrame, weights: DataFrame, benchmark: DataFrame | None, w
 
 
 def _build(picks: DataFrame, monthly: DataFrame, benchmark: DataFrame | None, mode: Mode, schemes: Iterable[str], params: ScreenParams) -> Build | None:
-    chosen = monthly.join(F.broadcast(picks.select("symbol").distinct()), "symbol", "left_semi").persist()
+    chosen = monthly.join(bounded(picks.select("symbol").distinct(), params), "symbol", "left_semi").persist()
     window = _settled_row(_window(chosen, benchmark))
     span = window.first()
     if span["lo"] is None or span["hi"] - span["lo"] + 1 < LEAST_MONTHS:
@@ -129,7 +129,7 @@ def recompute_oos(
     cutoff = as_of_month - mode.oos_years * MONTHLY
     rows = monthly_rows_before(monthly, cutoff, mode, least_after)
     picks = settled(screen(rows, replace(params, min_years=mode.oos_min_years, ppy=mode.ppy)), params)
-    chosen = monthly.join(F.broadcast(picks.select("symbol")), "symbol", "left_semi").persist()
+    chosen = monthly.join(bounded(picks.select("symbol"), params), "symbol", "left_semi").persist()
     early = chosen.where(F.col("month_idx") <= cutoff)
     aligned = align_on_months(early).persist()
     if aligned.select("symbol").distinct().count() < 2:
@@ -171,7 +171,7 @@ def weight_table(build: Build, scheme: str) -> DataFrame:
     """Picks by weight in one scheme, with the share of the largest that scales a bar."""
     one = build.weights.where(F.col("scheme") == scheme).select("symbol", "weight", "wstd")
     largest = one.agg(F.max("weight").alias("largest"))
-    joined = build.picks.join(F.broadcast(one), "symbol").join(F.broadcast(largest), F.lit(True))
+    joined = build.picks.join(one, "symbol").join(F.broadcast(largest), F.lit(True))
     return joined.withColumn("bar", F.try_divide("weight", "largest")).drop("largest").orderBy(F.desc("weight"), "symbol")
 
 

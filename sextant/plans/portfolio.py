@@ -12,7 +12,7 @@ from ..operators.align import align_on_dates, aligned_returns, time_slice
 from ..operators.backtest import backtest_metrics, benchmark_curve, benchmark_metrics, edge, equity_curves, month_end_curves
 from ..operators.metrics import universe_metrics
 from ..operators.quality import quality_score
-from ..operators.screen import screen, settled
+from ..operators.screen import bounded, screen, settled
 from ..operators.weights import all_weights, renormalised
 from ..params import BATCH, SCHEMES, YEAR_SECONDS, Mode, ScreenParams
 
@@ -32,7 +32,7 @@ class Portfolio:
         out = self.picks
         for scheme in SCHEMES:
             one = self.weights.where(F.col("scheme") == scheme)
-            out = out.join(F.broadcast(one.select("symbol", F.col("weight").alias(f"w_{scheme}"), F.col("wstd").alias(f"sd_{scheme}"))), "symbol", "left")
+            out = out.join(one.select("symbol", F.col("weight").alias(f"w_{scheme}"), F.col("wstd").alias(f"sd_{scheme}")), "symbol", "left")
         return out
 
 
@@ -59,9 +59,9 @@ def usable_picks(picks: DataFrame, prices: DataFrame, more_than: int) -> DataFra
     return picks.join(long, "symbol", "left_semi")
 
 
-def prices_of(prices: DataFrame, picks: DataFrame) -> DataFrame:
-    """The picks' points; there are at most ``top_n`` picks, so they are broadcast."""
-    return prices.join(F.broadcast(picks.select("symbol").distinct()), "symbol", "left_semi").select("symbol", "ts", "px")
+def prices_of(prices: DataFrame, picks: DataFrame, params: ScreenParams) -> DataFrame:
+    """The picks' points; picks that ``top_n`` bounds are broadcast, so the prices aren't shuffled."""
+    return prices.join(bounded(picks.select("symbol").distinct(), params), "symbol", "left_semi").select("symbol", "ts", "px")
 
 
 def build_portfolio(
@@ -78,7 +78,7 @@ def build_portfolio(
     None if under two picks are usable or they share too few dates.
     """
     picks = settled(usable_picks(screen(rows, params), prices, usable), params)
-    aligned = align_on_dates(prices_of(prices, picks), key).persist()
+    aligned = align_on_dates(prices_of(prices, picks, params), key).persist()
     size = aligned.agg(F.count_distinct("symbol").alias("k"), F.count_distinct("ts").alias("n")).first()
     if size["k"] < 2 or size["n"] - 1 < mode.least_returns:
         return None
@@ -130,7 +130,7 @@ def out_of_sample(
         return None
     alive = settled(usable_picks(chosen.picks, after, survivor), params)
     weights = settled(renormalised(chosen.weights, alive), params)
-    aligned = align_on_dates(prices_of(after, alive)).persist()
+    aligned = align_on_dates(prices_of(after, alive, params)).persist()
     if aligned.select("symbol").distinct().count() < 2:
         return None
     tested = backtest(aligned, weights, benchmark, mode)

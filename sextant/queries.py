@@ -207,7 +207,7 @@ def q_live_backtest_equal(spark, sf_dir):
 
 
 def q_universe_union_rerank(spark, sf_dir):
-    rows = metrics.universe_metrics(panels.supplier_months(spark, sf_dir), MONTHLY)
+    rows = metrics.universe_metrics(panels.supplier_months(spark, sf_dir), MONTHLY).persist()  # each universe reads them
     members = panels.supplier_regions(spark, sf_dir)
     tables = [rows.join(members.where(F.col("universe") == u), "symbol") for u in range(5)]
     merged = universe.union_and_rank(tables)
