@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sextant.llm.common import table
 from sextant.llm.decontamination import drop_contaminated
 from sextant.llm.line_dedup import drop_repeated_lines
+from sextant.llm.near_copies import drop_near_copies
 from sextant.llm.packing import pack_documents
 from sextant.llm.quality_rules import keep_good
-from sextant.llm.simhash import drop_near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one of smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of similar five-word shingle sets: the one of smallest id."""
+    return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,159 @@
+"""Near copies by Jaccard similarity of word shingles: MinHash bands, exact comparison of the sets.
+
+A document is the set of the hashes of its five-word runs; documents of equal sets
+are one. ``BANDS`` keys of ``ROWS`` minima each bring two sets of similarity s into a
+bucket with probability 1 - (1 - s**ROWS)**BANDS, which is 0.998 at 0.8. Pairs from
+the buckets are compared by their whole sets, so nothing below ``SIMILARITY`` links.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, connected_components, map_rows, short_batches
+from .simhash import shingle_hashes
+
+WORDS = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 16, 5
+#: Buckets up to this size compare all their pairs, larger ones go by hubs.
+ALL_PAIRS = 16
+
+_rnd = np.random.default_rng(11)
+_TIMES = _rnd.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_PLUS = _rnd.integers(0, 2**64, BANDS * ROWS, np.uint64)
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def content_of(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of the whole set."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band; none for an empty set."""
+    if not hashes.size:
+        return np.empty(0, np.int64)
+    step = max(1, (1 << 16) // len(_TIMES))
+    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), step):
+        np.minimum(least, (hashes[i : i + step, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), seed=b) for b, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, content, keys)`` of every row."""
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        content, keys = [], []
+        for part in short_batches(batch, 1):
+            for text in part.column(1).to_pylist():
+                own = shingle_set(text, words)
+                content.append(content_of(own))
+                keys.append(band_keys(own))
+        columns = [batch.column(0), pa.array(content, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "keys"])
+
+    return map_rows(docs, "doc_id long, content long, keys array<long>", per_batch)
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """``(content, hashes)`` of every row."""
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for part in short_batches(batch, 1) for t in part.column(1).to_pylist()]
+        columns = [pa.array([content_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["content", "hashes"])
+
+    return map_rows(docs, "content long, hashes array<long>", per_batch)
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The distinct ``pairs(a, a_rep, b, b_rep)`` whose whole sets are similar enough."""
+    sides = [pairs.select(F.col(s).alias("want"), F.col(f"{s}_rep").alias("want_rep")) for s in "ab"]
+    wanted = sides[0].union(sides[1]).distinct()
+    texts = docs.join(wanted.select("want_rep").distinct(), F.col("doc_id") == F.col("want_rep"), "left_semi")
+    sets = checkpointed(_sets(texts, words).groupBy("content").agg(F.first("hashes").alias("hashes")))
+    one, two = (sets.select(F.col("content").alias(f"{s}_content"), F.col("hashes").alias(f"{s}_hashes")) for s in "ab")
+    both = pairs.join(one, F.col("a") == F.col("a_content")).join(two, F.col("b") == F.col("b_content"))
+    common = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    union = F.size("a_hashes") + F.size("b_hashes") - common
+    return checkpointed(both.where(common >= similarity * union - 1e-9).select("a", "a_rep", "b", "b_rep"))
+
+
+def _pair(one: str | Column, two: str | Column) -> list[Column]:
+    """The columns of a pair of ``(content, rep)``, the same in either order."""
+    low, high = F.least(one, two), F.greatest(one, two)
+    return [high["content"].alias("a"), high["rep"].alias("a_rep"), low["content"].alias("b"), low["rep"].alias("b_rep")]
+
+
+def near_pairs(reps: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> list[DataFrame]:
+    """Links ``(a, a_rep, b, b_rep)`` between ``reps(rep, content, keys)``, one frame a round.
+
+    In a large bucket each set is compared with the bucket's hubs. Sets like none of
+    them stay for another round with twice as many hubs, until no set is left.
+    """
+    posts = checkpointed(reps.select(F.explode("keys").alias("key"), F.struct("content", "rep").alias("who")))
+    found, hubs = [], 1
+    while True:
+        sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("who").alias("least")).where("n > 1")
+        dealt = checkpointed(posts.join(sizes, "key"))
+        small = dealt.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("who")).alias("all"))
+        small = small.select(F.posexplode("all").alias("at", "one"), "all")
+        small = small.select("one", F.explode(F.slice("all", 1, F.col("at"))).alias("two")).select(*_pair("one", "two"))
+        large = dealt.where(F.col("n") > ALL_PAIRS)
+        is_hub = (F.col("who") == F.col("least")) | (F.pmod(F.xxhash64("key", "who"), F.col("n")) < hubs - 1)
+        heads = large.where(is_hub).select("key", F.col("who").alias("hub"))
+        others = large.where(~is_hub).join(heads, "key").select("key", "who", "hub")
+        between = heads.join(heads.withColumnRenamed("hub", "who"), "key").where("who > hub")
+        pairs = checkpointed(small.union(others.select(*_pair("who", "hub"))).union(between.select(*_pair("who", "hub"))).distinct())
+        found.append(_alike(pairs, docs, words, similarity))
+        if large.isEmpty():
+            return found
+        alike = found[-1].select("a", "b")
+        tried = others.select("key", "who", *_pair("who", "hub"))
+        settled = tried.join(alike, ["a", "b"]).select("key", "who").distinct()
+        left = large.where(~is_hub).select("key", "who")
+        posts = checkpointed(left.join(settled, ["key", "who"], "left_anti"))
+        hubs *= 2
+        if posts.isEmpty():
+            return found
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """``(doc_id, component_id)`` of the rows of ``docs(doc_id, text, ...)`` with an id.
+
+    Words are those of the SimHash fingerprints; a text of ``words`` words or fewer is
+    one shingle and blank texts are equal. Sets of ``similarity`` or more link, and
+    ``component_id`` is the smallest ``doc_id`` reachable.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    signed = checkpointed(_signed(docs, words))
+    reps = checkpointed(signed.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    links = None
+    for one in near_pairs(reps, docs, words, similarity):
+        edges = one.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        links = edges if links is None else links.union(edges)
+    # A repeated doc_id may have several sets, which its id holds together.
+    own = signed.join(reps.select("content", "rep"), "content").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    components = connected_components(links.union(own))
+    return signed.select("doc_id").distinct().join(components, F.col("doc_id") == F.col("vertex"), "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` but those of documents whose group has a smaller ``doc_id``.
+
+    Rows without a ``doc_id`` stay.
+    """
+    gone = near_copies(docs, similarity, words).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
