@@ -6,8 +6,11 @@ which turns a small edit distance into a small Hamming distance. A table of the
 samples a few output positions; a window that agrees with a benchmark item on all
 of a table's samples is a candidate, and its words are compared with the item's by
 edit distance. Walks start at every word of every document, so each window has the
-size of the item it is compared with. The number of tables comes from the wanted
-recall, measured on edited copies of the items themselves.
+size of the item it is compared with. Long items are cut into blocks, one of which
+has no more than its share of the edits; a block's hit is verified over the whole
+item. The number of tables comes from the wanted recall, measured on edited copies
+of the blocks with other words behind them; a class that doesn't reach it is
+compared in full.
 """
 
 from __future__ import annotations
@@ -33,7 +36,12 @@ SAMPLES = 4
 MIN_WORDS = 5
 #: Items compared in one pass over the documents; more items take more passes.
 ITEMS_PER_PASS = 20_000
-MOST_TABLES = 64
+#: Most words of a block; the walks of longer ones drift apart under edits.
+BLOCK_WORDS = 40
+#: A class whose recall isn't reached by so many tables is compared without tables.
+MOST_TABLES = 256
+#: Edited copies on which a class' recall is measured.
+COPIES = 500
 REMEMBERED = 400_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -59,18 +67,30 @@ class Table:
     items: np.ndarray
 
 
+@dataclass(frozen=True)
+class Block:
+    """A run of an item's words, and the edits that one block of the item stays within."""
+
+    item: int
+    offset: int
+    words: np.ndarray
+    allowed: int
+
+
 @dataclass(frozen=True)
 class Class:
-    """Items of about one length: all have ``least`` words or more and ``least * 1.25`` at most.
+    """Blocks of about one length: all have ``least`` words or more and ``least * 1.25`` at most.
 
-    ``used`` tells the symbols of these items. A window within reach of one has at
+    ``used`` tells the symbols of these blocks. A window within reach of one has at
     least ``needed`` of them in its first ``least`` words, else no walk starts there.
+    Without ``tables`` all ``members`` are compared there.
     """
 
     least: int
     needed: int
     used: np.ndarray
     tables: tuple[Table, ...]
+    members: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -79,6 +99,7 @@ class Index:
     codes: np.ndarray
     words: dict[int, np.ndarray]
     allowed: dict[int, int]
+    blocks: tuple[Block, ...]
     classes: tuple[Class, ...]
 
 
@@ -119,6 +140,13 @@ def _edited(word: np.ndarray, edits: int, symbols: int, rnd: np.random.Generator
     return np.array(out, np.int64)
 
 
+def _blocks(item: int, words: np.ndarray, allowed: int) -> list[Block]:
+    """The item in equal blocks; ``allowed`` edits leave one with its share of them at most."""
+    count = -(-len(words) // BLOCK_WORDS)
+    cuts = [k * len(words) // count for k in range(count + 1)]
+    return [Block(item, a, words[a:b], allowed // count) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def build_index(items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL, seed: int = 5) -> Index:
     """Symbols, lengths and LSH tables of the benchmark items."""
     rnd = np.random.default_rng(seed)
@@ -131,22 +159,29 @@ def build_index(items: list[tuple[int, str]], edits: float = EDITS, recall: floa
     words = {i: np.array([symbols[x] for x in w], np.int64) for i, w in split.items()}
     allowed = {i: int(edits * len(w)) for i, w in words.items()}
     codes = np.concatenate([np.zeros(1, np.uint64), rnd.integers(1, 2**64, len(symbols), np.uint64)])
+    blocks = [b for i, w in words.items() for b in _blocks(i, w, allowed[i])]
     by_class: dict[int, list[int]] = defaultdict(list)
-    for i, w in words.items():
-        by_class[math.floor(math.log(len(w) / MIN_WORDS, 1.25) + 1e-9)].append(i)
+    for n, b in enumerate(blocks):
+        by_class[math.floor(math.log(len(b.words) / MIN_WORDS, 1.25) + 1e-9)].append(n)
     classes = []
     for level, members in sorted(by_class.items()):
-        least = min(len(words[i]) for i in members)
-        most = max(allowed[i] for i in members)
-        steps = 2 * least
-        copies = [(i, _edited(words[i], allowed[i], len(symbols) + 1, rnd)) for i in rnd.choice(members, 200)]
-        flat, at = _padded([words[i] for i in members], steps)
+        least = min(len(blocks[n].words) for n in members)
+        most = max(blocks[n].allowed for n in members)
+        steps = least + least // 2
+        chosen = rnd.choice(members, COPIES)
+        # Behind a block come the item's own words where it has more, behind a copy any words.
+        flat, at = _padded([words[blocks[n].item][blocks[n].offset :][:steps] for n in members], steps)
         place = dict(zip(members, at, strict=True))
-        edited, edited_at = _padded([c for _, c in copies], steps)
-        whole = np.array([place[i] for i, _ in copies])
+        behind = [rnd.integers(0, len(symbols) + 1, steps) for _ in chosen]
+        copies = [np.concatenate([_edited(blocks[n].words, blocks[n].allowed, len(symbols) + 1, rnd), x]) for n, x in zip(chosen, behind, strict=True)]
+        edited, edited_at = _padded(copies, steps)
+        whole = np.array([place[n] for n in chosen])
         missed = np.ones(len(copies), bool)
         tables = []
-        while len(tables) < MOST_TABLES and (len(tables) < 2 or missed.mean() > 1 - recall):
+        while len(tables) < 2 or missed.mean() > 1 - recall:
+            if len(tables) == MOST_TABLES:
+                tables = []
+                break
             times, plus = (rnd.integers(0, 2**64, steps, np.uint64) for _ in range(2))
             samples = tuple(sorted(rnd.choice(steps, min(SAMPLES, steps), replace=False).tolist()))
             keys = walk_keys(codes[flat], at, times, plus, samples)
@@ -154,9 +189,9 @@ def build_index(items: list[tuple[int, str]], edits: float = EDITS, recall: floa
             order = np.argsort(keys, kind="stable")
             tables.append(Table(times, plus, samples, keys[order], np.array(members)[order]))
         used = np.zeros(len(symbols) + 1, bool)
-        used[np.concatenate([words[i] for i in members])] = True
-        classes.append(Class(least, max(1, least - most), used, tuple(tables)))
-    return Index(symbols, codes, words, allowed, tuple(classes))
+        used[np.concatenate([blocks[n].words for n in members])] = True
+        classes.append(Class(least, max(1, least - most), used, tuple(tables), np.array(members)))
+    return Index(symbols, codes, words, allowed, tuple(blocks), tuple(classes))
 
 
 def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> int:
@@ -173,6 +208,27 @@ def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> int:
     return min(int(row.min()), most + 1)
 
 
+def best_window(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int]:
+    """Least edits between ``item`` and any run of ``window``, ``most + 1`` if more, and where the run starts."""
+
+    def last_row(item: np.ndarray, window: np.ndarray, free: bool) -> np.ndarray:
+        steps = np.arange(len(window) + 1)
+        row = np.zeros_like(steps) if free else steps
+        for i, symbol in enumerate(item.tolist(), 1):
+            best = np.minimum(row[1:] + 1, row[:-1] + (window != symbol))
+            row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
+            if row.min() > most:
+                break
+        return row
+
+    row = last_row(item, window, True)
+    if row.min() > most:
+        return most + 1, 0
+    end = int(row.argmin())
+    back = last_row(item[::-1], window[:end][::-1], False)
+    return int(row.min()), end - int(np.flatnonzero(back == back.min())[-1])
+
+
 class _Reader:
     """Texts to symbols; chunks between blanks are looked up once and remembered."""
 
@@ -205,28 +261,48 @@ def hits(texts: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int,
     codes = index.codes[flat]
     best: dict[tuple[int, int], tuple[int, int]] = {}
     seen: set[tuple[int, int]] = set()
+    read: dict[tuple[int, int], list[int]] = defaultdict(list)
+
+    def compare(start: int, n: int) -> None:
+        block = index.blocks[n]
+        text, item = int(np.searchsorted(starts, start, "right")) - 1, block.item
+        if (start, n) in seen or best.get((text, item), (1, 0))[0] == 0:
+            return
+        seen.add((start, n))
+        most, word, end = index.allowed[item], index.words[item], int(ends[text])
+        if len(block.words) == len(word):
+            far = edit_distance(word, flat[start : min(start + len(word) + most, end)], most)
+        else:
+            half = len(block.words) // 2
+            if edit_distance(block.words, flat[start : min(start + len(block.words) + half, end)], half) > half:
+                return
+            # The item starts within ``most`` words of here; what is read covers all starts as near to it.
+            here = start - block.offset
+            if any(abs(here - x) <= most for x in read[text, item]):
+                return
+            read[text, item].append(here)
+            low = max(int(starts[text]), here - 2 * most)
+            far, at = best_window(word, flat[low : max(low, min(here + len(word) + 3 * most, end))], most)
+            start = low + at
+        if far <= most:
+            best[text, item] = min(best.get((text, item), (far, start)), (far, start))
+
     for group in index.classes:
         sums = np.concatenate([[0], np.cumsum(group.used[flat], dtype=np.int32)])
         near = np.flatnonzero(sums[group.least :] - sums[: -group.least] >= group.needed)
         if not near.size:
             continue
+        if not group.tables:
+            for start in near.tolist():
+                for n in group.members.tolist():
+                    compare(start, n)
         for table in group.tables:
             keys = walk_keys(codes, near, table.times, table.plus, table.samples)
             first = np.searchsorted(table.keys, keys, "left")
             last = np.searchsorted(table.keys, keys, "right")
             for k in np.flatnonzero(last > first).tolist():
-                start = int(near[k])
-                text = int(np.searchsorted(starts, start, "right")) - 1
-                for item in table.items[first[k] : last[k]].tolist():
-                    if (start, item) in seen or best.get((text, item), (1, 0))[0] == 0:
-                        continue
-                    seen.add((start, item))
-                    most = index.allowed[item]
-                    word = index.words[item]
-                    window = flat[start : min(start + len(word) + most, int(ends[text]))]
-                    far = edit_distance(word, window, most)
-                    if far <= most:
-                        best[text, item] = min(best.get((text, item), (far, start)), (far, start))
+                for n in table.items[first[k] : last[k]].tolist():
+                    compare(int(near[k]), n)
     for (text, item), (far, start) in best.items():
         yield text, item, start - int(starts[text]), far
 
@@ -237,7 +313,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, reca
     An item is in a document if a window of the document's words is within
     ``edits`` of the item's words in edit distance, compared in lower case without
     punctuation; the best window of each item is returned, found with probability
-    ``recall`` at the largest distance and nearly surely at smaller ones. Null and
+    ``recall`` at the largest distance and nearly surely at smaller ones, whatever
+    the item's length. Null and
     empty texts contain nothing, null or very short items (under ``MIN_WORDS``
     words) are in nothing. Repeated rows of ``docs`` are found each; items that are
     equal are all found. Texts are read whole, windows overlap at every word.
