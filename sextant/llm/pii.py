@@ -39,6 +39,7 @@ _NUMBER = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[ ().\[\]/-]{0,3}[0-9])+(?!
 _DISGUISED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}(?:@| ?[\[(](?:at|AT)[\])] ?)[A-Za-z0-9-]{2,64}(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]{1,64})*"
 )
+_DEFANGED = re.compile(r"(?<![0-9A-Za-z.\]])[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3}(?![0-9A-Za-z]|\[?\.\]?[0-9])")
 _CUES = (
     re.compile(r"e-?mail|contact|write to", re.I),
     re.compile(r"\bip\b|host|server|address", re.I),
@@ -146,7 +147,13 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> Mentions | None:
     extra: list[tuple[int, int]] = []
     if "@" in text or "at]" in text or "at)" in text or "AT]" in text or "AT)" in text:
         extra += [m.span() for m in _DISGUISED.finditer(text) if free(*m.span())]
-    for m in _NUMBER.finditer(text):
+    rest = text
+    if "[.]" in text:  # addresses with bracketed dots, whatever their number of digits
+        for m in _DEFANGED.finditer(text):
+            if "[.]" in m[0] and all(int(p) <= 255 for p in re.split("[^0-9]+", m[0])) and free(*m.span()):
+                extra.append(m.span())
+                rest = rest[: m.start()] + " ; ".ljust(m.end() - m.start(), ";") + rest[m.end() :]
+    for m in _NUMBER.finditer(rest):
         if m.end() - m.start() >= 7 and len(_digits(m[0])) >= 7 and free(*m.span()):
             extra.append(m.span())
     names = {_key(text, i, j) for k, i, j in base if k == 0}
@@ -324,6 +331,14 @@ _TELLING = np.zeros(256, np.uint8)
 _TELLING[list(b"0123456789@")] = 1
 
 
+def _telling(raw: np.ndarray) -> np.ndarray:
+    """Which bytes show that a text may hold a mention: digits, ``@``, and the end of a bracketed ``at``."""
+    out = _TELLING[raw]
+    a, t, end = raw[:-2], raw[1:-1], raw[2:]
+    out[2:] |= ((end == ord("]")) | (end == ord(")"))) & ((a == ord("a")) & (t == ord("t")) | (a == ord("A")) & (t == ord("T")))
+    return out
+
+
 def scan_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` for each row of ``docs(doc_id, text, ...)``.
 
@@ -343,7 +358,7 @@ def scan_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
             ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             data = column.buffers()[2]
             raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
-            sums = np.r_[0, np.cumsum(_TELLING[raw], dtype=np.int64)]
+            sums = np.r_[0, np.cumsum(_telling(raw), dtype=np.int64)]
             telling = np.diff(sums[ends - ends[0]]) > 0
             for doc, text, told in zip(part.column(0).to_pylist(), column, telling, strict=True):
                 text = text.as_py() if told else ""
