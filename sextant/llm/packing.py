@@ -42,11 +42,16 @@ def encoder(vocabulary: str) -> Callable[[str], bytes]:
     ``vocabulary`` is a byte-level BPE file of the ``tokenizers`` library. Its ids
     are merge ranks, which a ``tiktoken`` encoding takes as they are. Text is cut
     before each space that precedes a non-blank; the pre-tokenizer never joins
-    across such a cut, so each chunk is encoded once and remembered.
+    across such a cut, so each chunk is encoded once and remembered. Added tokens of
+    the file are cut out first, each as its own id, and the parts between are texts
+    of their own, as ``tokenizers`` does it.
     """
     with open(vocabulary, encoding="utf-8") as file:
         model = json.load(file)
-    special = {t["content"] for t in model.get("added_tokens", [])}
+    special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in model.get("added_tokens", [])}
+    if any(t[flag] for t in model.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{vocabulary}: added tokens that take blanks or whole words only are not supported")
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
     back = byte_characters()
     ranks = {bytes(back[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     bpe = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -56,6 +61,11 @@ def encoder(vocabulary: str) -> Callable[[str], bytes]:
         return np.array(bpe.encode_ordinary(chunk), "<u4").tobytes()
 
     def encode(text: str) -> bytes:
+        if marks and marks.search(text):
+            return b"".join(special[p] if n % 2 else plain(p) for n, p in enumerate(marks.split(text)))
+        return plain(text)
+
+    def plain(text: str) -> bytes:
         if len(known) > REMEMBERED:
             known.clear()
         if _ODD_BLANKS.search(text):
