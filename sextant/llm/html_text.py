@@ -30,9 +30,12 @@ INLINE = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("nav header footer aside form button dialog menu fieldset".split())
 STORY = frozenset("article main".split())
+#: Elements that don't end the head.
+IN_HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<empty>svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -95,19 +98,24 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; what cannot be shown as text is left out."""
     state, done, hidden = _Page(), 0, 0
     for m in _TOKEN.finditer(page):
+        if hidden and not page[done : m.start()].isspace() and m.start() > done:
+            hidden = 0  # text ends a head that isn't closed, as an element of the body does
         if m.start() > done and not hidden:
             state.text(page[done : m.start()])
         done = m.end()
         name = (m["name"] or "").lower()
         if not name:
-            if m["raw"] and m["raw"].lower() not in ("script", "style"):
+            raw = (m["raw"] or m["empty"] or "").lower()
+            if raw and raw not in IN_HEAD:
+                hidden = 0
+            if raw and raw not in ("script", "style"):
                 state.text(" ")
             continue
         closing = bool(m["close"])
         if name == "head":
             hidden = 0 if closing else 1
             continue
-        if name == "body":
+        if name in ("body", "html", "br") if closing else name not in IN_HEAD:
             hidden = 0
         if name == "a":
             state.anchors = max(0, state.anchors + (-1 if closing else 1))
@@ -131,7 +139,7 @@ def blocks_of(page: str) -> list[Block]:
             furniture = above.furniture or name in FURNITURE and not (name in _OUTSIDE and above.story)
             named = above.named or bool(called and name not in ("body", "html", *STORY) and _BOILER.search(called))
             state.open.append(_Open(name, story, furniture, named))
-    if not hidden:
+    if not hidden or page[done:].strip():
         state.text(page[done:])
     state.end_block()
     return state.blocks
