@@ -8,9 +8,10 @@ of a table's samples is a candidate, and its words are compared with the item's
 edit distance. Walks start at every word of every document, so each window has the
 size of the item it is compared with. Long items are cut into blocks, one of which
 has no more than its share of the edits; a block's hit is verified over the whole
-item. The number of tables comes from the wanted recall, measured on edited copies
-of the blocks with other words behind them; a class that doesn't reach it is
-compared in full.
+item. Items that allow no edit walk straight on and sample every step, which finds
+them all. For the others the number of tables comes from the wanted recall, measured
+on edited copies of the blocks with other words behind them; a class that doesn't
+reach it is compared in full.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,41 +32,83 @@ from .common import map_rows, short_batches
 
 #: Share of an item's words that may be edited.
 EDITS = 0.2
-RECALL = 0.97
+RECALL = 0.98
 SAMPLES = 4
-#: Shorter items can't be told from chance and never count.
-MIN_WORDS = 5
-#: Items compared in one pass over the documents; more items take more passes.
+#: Items and bytes compared in one pass over the documents; more take more passes.
 ITEMS_PER_PASS = 20_000
+BYTES_PER_PASS = 64 << 20
 #: Most words of a block; the walks of longer ones drift apart under edits.
 BLOCK_WORDS = 40
 #: A class whose recall isn't reached by so many tables is compared without tables.
 MOST_TABLES = 256
-#: Edited copies on which a class' recall is measured.
+#: Edited copies on which a class' tables are chosen, and as many on which they are checked.
 COPIES = 500
-REMEMBERED = 400_000
+#: Bytes of text that are compared together.
+SLICE = 8 << 20
 
-_WORD = re.compile(r"[^\W_]+")
+#: Scripts written without spaces; each of their characters is a word.
+_ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_ALONE}]|[^\W_{_ALONE}]+")
+#: Signs that end or begin many words, and words that take nothing but lower-casing.
+_SIGNS = ".,;:!?\"'()[]{}<>*#$%&|/-_…“”„«»–—"
+_PLAIN = "^[A-Za-z0-9À-ÖØ-öø-įĲ-ɏ]+$"
+#: Walk states or edit rows that are worked on together.
+_TOGETHER = 1 << 17
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters and digits, in lower case."""
+    """Runs of letters and digits in lower case; characters of scripts without spaces one by one."""
     return _WORD.findall((text or "").lower())
 
 
 @dataclass(frozen=True)
-class Table:
-    """One LSH table of a class of items: the walk's bits, sampled steps, and items by key.
+class Walks:
+    """The LSH tables of a class: the bits of each table's walk and the steps it samples.
 
     The bit of a symbol at a step is the top bit of the symbol's code times one
     random number plus another, so a table's size doesn't follow the vocabulary's.
     """
 
-    times: np.ndarray
+    times: np.ndarray  # tables x steps
     plus: np.ndarray
-    samples: tuple[int, ...]
-    keys: np.ndarray
-    items: np.ndarray
+    sampled: tuple[np.ndarray, ...]  # for each step the tables that sample it
+    seeds: np.ndarray
+
+    def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The key of the walk from each start in each table, a hash of the codes at the sampled steps.
+
+        ``codes`` has to end with enough zeros for every walk to stay inside.
+        """
+        at = np.repeat(starts[None].astype(np.int64), len(self.seeds), axis=0)
+        key = np.repeat(self.seeds[:, None], len(starts), axis=1)
+        for step, rows in enumerate(self.sampled):
+            code = codes.take(at, mode="clip")
+            if rows.size:
+                mixed = (key[rows] ^ code[rows]) * np.uint64(0x9E3779B97F4A7C15)
+                key[rows] = mixed ^ (mixed >> np.uint64(31))
+            code *= self.times[:, step, None]
+            code += self.plus[:, step, None]
+            code >>= np.uint32(31)
+            np.add(at, code, out=at, casting="unsafe")
+        return key
+
+
+def random_walks(tables: int, steps: int, samples: int, rnd: np.random.Generator) -> Walks:
+    times, plus = (rnd.integers(0, 2**32, (tables, steps), np.uint32) for _ in range(2))
+    taken = np.stack([np.isin(np.arange(steps), rnd.choice(steps, min(samples, steps), replace=False)) for _ in range(tables)])
+    return Walks(times, plus, tuple(np.flatnonzero(c) for c in taken.T), rnd.integers(0, 2**64, tables, np.uint64))
+
+
+def straight_walk(steps: int) -> Walks:
+    """One table that moves past every symbol and samples them all."""
+    ones = np.full((1, steps), 1 << 31, np.uint32)
+    return Walks(np.zeros_like(ones), ones, (np.zeros(1, np.int64),) * steps, np.zeros(1, np.uint64))
+
+
+def joined(walks: list[Walks]) -> Walks:
+    first = np.cumsum([0, *(len(w.seeds) for w in walks)])
+    sampled = tuple(np.concatenate([r + n for r, n in zip(rows, first, strict=False)]) for rows in zip(*(w.sampled for w in walks), strict=True))
+    return Walks(*(np.concatenate([getattr(w, f) for w in walks]) for f in ("times", "plus")), sampled, np.concatenate([w.seeds for w in walks]))
 
 
 @dataclass(frozen=True)
@@ -83,14 +127,34 @@ class Class:
 
     ``used`` tells the symbols of these blocks. A window within reach of one has at
     least ``needed`` of them in its first ``least`` words, else no walk starts there.
-    Without ``tables`` all ``members`` are compared there.
+    Without ``walks`` all ``members`` are compared there. ``keys`` are those of the
+    blocks ``owners`` in all tables, in order.
     """
 
     least: int
     needed: int
     used: np.ndarray
-    tables: tuple[Table, ...]
     members: np.ndarray
+    walks: Walks | None
+    keys: np.ndarray
+    owners: np.ndarray
+
+    def candidates(self, codes: np.ndarray, near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Starts and the blocks to compare there."""
+        if self.walks is None:
+            step = max(1, _TOGETHER // len(self.members))
+            for i in range(0, len(near), step):
+                yield np.repeat(near[i : i + step], len(self.members)), np.tile(self.members, len(near[i : i + step]))
+            return
+        step = max(1, _TOGETHER // len(self.walks.seeds))
+        for i in range(0, len(near), step):
+            keys = self.walks.keys(codes, near[i : i + step])
+            first = np.searchsorted(self.keys, keys, "left")
+            table, at = np.nonzero(self.keys.take(first, mode="clip") == keys)
+            first = first[table, at]
+            many = np.searchsorted(self.keys, keys[table, at], "right") - first
+            owner = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            yield np.repeat(near[i + at], many), self.owners[owner]
 
 
 @dataclass(frozen=True)
@@ -103,22 +167,6 @@ class Index:
     classes: tuple[Class, ...]
 
 
-def walk_keys(codes: np.ndarray, starts: np.ndarray, times: np.ndarray, plus: np.ndarray, samples: tuple[int, ...]) -> np.ndarray:
-    """The key of the walk from each start: a hash of the codes at the sampled steps.
-
-    ``codes`` has to end with enough zeros for every walk to stay inside.
-    """
-    at, key = starts.copy(), np.zeros(len(starts), np.uint64)
-    wanted = set(samples)
-    for step in range(max(samples) + 1):
-        code = codes[at]
-        if step in wanted:
-            key = (key ^ code) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(31)
-        at += ((code * times[step] + plus[step]) >> np.uint64(63)).astype(np.int64)
-    return key
-
-
 def _padded(words: list[np.ndarray], room: int) -> tuple[np.ndarray, np.ndarray]:
     """All sequences behind one another, each followed by ``room`` zeros, and where each starts."""
     gap = np.zeros(room, np.int64)
@@ -150,62 +198,81 @@ def _blocks(item: int, words: np.ndarray, allowed: int) -> list[Block]:
 def build_index(items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL, seed: int = 5) -> Index:
     """Symbols, lengths and LSH tables of the benchmark items."""
     rnd = np.random.default_rng(seed)
-    split = {i: words_of(t) for i, t in items}
-    split = {i: w for i, w in split.items() if len(w) >= MIN_WORDS}
+    split = {i: w for i, t in items if (w := words_of(t))}
     symbols: dict[str, int] = {}
     for w in split.values():
         for x in w:
             symbols.setdefault(x, len(symbols) + 1)
     words = {i: np.array([symbols[x] for x in w], np.int64) for i, w in split.items()}
     allowed = {i: int(edits * len(w)) for i, w in words.items()}
-    codes = np.concatenate([np.zeros(1, np.uint64), rnd.integers(1, 2**64, len(symbols), np.uint64)])
+    codes = np.concatenate([np.zeros(1, np.uint32), rnd.integers(1, 2**32, len(symbols), np.uint32)])
     blocks = [b for i, w in words.items() for b in _blocks(i, w, allowed[i])]
-    by_class: dict[int, list[int]] = defaultdict(list)
+    by_class: dict[tuple, list[int]] = defaultdict(list)
     for n, b in enumerate(blocks):
-        by_class[math.floor(math.log(len(b.words) / MIN_WORDS, 1.25) + 1e-9)].append(n)
+        size = len(b.words)
+        by_class[(size,) if not b.allowed else (0, math.floor(math.log(size, 1.25) + 1e-9))].append(n)
     classes = []
-    for level, members in sorted(by_class.items()):
+    for members in by_class.values():
         least = min(len(blocks[n].words) for n in members)
         most = max(blocks[n].allowed for n in members)
-        steps = least + least // 2
-        chosen = rnd.choice(members, COPIES)
-        # Behind a block come the item's own words where it has more, behind a copy any words.
+        steps = least + least // 2 if most else least
+        # Behind a block come the item's own words where it has more.
         flat, at = _padded([words[blocks[n].item][blocks[n].offset :][:steps] for n in members], steps)
-        place = dict(zip(members, at, strict=True))
-        behind = [rnd.integers(0, len(symbols) + 1, steps) for _ in chosen]
-        copies = [np.concatenate([_edited(blocks[n].words, blocks[n].allowed, len(symbols) + 1, rnd), x]) for n, x in zip(chosen, behind, strict=True)]
-        edited, edited_at = _padded(copies, steps)
-        whole = np.array([place[n] for n in chosen])
-        missed = np.ones(len(copies), bool)
-        tables = []
-        while len(tables) < 2 or missed.mean() > 1 - recall:
-            if len(tables) == MOST_TABLES:
-                tables = []
-                break
-            times, plus = (rnd.integers(0, 2**64, steps, np.uint64) for _ in range(2))
-            samples = tuple(sorted(rnd.choice(steps, min(SAMPLES, steps), replace=False).tolist()))
-            keys = walk_keys(codes[flat], at, times, plus, samples)
-            missed &= walk_keys(codes[flat], whole, times, plus, samples) != walk_keys(codes[edited], edited_at, times, plus, samples)
-            order = np.argsort(keys, kind="stable")
-            tables.append(Table(times, plus, samples, keys[order], np.array(members)[order]))
+        if most:
+            walks = _enough_walks([blocks[n] for n in members], codes, flat, at, steps, recall, rnd)
+        else:
+            walks = straight_walk(steps)
         used = np.zeros(len(symbols) + 1, bool)
         used[np.concatenate([blocks[n].words for n in members])] = True
-        classes.append(Class(least, max(1, least - most), used, tuple(tables), np.array(members)))
+        keys = walks.keys(codes[flat], at).ravel() if walks else np.empty(0, np.uint64)
+        owners = np.tile(members, len(keys) // len(members))
+        order = np.argsort(keys, kind="stable")
+        classes.append(Class(least, max(1, least - most), used, np.array(members), walks, keys[order], owners[order] if walks else owners))
     return Index(symbols, codes, words, allowed, tuple(blocks), tuple(classes))
 
 
-def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> int:
-    """Least edits between ``item`` and a prefix of ``window``; ``most + 1`` if more."""
-    n = len(window)
-    row = np.arange(n + 1)
-    steps = np.arange(n + 1)
-    for i, symbol in enumerate(item.tolist(), 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (window != symbol))
-        row = np.concatenate([[i], best])
-        row = np.minimum.accumulate(row - steps) + steps
-        if row.min() > most:
-            return most + 1
-    return min(int(row.min()), most + 1)
+def _enough_walks(blocks: list[Block], codes: np.ndarray, flat: np.ndarray, at: np.ndarray, steps: int, recall: float, rnd: np.random.Generator) -> Walks | None:
+    """Tables until a set of edited copies and a second one they weren't chosen on both reach the recall; else none."""
+    chosen = rnd.integers(0, len(blocks), 2 * COPIES)
+    copies = [
+        np.concatenate([_edited(blocks[n].words, blocks[n].allowed, len(codes), rnd), rnd.integers(0, len(codes), steps)])
+        for n in chosen
+    ]
+    edited, edited_at = _padded(copies, steps)
+    missed = np.ones(2 * COPIES, bool)
+    walks: list[Walks] = []
+    while len(walks) < MOST_TABLES:
+        walks.append(random_walks(1, steps, SAMPLES, rnd))
+        missed &= (walks[-1].keys(codes[flat], at[chosen]) != walks[-1].keys(codes[edited], edited_at))[0]
+        if len(walks) > 1 and missed.reshape(2, -1).mean(axis=1).max() <= 1 - recall:
+            return joined(walks)
+    return None
+
+
+def edit_distances(items: np.ndarray, lengths: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
+    """Least edits between each item and a prefix of its window, ``most + 1`` if more.
+
+    Row ``k`` of ``items`` is an item of ``lengths[k]`` symbols. All rows go through one
+    table of costs that is ``most`` wide on either side of the diagonal.
+    """
+    count, longest = items.shape
+    width = np.arange(2 * most + 1, dtype=np.int16)
+    text = np.full((count, longest + 2 * most), -1, windows.dtype)
+    shown = windows[:, : longest + most]
+    text[:, most : most + shown.shape[1]] = shown
+    row = np.repeat(np.where(width >= most, width - most, most + 1).astype(np.int16)[None], count, axis=0)
+    best = np.full(count, most + 1, np.int64)
+    for i in range(longest):
+        new = row + (text[:, i : i + len(width)] != items[:, i, None])
+        np.minimum(new[:, :-1], row[:, 1:] + np.int16(1), out=new[:, :-1])
+        new -= width
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += width
+        row = new
+        ends = np.flatnonzero(lengths == i + 1)
+        if ends.size:
+            best[ends] = np.minimum(row[ends].min(axis=1), most + 1)
+    return best
 
 
 def best_window(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int]:
@@ -229,82 +296,86 @@ def best_window(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, i
     return int(row.min()), end - int(np.flatnonzero(back == back.min())[-1])
 
 
-class _Reader:
-    """Texts to symbols; chunks between blanks are looked up once and remembered."""
+class Reader:
+    """Texts to symbols. Chunks between blanks are looked up once for all texts given together."""
 
     def __init__(self, symbols: dict[str, int]):
-        self.symbols, self.known = symbols, {}
-
-    def of(self, chunk: str) -> int | tuple[int, ...]:
-        ids = tuple(self.symbols.get(w, 0) for w in words_of(chunk))
-        self.known[chunk] = out = ids[0] if len(ids) == 1 else ids
-        return out
-
-    def read(self, text: str | None) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        chunks, known = (text or "").split(), self.known
-        try:
-            return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-        except (KeyError, TypeError):  # a new chunk, or one with no word or several
-            ids = [known[c] if c in known else self.of(c) for c in chunks]
-            return np.array([x for i in ids for x in (i if isinstance(i, tuple) else (i,))], np.int64)
-
-
-def hits(texts: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int, int]]:
+        self.symbols = symbols
+        self.words = pa.array(list(symbols), pa.large_string())
+
+    def read(self, texts: pa.Array) -> list[np.ndarray]:
+        """The symbols of each text; words of no item are 0."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        chunks = split.flatten().dictionary_encode()
+        core = pc.utf8_trim(chunks.dictionary, _SIGNS)
+        plain = pc.match_substring_regex(core, _PLAIN).to_numpy(zero_copy_only=False)
+        symbol = pc.fill_null(pc.index_in(pc.utf8_lower(core), value_set=self.words), -1).to_numpy(zero_copy_only=False) + 1
+        odd = [[self.symbols.get(w, 0) for w in words_of(c)] for c in chunks.dictionary.filter(pa.array(~plain)).to_pylist()]
+        many = np.ones(len(plain), np.int64)
+        many[~plain] = [len(o) for o in odd]
+        known = np.empty(many.sum(), np.int64)
+        known[np.repeat(plain, many)] = symbol[plain]
+        known[np.repeat(~plain, many)] = [s for o in odd for s in o]
+        place = chunks.indices.to_numpy(zero_copy_only=False)
+        many, first = many[place], (np.cumsum(many) - many)[place]
+        ends = np.r_[0, np.cumsum(many)]
+        flat = known[np.repeat(first - ends[:-1], many) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy(zero_copy_only=False)
+        return np.split(flat, ends[offsets[1:-1] - offsets[0]]) if len(texts) else []
+
+
+def hits(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int]]:
     """``(text, item, start, edits)`` of the best window of each item in each text that has one."""
     if not index.classes:
-        return
+        return []
     room = 2 * max(c.least for c in index.classes) + 2
     flat, starts = _padded(texts, room)
     ends = starts + [len(t) for t in texts]
     codes = index.codes[flat]
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    seen: set[tuple[int, int]] = set()
-    read: dict[tuple[int, int], list[int]] = defaultdict(list)
-
-    def compare(start: int, n: int) -> None:
-        block = index.blocks[n]
-        text, item = int(np.searchsorted(starts, start, "right")) - 1, block.item
-        if (start, n) in seen or best.get((text, item), (1, 0))[0] == 0:
-            return
-        seen.add((start, n))
-        most, word, end = index.allowed[item], index.words[item], int(ends[text])
-        if len(block.words) == len(word):
-            far = edit_distance(word, flat[start : min(start + len(word) + most, end)], most)
-        else:
-            half = len(block.words) // 2
-            if edit_distance(block.words, flat[start : min(start + len(block.words) + half, end)], half) > half:
-                return
-            # The item starts within ``most`` words of here; what is read covers all starts as near to it.
-            here = start - block.offset
-            if any(abs(here - x) <= most for x in read[text, item]):
-                return
-            read[text, item].append(here)
-            low = max(int(starts[text]), here - 2 * most)
-            far, at = best_window(word, flat[low : max(low, min(here + len(word) + 3 * most, end))], most)
-            start = low + at
-        if far <= most:
-            best[text, item] = min(best.get((text, item), (far, start)), (far, start))
+    looked: dict[tuple[int, int], list[int]] = defaultdict(list)
+
+    def compare(at: np.ndarray, block: np.ndarray) -> None:
+        """Compare blocks with the windows that start ``at``, all of about one length."""
+        mine = [index.blocks[n] for n in block.tolist()]
+        lengths = np.array([len(b.words) for b in mine])
+        part = np.array([len(b.words) < len(index.words[b.item]) for b in mine])
+        longest = int(lengths.max())
+        items = np.zeros((len(mine), longest), np.int64)
+        items[np.arange(longest) < lengths[:, None]] = np.concatenate([b.words for b in mine])
+        # A block of a longer item may have more than its share of the edits.
+        most = np.where(part, lengths // 2, [index.allowed[b.item] for b in mine])
+        widest = int(most.max())
+        far = edit_distances(items, lengths, flat[at[:, None] + np.arange(longest + widest).clip(0, room - 1)], widest)
+        text = np.searchsorted(starts, at, "right") - 1
+        for k in np.flatnonzero(far <= most).tolist():
+            key, here, found = (int(text[k]), mine[k].item), int(at[k]), int(far[k])
+            if part[k]:
+                here, found = whole(key, here - mine[k].offset)
+            if found <= index.allowed[key[1]]:
+                best[key] = min(best.get(key, (found, here)), (found, here))
+
+    def whole(key: tuple[int, int], here: int) -> tuple[int, int]:
+        """The best run for a long item near ``here``; what is read covers all starts as near to it as the edits allow."""
+        text, item = key
+        most, word = index.allowed[item], index.words[item]
+        if any(abs(here - x) <= most for x in looked[key]):
+            return here, most + 1
+        looked[key].append(here)
+        low = max(int(starts[text]), here - 2 * most)
+        found, at = best_window(word, flat[low : max(low, min(here + len(word) + 3 * most, int(ends[text])))], most)
+        return low + at, found
 
     for group in index.classes:
         sums = np.concatenate([[0], np.cumsum(group.used[flat], dtype=np.int32)])
         near = np.flatnonzero(sums[group.least :] - sums[: -group.least] >= group.needed)
-        if not near.size:
-            continue
-        if not group.tables:
-            for start in near.tolist():
-                for n in group.members.tolist():
-                    compare(start, n)
-        for table in group.tables:
-            keys = walk_keys(codes, near, table.times, table.plus, table.samples)
-            first = np.searchsorted(table.keys, keys, "left")
-            last = np.searchsorted(table.keys, keys, "right")
-            for k in np.flatnonzero(last > first).tolist():
-                for n in table.items[first[k] : last[k]].tolist():
-                    compare(int(near[k]), n)
-    for (text, item), (far, start) in best.items():
-        yield text, item, start - int(starts[text]), far
+        near = near[near < ends[np.searchsorted(starts, near, "right") - 1]]  # none in the zeros behind a text
+        pairs = [at * len(index.blocks) + block for at, block in group.candidates(codes, near)]
+        found = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        step = max(1, _TOGETHER // (group.least + 1))
+        for i in range(0, len(found), step):
+            compare(*np.divmod(found[i : i + step], len(index.blocks)))
+    return [(text, item, start - int(starts[text]), far) for (text, item), (far, start) in best.items()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
@@ -314,49 +385,42 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, reca
     ``edits`` of the item's words in edit distance, compared in lower case without
     punctuation; the best window of each item is returned, found with probability
     ``recall`` at the largest distance and nearly surely at smaller ones, whatever
-    the item's length. Null and
-    empty texts contain nothing, null or very short items (under ``MIN_WORDS``
-    words) are in nothing. Repeated rows of ``docs`` are found each; items that are
-    equal are all found. Texts are read whole, windows overlap at every word.
-
-    Items travel to the tasks in passes of ``ITEMS_PER_PASS``, read by ranges of
-    their id, so what is sent has a bound and a larger benchmark takes more passes.
+    the item's length. Items so short that they allow no edit are found exactly and
+    always. Null and empty texts contain nothing; items that are null or without a
+    letter or digit are in nothing. Repeated rows of ``docs`` are found each; items
+    that are equal are all found, repeated rows of ``benchmark`` count once, and
+    several texts of one item give a row each. Texts are read whole, windows overlap
+    at every word.
+
+    Items travel to the tasks in passes of about ``ITEMS_PER_PASS`` items and
+    ``BYTES_PER_PASS`` bytes by their hash, so what is sent has a bound and a larger
+    benchmark takes more passes.
     """
     frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    wanted = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    found, after = None, None
-    while True:
-        rest = wanted if after is None else wanted.where(F.col("item_id") > after)
-        ids = [r[0] for r in rest.select("item_id").distinct().orderBy("item_id").limit(ITEMS_PER_PASS).collect()]
-        if not ids and found is not None:
-            return found
-        held = rest.where(F.col("item_id") <= ids[-1]).collect() if ids else []
-        one = _one_pass(frame, [(r["item_id"], r["text"]) for r in held], edits, recall)
+    wanted = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+    size = wanted.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["items"] // ITEMS_PER_PASS), -(-size["bytes"] // BYTES_PER_PASS))
+    found = None
+    for n in range(passes):
+        held = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n).collect()
+        one = _one_pass(frame, sorted((r["item_id"], r["text"]) for r in held), edits, recall)
         found = one if found is None else found.unionByName(one)
-        if len(ids) < ITEMS_PER_PASS:
-            return found
-        after = ids[-1]
+    return found
 
 
 def _one_pass(frame: DataFrame, items: list[tuple[int, str]], edits: float, recall: float) -> DataFrame:
     # An item may have several texts; each is an item of its own here.
-    number = dict(enumerate(i for i, _ in items))
+    number = np.array([i for i, _ in items], np.int64)
     index = build_index([(n, t) for n, (_, t) in enumerate(items)], edits, recall)
     sent = frame.sparkSession.sparkContext.broadcast(index)
-    readers: dict[int, _Reader] = {}
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         index = sent.value
-        reader = readers.setdefault(0, _Reader(index.symbols))
+        reader = Reader(index.symbols)
         rows: list[tuple[int, int, int, int]] = []
-        for part in short_batches(batch, 1):
+        for part in short_batches(batch, 1, SLICE):
             docs = part.column(0).to_pylist()
-            texts = [reader.read(t.as_py()) for t in part.column(1)]
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for text, item, start, far in hits(texts, index):
-                key = (text, number[item])
-                best[key] = min(best.get(key, (far, start)), (far, start))
-            rows += [(docs[t], i, far, start) for (t, i), (far, start) in best.items()]
+            rows += [(docs[t], number[i], far, start) for t, i, start, far in hits(reader.read(part.column(1)), index)]
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_edits", "at_word"])
 

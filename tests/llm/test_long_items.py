@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sextant.llm import decontamination
@@ -10,7 +11,7 @@ from sextant.llm import decontamination
 from .test_corpus_operators import plain_leaks
 
 
-@pytest.mark.parametrize("length", [40, 60, 100, 200, 500])
+@pytest.mark.parametrize("length", [16, 25, 40, 60, 120, 300, 500])
 def test_edited_copies_of_long_items(length):
     rnd = random.Random(length)
     words = [f"w{i}" for i in range(3000)]
@@ -24,9 +25,9 @@ def test_edited_copies_of_long_items(length):
         around = [[rnd.choice(words) for _ in range(120)] for _ in range(2)]
         texts.append((i, " ".join([*around[0], *copy, *around[1]])))
     index = decontamination.build_index(items)
-    reader = decontamination._Reader(index.symbols)
-    found = {(t, i): (start, far) for t, i, start, far in decontamination.hits([reader.read(t) for _, t in texts], index)}
-    assert sum((i, i) in found for i, _ in items) >= 93
+    read = decontamination.Reader(index.symbols).read(pa.array([t for _, t in texts]))
+    found = {(t, i): (start, far) for t, i, start, far in decontamination.hits(read, index)}
+    assert sum((i, i) in found for i, _ in items) >= 95
     for key in list(found)[:5]:
         assert found[key][1] == plain_leaks([texts[key[0]]], [items[key[1]]])[key]
 
@@ -37,9 +38,9 @@ def test_a_class_that_misses_its_recall_is_compared_in_full(monkeypatch):
     items = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(35))) for i in range(4)]
     texts = [" ".join(["x"] + ["new" if k % 5 == 2 else w for k, w in enumerate(t.split())]) for _, t in items]
     index = decontamination.build_index(items)
-    assert not any(c.tables for c in index.classes)
-    reader = decontamination._Reader(index.symbols)
-    got = sorted(decontamination.hits([reader.read(t) for t in texts], index))
+    assert not any(c.walks for c in index.classes)
+    read = decontamination.Reader(index.symbols).read(pa.array(texts))
+    got = sorted(decontamination.hits(read, index))
     assert got == [(i, i, 1, 7) for i in range(4)]
 
 
@@ -47,3 +48,21 @@ def test_best_window():
     window = np.array([9, 9, 1, 2, 8, 4, 5, 9])
     assert decontamination.best_window(np.array([1, 2, 3, 4, 5]), window, 2) == (1, 2)
     assert decontamination.best_window(np.array([6, 7, 6, 7]), window, 1) == (2, 0)
+
+
+def test_reader_equals_plain_words():
+    symbols = {w: n for n, w in enumerate(["one", "two", "été", "i̇", "漢", "x1"], 1)}
+    texts = ["One, two! (ÉTÉ) one-two x1_two", None, "", " \t\n", "İ 漢字漢 ... --", "nothing here", "ΑΣ Σ é.t.é ½ \u00a0one\u2003two", "one"]
+    got = decontamination.Reader(symbols).read(pa.array(texts))
+    assert [g.tolist() for g in got] == [[symbols.get(w, 0) for w in decontamination.words_of(t)] for t in texts]
+    sliced = decontamination.Reader(symbols).read(pa.array(texts).slice(3, 4))
+    assert [g.tolist() for g in sliced] == [g.tolist() for g in got[3:7]]
+
+
+def test_short_items_are_found_exactly():
+    items = [(0, "alpha"), (1, "beta gamma"), (2, "alpha beta gamma delta"), (3, "漢字"), (4, "!!!"), (5, "Alpha beta")]
+    texts = ["x ALPHA, y", "beta x gamma", "then beta gamma.", "so alpha beta gamma delta", "彼は漢字を読む", "", "字漢"]
+    index = decontamination.build_index(items)
+    got = {(t, i) for t, i, *_ in decontamination.hits(decontamination.Reader(index.symbols).read(pa.array(texts)), index)}
+    want = {(0, 0), (2, 1), (3, 0), (3, 1), (3, 2), (3, 5), (4, 3)}
+    assert got == want == {k for k in plain_leaks(list(enumerate(texts)), items)}
