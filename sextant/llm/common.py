@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space that separates words in every contract of this package.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -16,30 +17,47 @@ BLANKS = " \t\n\x0b\x0c\r"
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
 
-    The folder is the one in ``spark.checkpoint.dir``; only a session without
-    one (a test) gets a temporary folder.
+    The folder is the session's own or the one in ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process (``local[n]``, as in tests) does a
+    session without the setting get a temporary folder; a cluster has to name one.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def map_rows(
     df: DataFrame,
-    schema: str,
+    schema: str | StructType,
     per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    text: int | None = None,
 ) -> DataFrame:
-    """Apply ``per_batch`` to every Arrow batch of ``df``; empty batches are skipped."""
+    """Apply ``per_batch`` to every Arrow batch of ``df``; empty batches are skipped.
+
+    With the number of a ``text`` column, batches are first cut to a few MB of it, so
+    that no more than that is worked on and held as results at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = per_batch(batch)
-                if out is not None and out.num_rows:
-                    yield out
+            for part in [batch] if text is None else short_batches(batch, text):
+                if part.num_rows:
+                    out = per_batch(part)
+                    if out is not None and out.num_rows:
+                        yield out
 
     return df.mapInArrow(run, schema)
 
@@ -58,6 +76,19 @@ def short_batches(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Ite
         yield batch.slice(start)
 
 
+def by_place(df: DataFrame, **more: Column) -> DataFrame:
+    """``df`` with its columns named ``c0``, ``c1``, ... so that no name added later can meet them, and ``more`` behind."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.select("*", *[c.alias(n) for n, c in more.items()]).toDF(*names, *more)
+
+
+def with_names(df: DataFrame, names: list[str], **more: Column) -> DataFrame:
+    """The columns of a ``by_place`` frame under their own names, then ``more``, which replaces columns of its names."""
+    taken = {n.lower() for n in more}
+    stay = [i for i, n in enumerate(names) if n.lower() not in taken]
+    return df.select(*[f"c{i}" for i in stay], *more.values()).toDF(*[names[i] for i in stay], *more)
+
+
 def dense_rank_in_key(df: DataFrame, key: str, order: list[str | Column], out: str, buckets: int | None = None) -> DataFrame:
     """Number the rows of each ``key`` from 0 without a gap, in no task a whole key.
 

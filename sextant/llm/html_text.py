@@ -326,4 +326,4 @@ def extract_main_text(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays(made, names=["page_id", "url", "text", "n_chars"])
 
     frame = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return map_rows(frame, "page_id long, url string, text string, n_chars long", per_batch)
+    return map_rows(frame, "page_id long, url string, text string, n_chars long", per_batch, text=2)

@@ -242,6 +242,37 @@ def test_bands_against_plain_ratios(spark):
     assert [rows[i]["kept"] for i in range(7)] == [True, True, True, False, False, False, False]
 
 
+def plain_verdict(text, bands):
+    """The whole ratio and the share of bytes in chunks outside their limits, chunk by chunk."""
+    pack = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+    limits = lambda n: [(lo, hi) for least, lo, hi in zip(bands.least, bands.low, bands.high, strict=True) if least <= n][-1]
+    raw, at, bad = text.encode(), 0, 0
+    while at < len(raw):
+        piece = raw[at : at + 4096]
+        low, high = (0.18, 0.74) if len(piece) == 4096 else limits(len(piece))
+        bad += len(piece) * (not low <= pack(piece) <= high)
+        at += 4096
+    low, high = limits(len(raw))
+    return pack(raw), bad / len(raw), low <= pack(raw) <= high and 4 * bad <= len(raw)
+
+
+def test_every_byte_lies_in_a_judged_chunk(spark):
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8))) for _ in range(500)]
+    prose = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))[:n]
+    noise = lambda n: "".join(chr(rnd.randrange(0x21, 0x7F)) for _ in range(n))
+    texts = [prose(n) + noise(m) + prose(k) for n, m, k in [(4096, 2009, 0), (4096, 0, 0), (3000, 0, 0), (9000, 900, 0), (9000, 4000, 0), (20_000, 0, 0), (500, 2000, 4500), (5000, 60, 0)]]
+    texts += [prose(4096) + "ab " * 700, prose(6000)]
+    bands = quality_rules.Bands()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in quality_rules.score_documents(frame).collect():
+        ratio, bad, good = plain_verdict(texts[r["doc_id"]], bands)
+        assert (r["ratio"], r["bad_chunks"]) == pytest.approx((ratio, bad))
+        assert r["kept"] == (good and not r["base_failed"])
+    assert plain_verdict(texts[0], bands)[2] is False and plain_verdict(texts[8], bands)[2] is False
+    assert all(plain_verdict(texts[i], bands)[2] for i in (1, 2, 5, 7, 9))
+
+
 def test_clean_documents_are_kept(spark):
     folder = data("sf0.01")
     scored = quality_rules.score_documents(spark.read.parquet(f"{folder}/documents.parquet"))
@@ -251,9 +282,10 @@ def test_clean_documents_are_kept(spark):
 
 def test_kept_rows_have_their_columns(spark):
     docs = docs_of(spark, REPEATS).withColumn("n_words", F.lit("mine")).withColumn("extra", F.array(F.lit(1)))
+    docs = docs.withColumn("__text", F.lit(5)).withColumn("c0", F.lit(6)).withColumn("__kept", F.lit(False))
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
-    assert {r["doc_id"] for r in kept.collect()} == {2}
+    assert [(r["doc_id"], r["n_words"], r["__text"], r["c0"], r["__kept"]) for r in kept.collect()] == [(2, "mine", 5, 6, False)]
 
 
 # --- token counts ---
