@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, checkpointed
+from .common import BLANKS, by_place, checkpointed, with_names
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -22,14 +22,8 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` plus ``kept_text``, ``n_lines`` and ``n_dropped``.
-
-    A null or empty text is one empty line. Lines whose key has ``min_chars``
-    code points or more and is in at least ``min_docs`` documents go, except in the
-    smallest ``doc_id`` that holds it; a document's own repeats count once. Rows
-    without a ``doc_id`` neither count nor lose a line. Rows that share a
-    ``doc_id`` are one document. Other columns pass through; no rows give none.
+def _without_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` by place with ``text`` and what is left of it: ``n_lines``, ``n_dropped``, ``kept``.
 
     Lines travel as two 64-bit hashes with their document and position, never as
     text. The count per hash combines on the map side, so a line in a third of all
@@ -37,57 +31,64 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     are joined back to their rows: both sides are then plain exchanges, whose skewed
     keys adaptive execution splits.
     """
-    read = docs.select(
-        F.col("doc_id").alias("__doc"),
-        F.xxhash64("text").alias("__text"),
-        F.posexplode(F.transform(_lines(F.col("text").cast("string")), line_key)).alias("__at", "__key"),
-    )
-    lines = read.where(F.col("__doc").isNotNull() & (F.length("__key") >= min_chars)).select(
-        "__doc", "__text", "__at", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit("line"), "__key").alias("__h2")
+    doc, text = F.col("doc_id"), F.col("text").cast("string")
+    read = docs.select(doc.alias("doc"), F.xxhash64(text).alias("same"), F.posexplode(F.transform(_lines(text), line_key)).alias("at", "key"))
+    lines = read.where(F.col("doc").isNotNull() & (F.length("key") >= min_chars)).select(
+        "doc", "same", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2")
     )
-    by_key = lines.groupBy("__h1", "__h2")
     if min_docs == 2:
-        common = by_key.agg(F.min("__doc").alias("__keeper"), F.max("__doc").alias("__last")).where("__keeper <> __last")
+        common = lines.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper <> last")
     else:
-        each = lines.groupBy("__h1", "__h2", "__doc").agg(F.lit(1).alias("__one"))
-        common = each.groupBy("__h1", "__h2").agg(F.min("__doc").alias("__keeper"), F.count(F.lit(1)).alias("__n"))
-        common = common.where(F.col("__n") >= min_docs)
+        each = lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
+        common = each.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     gone = (
-        lines.join(checkpointed(common.select("__h1", "__h2", "__keeper")), ["__h1", "__h2"])
-        .where("__doc <> __keeper")
-        .groupBy("__doc", "__text")
-        .agg(F.collect_set("__at").alias("__gone"))
+        lines.join(checkpointed(common.select("h1", "h2", "keeper")), ["h1", "h2"])
+        .where("doc <> keeper")
+        .groupBy("doc", "same")
+        .agg(F.collect_set("at").alias("gone"))
     )
-    joined = docs.withColumn("__hash", F.xxhash64("text")).join(
-        gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__hash") == F.col("__text")), "left"
-    )
-    every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    kept = F.transform(F.array_except(every, F.col("__gone")), lambda i: F.get(F.col("__lines"), i))
+    named = by_place(docs, in_doc=doc, text=text).withColumn("in_same", F.xxhash64("text"))
+    joined = named.join(gone, (F.col("in_doc") == F.col("doc")) & (F.col("in_same") == F.col("same")), "left")
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    kept = F.transform(F.array_except(every, F.col("gone")), lambda i: F.get(F.col("lines"), i))
     return (
-        joined.withColumn("__lines", _lines(F.col("text").cast("string")))
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
-        .withColumn(
-            "kept_text",
-            F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.coalesce(F.col("text").cast("string"), F.lit(""))),
-        )
-        .drop("__hash", "__doc", "__text", "__gone", "__lines")
+        joined.withColumn("lines", _lines(F.col("text")))
+        .withColumn("n_lines", F.size("lines").cast("long"))
+        .withColumn("n_dropped", F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long"))
+        .withColumn("kept", F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.coalesce("text", F.lit(""))))
     )
 
 
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` plus ``n_lines``, ``n_dropped`` and ``kept_text``, which replace columns of these names.
+
+    A null or empty text is one empty line. Lines whose key has ``min_chars``
+    code points or more and is in at least ``min_docs`` documents go, except in the
+    smallest ``doc_id`` that holds it; a document's own repeats count once. Rows
+    without a ``doc_id`` neither count nor lose a line. Rows that share a
+    ``doc_id`` are one document. Other columns pass through, whatever they are named;
+    no rows give none.
+    """
+    out = _without_common_lines(docs, min_chars, min_docs)
+    return with_names(out, docs.columns, n_lines=F.col("n_lines"), n_dropped=F.col("n_dropped"), kept_text=F.col("kept"))
+
+
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines gone from ``text``, and ``n_chars`` in step with it.
 
-    Null texts stay null; documents that lose every line stay with an empty text.
+    Null texts stay null; documents that lose every line stay with an empty text. All
+    other columns pass through as they are, whatever they are named.
     """
-    out = dedup_lines(docs)
+    out, values = _without_common_lines(docs), []
     changed = F.col("n_dropped") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    values = {c: F.col(c) for c in docs.columns} | {"text": text}
-    if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[v.alias(c) for c, v in values.items()])
+    for i, (name, kind) in enumerate(docs.dtypes):
+        value = F.col(f"c{i}")
+        if name.lower() == "text":
+            value = F.when(changed, F.col("kept")).otherwise(value)
+        elif name.lower() == "n_chars":
+            value = F.when(changed, F.length("kept").cast(kind)).otherwise(value)
+        values.append(value)
+    return out.select(*values).toDF(*docs.columns)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -198,6 +198,22 @@ def test_dropping_lines_keeps_columns(spark):
     assert out.where("doc_id = 1").first()["text"] is None and out.where("doc_id = 2").first()["n_chars"] == 99
 
 
+def test_lines_with_columns_of_any_name(spark):
+    """Columns named like those the operator adds or uses inside keep their values."""
+    names = ["n_lines", "n_dropped", "kept_text", "__doc", "doc", "same", "gone", "lines", "kept", "c0", "in_doc", "h1"]
+    rows = [(i, t, *range(n, n + len(names))) for n, (i, t) in enumerate(LINES)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    out = line_dedup.drop_repeated_lines(docs)
+    assert out.columns == docs.columns
+    plain = line_dedup.drop_repeated_lines(spark.createDataFrame(LINES, "doc_id bigint, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(map(tuple, plain.collect()))
+    assert sorted(tuple(r)[2:] for r in out.collect()) == [r[2:] for r in rows]
+    added = line_dedup.dedup_lines(docs)
+    assert added.columns == ["doc_id", "text", *names[3:], *names[:3]]
+    four = added.where("doc_id = 4").first()
+    assert (four["n_lines"], four["n_dropped"], four["kept_text"]) == (5, 2, "own line of four here\n\n short")
+
+
 # --- benchmark ---
 
 
@@ -317,7 +333,6 @@ def check_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts}
     rows = packing.pack_documents(docs, with_ids=True).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -413,6 +428,23 @@ def test_shards(spark):
     assert resharding.shard_digest(empty(spark)).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    docs = spark.read.parquet(f"{data('sf0.1')}/documents.parquet").select("doc_id", "text")
+    hot = spark.range(3000).select((F.col("id") + 10**6).alias("doc_id"), F.repeat(F.lit("one text of many rows "), 40).alias("text"))
+    placed = resharding.shard_digest(docs.union(hot)).select("doc_id", "shard").join(docs.union(hot), "doc_id")
+    assert placed.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+
+
+def test_shards_with_columns_of_any_name(spark):
+    names = ["__size", "__old", "__block", "bytes", "old", "new", "piece", "c1", "h_old"]
+    rows = [(i, f"text {i % 50} " * 20, i % 3, *range(i, i + len(names))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard int, " + ", ".join(f"{n} int" for n in names))
+    out = resharding.reshard(docs, 4)
+    assert out.columns == [*docs.columns[:3], *names[2:], "__size", "__old", "__new"]
+    assert sorted(tuple(r)[3:10] for r in out.collect()) == [r[5:] for r in rows]
+    assert all(r["__size"] == len(r["text"]) + 1 for r in out.collect())
+
+
 def test_sample_shards_are_near_equal(spark):
     docs = spark.read.parquet(f"{data('sf0.1')}/documents.parquet")
     sizes = [r["b"] for r in resharding.shard_digest(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
