@@ -2,8 +2,8 @@
 
 The layout is known by block: an old shard is cut into a fixed number of blocks
 by the hash of the text, so equal texts share a block, and a block too heavy to
-move as one is cut further by the hash of ``doc_id``. Block sizes are summed by
-Spark. Their number has a fixed bound whatever the input, and the flow and the
+move as one is cut further by more of the same hash, so that equal texts share a
+piece too. Block sizes are summed by Spark. Their number has a fixed bound whatever the input, and the flow and the
 choice of blocks are solved on it. Rows then look up where their block goes.
 """
 
@@ -12,10 +12,10 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_rank_in_key
+from .common import by_place, checkpointed, dense_rank_in_key, with_names
 
 SHARDS = 16
 BLOCKS = 256
@@ -111,44 +111,50 @@ def block_moves(blocks: list[tuple[int, int, int, int]], flow: list[list[int]])
     return moved
 
 
-def reshard(docs: DataFrame, shards: int = SHARDS, old_shard=None, cost: list[list[int]] | None = None) -> DataFrame:
-    """``docs`` plus ``__size``, ``__old``, ``__new``: where each row is and where it goes.
+def _placed(docs: DataFrame, shards: int, old_shard: Column | None, cost: list[list[int]] | None, length: Column | None = None) -> DataFrame:
+    """``docs`` by place with ``text``, ``bytes``, ``old`` and ``new``.
 
-    ``old_shard`` is an integer column of the layout to change; without one the
-    text's hash decides, as a first layout. ``cost`` is what a byte costs from an
-    old to a new shard; without one every move costs 1 and staying nothing. A null
-    text has no bytes; every row counts one byte more. No rows give no rows.
-    Rows equal in all columns share a piece and so a shard.
+    With ``length``, ``text`` may be a digest of the text, whose bytes it tells.
     """
-    text = F.col("text").cast("string")
-    old = F.pmod(F.xxhash64(text), F.lit(shards)).cast("int") if old_shard is None else old_shard
-    sized = docs.withColumn("__size", F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + 1)
-    sized = sized.withColumn("__old", old).withColumn("__block", F.pmod(F.xxhash64(F.lit("block"), text), F.lit(BLOCKS)).cast("int"))
-    summed = sized.groupBy("__old", "__block").agg(F.sum("__size").alias("size")).collect()
+    spark, text = docs.sparkSession, F.col("text").cast("string")
+    old = F.pmod(F.xxhash64(text), F.lit(shards)).cast("int") if old_shard is None else old_shard.cast("int")
+    size = F.octet_length(F.coalesce(text, F.lit(""))) if length is None else length
+    sized = by_place(docs, text=text, old=old, bytes=size.cast("long") + 1)
+    mixed = F.xxhash64(F.lit("block"), "text")
+    sized = sized.withColumn("block", F.pmod(mixed, F.lit(BLOCKS)).cast("int")).withColumn("rest", F.shiftright(mixed, 8))
+    summed = sized.groupBy("old", "block").agg(F.sum("bytes").alias("size")).collect()
     total = sum(r["size"] for r in summed)
-    spark = docs.sparkSession
-    heavy = [(r["__old"], r["__block"], -(-r["size"] * FINE // total)) for r in summed if r["size"] * HEAVY > total]
-    cuts = spark.createDataFrame(heavy, "h_old int, h_block int, pieces int")
-    on = (F.col("__old") == F.col("h_old")) & (F.col("__block") == F.col("h_block"))
-    piece = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int")
-    placed = sized.join(F.broadcast(cuts), on, "left").withColumn("__piece", piece).drop("h_old", "h_block", "pieces")
-    light = [(r["__old"], r["__block"], 0, r["size"]) for r in summed if r["size"] * HEAVY <= total]
+    heavy = [(r["old"], r["block"], -(-r["size"] * FINE // total)) for r in summed if r["size"] * HEAVY > total]
+    cuts = F.broadcast(spark.createDataFrame(heavy, "h_old int, h_block int, pieces int"))
+    is_cut = (F.col("old") == F.col("h_old")) & (F.col("block") == F.col("h_block"))
+    sized = sized.join(cuts, is_cut, "left").withColumn("piece", F.coalesce(F.pmod("rest", "pieces"), F.lit(0)).cast("int"))
+    blocks = [(r["old"], r["block"], 0, r["size"]) for r in summed if r["size"] * HEAVY <= total]
     if heavy:
-        fine = placed.join(F.broadcast(cuts), on).groupBy("__old", "__block", "__piece").agg(F.sum("__size").alias("size")).collect()
-        light += [tuple(r) for r in fine]
-    have = sorted({r["__old"] for r in summed})
+        fine = sized.where("h_old is not null").groupBy("old", "block", "piece").agg(F.sum("bytes").alias("size"))
+        blocks += [tuple(r) for r in fine.collect()]
     size_of = defaultdict(int)
-    for o, _, _, size in light:
+    for o, _, _, size in blocks:
         size_of[o] += size
-    span = max([shards - 1, *have]) + 1
-    supply = [size_of[o] for o in range(span)]
-    capacity = near_equal(total, shards)
+    span = max([shards - 1, *size_of]) + 1
     price = cost or [[int(i != j) for j in range(shards)] for i in range(span)]
-    moves = block_moves(light, min_cost_flow(supply, capacity, price))
-    plan = spark.createDataFrame(moves, "m_old int, m_block int, m_piece int, m_new int")
-    same = (F.col("__old") == F.col("m_old")) & (F.col("__block") == F.col("m_block")) & (F.col("__piece") == F.col("m_piece"))
-    out = placed.join(F.broadcast(plan), same, "left").withColumn("__new", F.coalesce("m_new", "__old"))
-    return out.drop("__block", "__piece", "m_old", "m_block", "m_piece", "m_new")
+    moves = block_moves(blocks, min_cost_flow([size_of[o] for o in range(span)], near_equal(total, shards), price))
+    plan = F.broadcast(spark.createDataFrame(moves, "m_old int, m_block int, m_piece int, m_new int"))
+    same = (F.col("old") == F.col("m_old")) & (F.col("block") == F.col("m_block")) & (F.col("piece") == F.col("m_piece"))
+    return sized.join(plan, same, "left").withColumn("new", F.coalesce("m_new", "old"))
+
+
+def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = None, cost: list[list[int]] | None = None) -> DataFrame:
+    """``docs`` plus ``__size``, ``__old``, ``__new``, which replace columns of these names: where each row is and where it goes.
+
+    ``old_shard`` is an integer column of the layout to change, not negative; without one
+    the text's hash decides, as a first layout. ``cost`` is what a byte costs from an
+    old to a new shard; without one every move costs 1 and staying nothing. A null
+    text has no bytes; every row counts one byte more. No rows give no rows.
+    Rows of equal text that are in one old shard share a new one; so texts that make
+    up more than a shard's share of all bytes make that shard larger than the others.
+    """
+    out = _placed(docs, shards, old_shard, cost)
+    return with_names(out, docs.columns, __size=F.col("bytes"), __old=F.col("old"), __new=F.col("new"))
 
 
 def rewrite_affected(docs: DataFrame, folder: str, shards: int = SHARDS, shard_column: str = "shard") -> tuple[list[int], DataFrame]:
@@ -157,12 +163,12 @@ def rewrite_affected(docs: DataFrame, folder: str, shards: int = SHARDS, shard_c
     The changed shards go to ``folder``, one directory each; the rest stay where
     they are. Returns the changed shards and the whole table in its new layout.
     """
-    moved = reshard(docs, shards, F.col(shard_column).cast("int"))
-    changes = moved.where("__old <> __new").select(F.explode(F.array("__old", "__new")).alias("s")).distinct()
+    moved = _placed(docs, shards, F.col(shard_column), None)
+    changes = moved.where("old <> new").select(F.explode(F.array("old", "new")).alias("s")).distinct()
     changed = sorted(r["s"] for r in changes.collect())
     if not changed:
         return [], docs
-    rows = moved.withColumn(shard_column, F.col("__new").cast("int")).select(*docs.columns)
+    rows = moved.select(*[F.col("new") if n == shard_column else F.col(f"c{i}") for i, n in enumerate(docs.columns)]).toDF(*docs.columns)
     rows.where(F.col(shard_column).isin(changed)).write.mode("overwrite").partitionBy(shard_column).parquet(folder)
     rest = docs.where(~F.col(shard_column).cast("int").isin(changed)).withColumn(shard_column, F.col(shard_column).cast("int"))
     written = docs.sparkSession.read.parquet(folder).select(*docs.columns)
@@ -172,8 +178,8 @@ def rewrite_affected(docs: DataFrame, folder: str, shards: int = SHARDS, shard_c
 def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` of every row; the law is ``bytes``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    small = reshard(docs.select("doc_id", "text"), shards).select(
-        "doc_id", F.col("__size").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.col("__new").alias("shard")
-    )
+    read = docs.select("doc_id", F.octet_length(text).alias("n"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.sha2(text, 256).alias("text"))
+    small = _placed(checkpointed(read), shards, None, None, F.col("n"))
+    small = small.select(F.col("c0").alias("doc_id"), F.col("bytes").alias("size"), F.col("c2").alias("text_crc32"), F.col("new").alias("shard"))
     slotted = dense_rank_in_key(small, "shard", ["doc_id", "size", "text_crc32"], "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
