@@ -1,9 +1,12 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page becomes a flat run of text blocks. A block's features are its word count and
-link density and those of its neighbours, with hints from the elements around it.
-A decision tree, grown on a small table of labelled blocks made by rule, tells the
-article's blocks from menus, notices, comments and the like.
+link density and those of the block before and the one after. A decision tree, grown
+on a small table of labelled blocks made by rule, tells the article's blocks from link
+lists, site names, notes and the like. Prose that is no part of the article can't be
+told by words and links: elements that HTML has for other things, and elements whose
+class, id or role says in whole that they are a comment, an advert or such, are never
+given to the tree; they are only neighbours.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("nav header footer aside form button dialog menu fieldset".split())
 STORY = frozenset("article main".split())
 #: Elements that don't end the head.
@@ -40,15 +42,22 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_BOILER = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumb\w*|byline|comment\w*|consent|cookie\w*|disqus|footer|gdpr|header|masthead|menu\w*|modal"
-    r"|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*"
-    r"|subscribe|tags|teaser|toolbar|widget\w*)(?:[^a-z]|$)",
-    re.I,
+# Words that name what is not the article, and words that say nothing beside them.
+ASIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar"
+    " navigation newsletter notice pagination popup promo promotion related replies reply share sharing sidebar signup skip social sponsor sponsored"
+    " subscribe toolbar widget contentinfo complementary".split()
 )
-_STORYLIKE = re.compile(r"(?:^|[^a-z])(?:article\w*|content|entry|main|post|story|text)(?:[^a-z]|$)", re.I)
-#: Elements that only mean furniture outside of an article: its own heading has one too.
-_OUTSIDE = frozenset(["header"])
+NEUTRAL_NAMES = frozenset("area bar block box container form item items link links list main page posts section site top user widgets wrap wrapper".split())
+
+
+def names_an_aside(names: str) -> bool:
+    """Whether one of the blank-separated names is made of such words only, as ``cookie-notice`` but not ``header-image``."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p]
+        if any(p in ASIDE_NAMES for p in parts) and all(p in ASIDE_NAMES or p in NEUTRAL_NAMES for p in parts):
+            return True
+    return False
 
 
 @dataclass
@@ -56,18 +65,15 @@ class Block:
     text: str
     words: int
     linked: int
-    story: bool
-    furniture: bool
-    named: bool
-    heading: bool
+    aside: bool
 
 
 @dataclass
 class _Open:
     name: str
-    story: bool
-    furniture: bool
-    named: bool
+    story: bool = False
+    element: bool = False
+    named: bool = False
 
 
 @dataclass
@@ -87,10 +93,9 @@ class _Page:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                top = self.open[-1] if self.open else _Open("", False, False, False)
-                heading = any(o.name in HEADINGS for o in self.open[-3:])
+                top = self.open[-1] if self.open else _Open("")
                 words, linked = len(text.split()), len(html.unescape(" ".join(self.linked)).split())
-                self.blocks.append(Block(text, words, min(words, linked), top.story, top.furniture, top.named, heading))
+                self.blocks.append(Block(text, words, min(words, linked), top.element or top.named))
         self.parts, self.linked = [], []
 
 
@@ -133,12 +138,12 @@ def blocks_of(page: str) -> list[Block]:
         elif name not in VOID and not m["rest"].rstrip().endswith("/"):
             if name == "p" and state.open and state.open[-1].name == "p":
                 state.open.pop()
-            above = state.open[-1] if state.open else _Open("", False, False, False)
-            called = " ".join(_NAMED.findall(m["rest"])) if "=" in m["rest"] else ""
-            story = above.story or name in STORY or bool(called and _STORYLIKE.search(called))
-            furniture = above.furniture or name in FURNITURE and not (name in _OUTSIDE and above.story)
-            named = above.named or bool(called and name not in ("body", "html", *STORY) and _BOILER.search(called))
-            state.open.append(_Open(name, story, furniture, named))
+            above = state.open[-1] if state.open else _Open("")
+            called = " ".join(n.strip("\"'") for n in _NAMED.findall(m["rest"])) if "=" in m["rest"] else ""
+            # An article's own header is part of it; an article inside a named wrapper is one all the same.
+            element = above.element or name in FURNITURE and not (name == "header" and above.story)
+            named = bool(called) and name not in ("body", "html") and names_an_aside(called) or above.named and name not in STORY
+            state.open.append(_Open(name, above.story or name in STORY, element, named))
     if not hidden or page[done:].strip():
         state.text(page[done:])
     state.end_block()
@@ -146,13 +151,10 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
-    """Words and link density of each block, the one before and the one after, then the hints."""
+    """Words and link density of each block, the one before and the one after."""
     words = np.array([0, *(b.words for b in blocks), 0], float)
     density = np.array([0, *(b.linked / b.words for b in blocks), 0], float)
-    hints = np.array([(b.story, b.furniture, b.named, b.heading, b.text[-1] in ".!?:;\"'”’»…") for b in blocks], float).reshape(-1, 5)
-    near = [words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]]
-    storied = np.full(len(blocks), float(any(b.story for b in blocks)))
-    return np.column_stack([*near, hints, storied])
+    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]])
 
 
 @dataclass(frozen=True)
@@ -212,88 +214,67 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 5) -> Tree:
 
 
 def labelled_pages(count: int, seed: int) -> list[tuple[str, list[tuple[str, bool]]]]:
-    """Made-up pages and their blocks in order, each with whether it is of the article."""
+    """Made-up pages and their blocks in order, each with whether it is of the article.
+
+    No element or name tells a block's kind; class names are any words.
+    """
     rnd = random.Random(seed)
     vocabulary = ["".join(rnd.choice("aeiou") + rnd.choice("bcdfglmnprst") for _ in range(rnd.randint(1, 4))) for _ in range(400)]
 
     def words(low: int, high: int) -> str:
         return " ".join(rnd.choices(vocabulary, k=rnd.randint(low, high)))
 
-    def sentence() -> str:
-        return words(4, 22).capitalize() + "."
-
     def prose(low: int, high: int) -> str:
-        return " ".join(sentence() for _ in range(rnd.randint(low, high)))
+        return " ".join(words(4, 22).capitalize() + "." for _ in range(rnd.randint(low, high)))
 
     out = []
     for _ in range(count):
-        page: list[str] = []
         said: list[tuple[str, bool]] = []
 
-        def put(element: str, text: str, good: bool, link: bool = False) -> str:
+        def put(text: str, good: bool, linked: float = 0.0) -> str:
+            """A block; ``linked`` is the share of its words that a link holds."""
             said.append((text, good))
-            return f"<{element}>" + (f'<a href="/{len(said)}">{text}</a>' if link else text) + f"</{element.split()[0]}>"
+            parts = text.split(" ")
+            n = round(linked * len(parts))
+            shown = f'<a href="/{len(said)}">{" ".join(parts[:n])}</a> {" ".join(parts[n:])}' if n else text
+            tag = rnd.choice(["p", "div", "li", "h2"])
+            return f'<{tag} class="{rnd.choice(vocabulary)}">{shown}</{tag}>'
 
         def links(low: int, high: int) -> str:
-            return "".join(put("li", words(1, 3), False, True) for _ in range(rnd.randint(low, high)))
+            return "".join(put(words(1, 4), False, 1.0) for _ in range(rnd.randint(low, high)))
 
-        def wrap(tag: str, names: list[str], inside: str) -> str:
-            named = f' class="{rnd.choice(names)}"' if names and (tag == "div" or rnd.random() < 0.5) else ""
-            return f"<{tag}{named}>{inside}</{tag}>"
-
-        def comment_block() -> str:
-            return f'<{(t := rnd.choice(["div", "section", "ol"]))} class="{rnd.choice(["comments", "comment-list", "user comment", "replies"])}">' + "".join(
-                put(rnd.choice(["p", "li", "div"]), prose(1, 4), False) for _ in range(rnd.randint(1, 5))
-            ) + f"</{t}>"
-
-        if rnd.random() < 0.8:
-            page.append(wrap(rnd.choice(["header", "div"]), ["header", "masthead", "banner"], put("p", words(1, 8), False, rnd.random() < 0.5)))
+        page = []
+        if rnd.random() < 0.5:
+            page.append(put(words(1, 5), False, 1.0))  # a site's name
         if rnd.random() < 0.9:
-            page.append(wrap(rnd.choice(["nav", "div", "ul"]), ["menu", "nav", "navigation"], links(3, 9)))
+            page.append(links(3, 9))
         if rnd.random() < 0.5:
-            page.append(wrap("div", ["cookie-notice", "notice", "consent", "ad", "advert", "promo"], put("p", prose(1, 3), False)))
-        body = [put(rnd.choice(["h1", "h2"]), words(3, 14) + rnd.choice(["", "."]), True)]
-        for _ in range(rnd.randint(1, 12)):
+            page.append(put(words(3, 16), False, rnd.choice([0.3, 0.6])))  # a note with a link
+        page.append(put(words(2, 14), True))
+        for _ in range(rnd.choice([1, 1, 2, 3, 5, 8, 12, 20])):
             kind = rnd.random()
-            if kind < 0.75:
-                body.append(put("p", prose(1, 7), True))
-            elif kind < 0.85:
-                body.append(put("p", words(1, 3).capitalize() + ".", True))
-            elif kind < 0.92:
-                body.append(put("h2", words(2, 6), True))
-            elif kind < 0.96:
-                body.append("<ul>" + "".join(put("li", words(2, 9), True) for _ in range(rnd.randint(2, 4))) + "</ul>")
-            else:
-                body.append(put("blockquote", prose(1, 2), True))
-            if rnd.random() < 0.08:
-                body.append(wrap(rnd.choice(["div", "aside"]), ["ad", "related", "share", "newsletter"], put("p", rnd.choice([words(1, 8), prose(1, 2)]), False, rnd.random() < 0.4)))
-        inner = "".join(body)
-        if rnd.random() < 0.25:
-            inner += comment_block()
-        shell = rnd.random()
-        page.append(f"<article>{inner}</article>" if shell < 0.45 else f"<main>{inner}</main>" if shell < 0.6 else f'<div class="{rnd.choice(["content", "post", "entry-content"])}">{inner}</div>' if shell < 0.8 else f"<div>{inner}</div>")
-        if rnd.random() < 0.4:
-            page.append(comment_block())
-        if rnd.random() < 0.5:
-            page.append(wrap(rnd.choice(["aside", "div"]), ["sidebar", "widget", "related"], put("h3", words(1, 3), False) + links(2, 6) + put("p", prose(1, 2), False)))
+            page.append(put(prose(1, 7) if kind < 0.7 else words(1, 6), True, rnd.choice([0.0] * 8 + [0.05, 0.15])))
+            if rnd.random() < 0.05:
+                page.append(put(words(1, 6), False, 1.0))  # a link to more
+        if rnd.random() < 0.6:
+            page.append(put(words(1, 3), False, 1.0))
+            page.append(links(2, 6))
         if rnd.random() < 0.3:
-            page.append("<form>" + put("p", words(3, 9), False) + put("button", words(1, 2), False) + "</form>")
-        if rnd.random() < 0.4:
-            page.append(put("p", words(2, 12), False, rnd.random() < 0.6))
-        page.append(wrap(rnd.choice(["footer", "div"]), ["footer"], put("p", words(2, 14) + rnd.choice(["", "."]), False)))
+            page.append(put(prose(1, 1), False, 0.8))
+        if rnd.random() < 0.5:
+            page.append(put(words(2, 12), False, rnd.choice([0.3, 0.7, 1.0])))  # whose page it is
         out.append(("<html><body>" + "".join(page) + "</body></html>", said))
     return out
 
 
 def labelled_blocks(pages: list[tuple[str, list[tuple[str, bool]]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels; texts are made in page order, but nested makers finish early, so labels go by text."""
+    """Features and labels of all blocks."""
     xs, ys = [], []
     for page, said in pages:
-        label = {" ".join(t.split()): good for t, good in said}
         blocks = blocks_of(page)
-        known = [b.text in label for b in blocks]
-        xs.append(features_of(blocks)[known])
-        ys.append(np.array([label[b.text] for b in blocks if b.text in label], float))
+        assert [b.text for b in blocks] == [t for t, _ in said]
+        xs.append(features_of(blocks))
+        ys.append(np.array([good for _, good in said], float))
     return np.concatenate(xs), np.concatenate(ys)
 
 
@@ -307,7 +288,7 @@ def main_text(page: str | None, tree: Tree) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    return "\n".join(b.text for b, good in zip(blocks, tree.predict(features_of(blocks)), strict=True) if good)
+    return "\n".join(b.text for b, good in zip(blocks, tree.predict(features_of(blocks)), strict=True) if good and not b.aside)
 
 
 def extract_main_text(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
