@@ -1,21 +1,26 @@
-"""SimHash near-duplicate groups by exact comparison of fingerprint tiles.
+"""SimHash near-duplicate groups by tiled exact comparison of fingerprints.
 
-A fingerprint's tile is the triple of population counts of its bits 0-20, 21-41
-and 42-63. Two fingerprints that differ in at most ``radius`` bits have triples
-that differ by at most ``radius`` in sum, so only such tile pairs are compared,
-every pair of a tile pair by exclusive-or and bit count in numpy. There are at
-most 22 * 22 * 23 tiles whatever the input, which bounds what is broadcast.
+Fingerprints are cut into cells that hold every pair to be found, and a cell's into
+tiles of equal population count. Tile pairs whose counts differ beyond the radius are
+skipped, all pairs of the others are compared by exclusive-or and bit count in numpy.
+
+Fingerprints within ``radius`` bits agree in at least one of ``radius + 1`` parts, so
+for groups by fingerprint a cell is a part and its bits: each fingerprint is sent
+``radius + 1`` times, however many there are. Near copies by shingle sets lie too many
+bits apart for that. There a cell is a class of set sizes, since sets of ``similarity``
+have sizes that near; found fingerprints are compared by their whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
-from itertools import product
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, map_rows, short_batches
@@ -23,10 +28,13 @@ from .common import checkpointed, connected_components, map_rows, short_batches
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: The bits of the three parts and how many there are.
-PARTS = ((0, 21), (21, 21), (42, 22))
-#: Most fingerprints held by a task at a time; larger tiles are split.
-CHUNK = 1 << 16
+#: Fingerprints that a cell is made for, and most of one piece of it.
+CELL, CHUNK = 1 << 12, 1 << 20
+#: Near copies: words of a shingle, similarity of the sets, bits of 128 and of the first 64 within which pairs are sought.
+SET_WORDS, SIMILARITY = 5, 0.8
+SET_RADIUS, SET_FIRST = 28, 19
+#: Shingles of a proposed group that are compared in one piece.
+MOST_HASHES = 1 << 21
 
 _ONES = np.uint64(0x0101010101010101)
 
@@ -83,134 +91,156 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, fp long", per_batch)
 
 
-class _Home:
-    """The fingerprints of one tile chunk, and which of them are known to be linked."""
+@dataclass
+class _Tiles:
+    """Fingerprints in order of population count, and which of them are known to be linked."""
+
+    fp: np.ndarray  # fingerprints x words of 64 bits
+    rep: np.ndarray
+    radius: int
+    #: Most differing bits in the first word; a first sieve where there are several.
+    first: int
+
+    def __post_init__(self):
+        ones = np.bitwise_count(self.fp).sum(axis=1, dtype=np.int64)
+        order = np.argsort(ones, kind="stable")
+        self.fp, self.rep = np.ascontiguousarray(self.fp[order].T), self.rep[order]
+        self.starts = np.searchsorted(ones[order], np.arange(64 * len(self.fp) + 2))
+        self.parent = np.arange(len(self.rep))
 
-    def __init__(self, fp: np.ndarray, rep: np.ndarray, radius: int):
-        self.radius = radius
-        fine = _fine(fp)
-        order = np.lexsort(fine.T)
-        self.fp, self.rep, fine = fp[order], rep[order], fine[order]
-        new = np.flatnonzero(np.r_[True, (fine[1:] != fine[:-1]).any(axis=1)])
-        self.keys, self.starts, self.ends = fine[new], new, np.r_[new[1:], len(fp)]
-        self.label = np.arange(len(fp))
+    def _roots(self, at: np.ndarray) -> np.ndarray:
+        roots = self.parent[at]
+        while (self.parent[roots] != roots).any():
+            roots = self.parent[roots]
+        self.parent[at] = roots
+        return roots
 
     def links(self, fp: np.ndarray, rep: np.ndarray) -> Iterator[tuple[int, int]]:
         """Edges that connect each visitor with all it lies near to; a spanning set, not all pairs."""
-        if len(self.fp) <= 4096:
-            yield from self._against(fp, rep, np.arange(len(self.fp)))
-            return
-        fine = _fine(fp)
-        order = np.lexsort(fine.T)
-        fp, rep, fine = fp[order], rep[order], fine[order]
-        new = np.flatnonzero(np.r_[True, (fine[1:] != fine[:-1]).any(axis=1)])
-        for i, j in zip(new, np.r_[new[1:], len(fp)], strict=True):
-            near = np.flatnonzero(np.abs(self.keys - fine[i]).sum(axis=1) <= self.radius)
-            if near.size:
-                members = np.concatenate([np.arange(self.starts[k], self.ends[k]) for k in near])
-                yield from self._against(fp[i:j], rep[i:j], members)
-
-    def _against(self, fp: np.ndarray, rep: np.ndarray, members: np.ndarray) -> Iterator[tuple[int, int]]:
-        mine = self.fp[members]
-        step = max(1, (1 << 20) // max(1, len(mine)))
+        ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+        order = np.argsort(ones, kind="stable")
+        fp, rep, ones = fp[order], rep[order], ones[order]
+        new = np.flatnonzero(np.r_[True, ones[1:] != ones[:-1]]) if len(ones) else []
+        for i, j in zip(new, [*new[1:], len(ones)], strict=True):
+            low, high = max(0, ones[i] - self.radius), min(len(self.starts) - 2, ones[i] + self.radius)
+            low, high = int(self.starts[low]), int(self.starts[high + 1])
+            if low < high:
+                yield from self._against(fp[i:j], rep[i:j], low, high)
+
+    def _against(self, fp: np.ndarray, rep: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
+        step, size = max(1, (1 << 18) // (high - low)), len(self.rep)
         for i in range(0, len(fp), step):
-            far = np.bitwise_count(fp[i : i + step, None] ^ mine[None, :])
-            v, h = np.nonzero(far <= self.radius)
+            part = fp[i : i + step]
+            far = np.bitwise_count(part[:, 0, None] ^ self.fp[0, None, low:high])
+            v, h = np.nonzero(far <= self.first)
             if not v.size:
                 continue
-            pairs = np.unique(v * len(self.fp) + self.label[members[h]])
-            for who, label in zip((pairs // len(self.fp)).tolist(), (pairs % len(self.fp)).tolist(), strict=True):
-                yield int(rep[i + who]), int(self.rep[label])
-            one = pairs // len(self.fp)
+            far = far[v, h].astype(np.int64)
+            for word in range(1, len(self.fp)):
+                far += np.bitwise_count(part[v, word] ^ self.fp[word, low + h])
+            v, h = v[far <= self.radius], low + h[far <= self.radius]
+            pairs = np.unique(v * size + self._roots(h))
+            one, root = np.divmod(pairs, size)
+            yield from zip(rep[i + one].tolist(), self.rep[root].tolist(), strict=True)
             for k in np.flatnonzero(one[1:] == one[:-1]):  # a visitor between two known groups joins them
-                a, b = self.label[[pairs[k] % len(self.fp), pairs[k + 1] % len(self.fp)]]
-                if a != b:
-                    self.label[self.label == max(a, b)] = min(a, b)
+                a, b = self._roots(root[k : k + 2])
+                self.parent[max(a, b)] = min(a, b)
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """The two sides of each cell piece by piece; rows come sorted by ``cell``, ``one``, ``two`` and ``side``."""
+    held: list[pa.RecordBatch] = []
+    at = None
+
+    def sides() -> tuple[pa.Table, pa.Table]:
+        rows = pa.Table.from_batches(held)
+        side = rows["side"].to_numpy()
+        cut = int(np.searchsorted(side, 1))
+        home = rows.slice(0, cut)
+        return home, home if at[1] == at[2] and at[0] % 2 == 0 else rows.slice(cut)
+
+    for batch in batches:
+        cell, one, two = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        turn = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(cell) else []
+        for i, j in zip(turn, [*turn[1:], len(cell)], strict=True):
+            key = (cell[i], one[i], two[i])
+            if held and key != at:
+                yield sides()
+                held = []
+            at = key
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield sides()
+
+
+def _words(rows: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([rows[n].to_numpy().view(np.uint64) for n in names], axis=1)
 
 
-def _fine(fp: np.ndarray) -> np.ndarray:
-    """Population counts of the halves of each part."""
-    cuts = [(s + k * (n // 2), (n // 2, n - n // 2)[k]) for s, n in PARTS for k in (0, 1)]
-    return np.stack([np.bitwise_count((fp >> np.uint64(s)) & np.uint64((1 << n) - 1)) for s, n in cuts], axis=1).astype(np.int8)
+def _edges(found: Iterable[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(list(found), np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
 
-def _compare(radius: int):
+def _compare(radius: int, names: list[str], first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        """Rows come by tile and chunk, a chunk's own fingerprints before its visitors."""
-        at, own, home = None, [], None
-
-        def emit(edges):
-            a, b = np.array(edges, np.int64).reshape(-1, 2).T
-            keep = a != b
-            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-        def close():
-            fp, rep = (np.concatenate(x) for x in zip(*own, strict=True))
-            made = _Home(fp, rep, radius)
-            return made, list(made.links(fp, rep))
-
-        for batch in batches:
-            tile, chunk, visitor, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            fp = fp.view(np.uint64)
-            turn = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (chunk[1:] != chunk[:-1]) | (visitor[1:] != visitor[:-1])])
-            found: list[tuple[int, int]] = []
-            for i, j in zip(turn, np.r_[turn[1:], len(tile)], strict=True):
-                if at != (tile[i], chunk[i]):
-                    if own and home is None:
-                        found += close()[1]
-                    at, own, home = (tile[i], chunk[i]), [], None
-                if not visitor[i]:
-                    own.append((fp[i:j], rep[i:j]))
-                elif own:
-                    if home is None:
-                        home, edges = close()
-                        found += edges
-                    found += home.links(fp[i:j], rep[i:j])
-            if found:
-                yield emit(found)
-        if own and home is None:
-            yield emit(close()[1])
+        for home, visitors in _by_cell(batches):
+            tiles = _Tiles(_words(home, names), home["rep"].to_numpy(), radius, first)
+            yield _edges(tiles.links(_words(visitors, names), visitors["rep"].to_numpy()))
 
     return run
 
 
+def _within(cell: Column, home: Column, pieces: Column) -> Column:
+    """Where a row of a cell's piece ``home`` goes so that it meets all rows of the cell: each pair of pieces is a task.
+
+    ``cell`` has to be even; odd ones are for the meetings of two cells.
+    """
+
+    def place(other: Column) -> Column:
+        return F.struct(
+            cell.cast("long").alias("cell"),
+            F.least(home, other).alias("one"),
+            F.greatest(home, other).alias("two"),
+            (home > other).cast("int").alias("side"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), pieces - 1), place)
+
+
+def _met(rows: DataFrame, places: Column) -> DataFrame:
+    """``rows`` at all their ``places``, dealt and sorted for ``_by_cell``."""
+    at = rows.select(F.explode(places).alias("at"), *rows.columns)
+    at = at.select("at.cell", "at.one", "at.two", "at.side", *[c for c in rows.columns if c not in ("home", "pieces", "up", "down", "band")])
+    return at.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two", "side")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over all shuffle partitions, so that few tasks with many copies to make don't hold the rest up."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def in_cells(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """``reps(fp, rep)`` in cells of equal parts: ``radius + 1`` times each, and more only in cells of over ``chunk``.
+
+    Cells are as many as give them ``CELL`` fingerprints or the parts have bits for.
+    """
+    parts = radius + 1
+    cuts = [k * 64 // parts for k in range(parts + 1)]
+    count = reps.count()
+    slots = 1 << min(64 // parts, max(0, count // CELL).bit_length())
+    bits = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1)) for low, high in zip(cuts, cuts[1:], strict=False)]
+    cells = F.array(*[(F.pmod(b, F.lit(slots)) * parts + k) * 2 for k, b in enumerate(bits)])
+    rows = _spread(reps.select("fp", "rep")).select(F.explode(cells).alias("cell"), "fp", "rep")
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("pieces")).where("pieces > 1")
+    rows = rows.join(F.broadcast(sizes), "cell", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))  # at most parts * slots rows
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    return _met(rows.withColumnRenamed("cell", "band"), _within(F.col("band"), F.col("home"), F.col("pieces")))
+
+
 def near_links(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Edges ``(a, b)`` between the ``rep`` of distinct ``reps(fp, rep)`` that connect all pairs within ``radius`` bits."""
-    tile = F.lit(0)
-    for start, n in PARTS:
-        ones = F.bit_count(F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << n) - 1)))
-        tile = tile * 23 + ones
-    reps = reps.withColumn("tile", tile.cast("int"))
-    steps = [d for d in product(range(-radius, radius + 1), repeat=3) if sum(map(abs, d)) <= radius and d > (0, 0, 0)]
-    tiles = reps.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    # A tile's neighbours among the tiles that exist, by their three counts and not by number.
-    p = [F.floor(F.col("tile") / 529).cast("int"), F.floor(F.col("tile") / 23).cast("int") % 23, F.col("tile") % 23]
-    step = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate(d)]) for d in steps]))
-    near = tiles.select("tile", *[p[i].alias(f"p{i}") for i in range(3)], step.alias("d"))
-    for i in range(3):
-        near = near.withColumn(f"p{i}", F.col(f"p{i}") + F.col(f"d.d{i}"))
-    near = near.where(" and ".join(f"p{i} between 0 and 22" for i in range(3)))
-    near = near.select("tile", (F.col("p0") * 529 + F.col("p1") * 23 + F.col("p2")).alias("to"))
-    theirs = tiles.select(F.col("tile").alias("to"), F.col("chunks").alias("to_chunks"))
-    near = near.join(F.broadcast(theirs), "to").groupBy("tile").agg(F.collect_list(F.struct("to", "to_chunks")).alias("near"))
-    plan = tiles.join(near, "tile", "left")
-    own = reps.join(F.broadcast(plan), "tile").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    visit = F.flatten(
-        F.transform(
-            F.coalesce("near", F.array().cast("array<struct<to:int,to_chunks:int>>")),
-            lambda t: F.transform(
-                F.sequence(F.lit(0), t["to_chunks"] - 1),
-                lambda c: F.struct(t["to"].alias("tile"), c.alias("chunk"), F.lit(1).alias("visitor")),
-            ),
-        )
-    )
-    within = F.transform(
-        F.sequence(F.lit(0), F.col("mine")),
-        lambda c: F.struct(F.col("tile").alias("tile"), c.alias("chunk"), (c < F.col("mine")).cast("int").alias("visitor")),
-    )
-    dealt = own.select(F.explode(F.concat(within, visit)).alias("x"), "fp", "rep").select("x.tile", "x.chunk", "x.visitor", "fp", "rep")
-    dealt = dealt.repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "visitor")
-    return dealt.mapInArrow(_compare(radius), "a long, b long")
+    return in_cells(reps, radius, chunk).mapInArrow(_compare(radius, ["fp"], radius), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -234,10 +264,165 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = SHING
     )
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` but those of documents whose group has a smaller ``doc_id``.
+def shingle_set(text: str | None, words: int = SET_WORDS) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def content_of(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of the whole set."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other bits of the same shingles, for a fingerprint's second word."""
+    out = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(31))
+
+
+def set_fingerprints(docs: DataFrame, words: int = SET_WORDS) -> DataFrame:
+    """``(doc_id, content, n, fp, fp2)``: hash and size of each row's shingle set, and its 128-bit fingerprint."""
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+        bits = [majority_bits(sets), majority_bits([_mixed(s) for s in sets])]
+        made = [pa.array([content_of(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), *[pa.array(b.view(np.int64)) for b in bits]]
+        return pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "content", "n", "fp", "fp2"])
+
+    return map_rows(docs, "doc_id long, content long, n long, fp long, fp2 long", per_batch, text=1)
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """``(own_content, hashes)`` of every row of ``docs(doc_id, text)``."""
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+        made = [pa.array([content_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(made, names=["own_content", "hashes"])
+
+    return map_rows(docs, "own_content long, hashes array<long>", per_batch, text=1)
+
+
+def set_candidates(reps: DataFrame, similarity: float = SIMILARITY, radius: int = SET_RADIUS, chunk: int | None = None) -> DataFrame:
+    """Edges that connect all ``reps(rep, n, fp, fp2)`` within ``radius`` bits whose set sizes allow the similarity.
+
+    A set's band is its size's logarithm; sets of ``similarity`` are in one band or in
+    neighbouring ones. A band of over ``chunk`` sets is cut to pieces, each pair of
+    which is a task, so that a band with most sets is spread too. A piece is a 64th of
+    all sets, within limits, which keeps the copies of a set at 64 to 192 at most
+    until there are ``64 * CHUNK`` sets.
+    """
+    chunk = chunk or min(CHUNK, max(CELL, reps.count() // 64))
+    band = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)) + 1e-9)).otherwise(-1).cast("int")
+    reps = reps.select(band.alias("band"), "rep", "fp", "fp2")
+    sizes = reps.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("pieces"))
+    plan = sizes
+    for name, step in (("up", 1), ("down", -1)):
+        near = sizes.select((F.col("band") - step).alias("band"), F.col("pieces").alias(name))
+        plan = plan.join(near, "band", "left")
+    rows = _spread(reps).join(F.broadcast(plan), "band")  # bands are the logarithm of a set's size: a hundred at most
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("fp", "rep"), F.col("pieces")).cast("int"))
+    home = F.col("home")
+
+    def other(cell: Column, count: str, one, two, side: int) -> Column:
+        place = lambda k: F.struct(cell.cast("long").alias("cell"), one(k).alias("one"), two(k).alias("two"), F.lit(side).alias("side"))
+        return F.when(F.col(count).isNull(), F.array().cast("array<struct<cell:bigint,one:int,two:int,side:int>>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.coalesce(count, F.lit(1)) - 1), place)
+        )
+
+    places = F.concat(
+        _within(F.col("band") * 2, home, F.col("pieces")),
+        other(F.col("band") * 2 + 1, "up", lambda k: home, lambda k: k, 0),
+        other(F.col("band") * 2 - 1, "down", lambda k: k, lambda k: home, 1),
+    )
+    return _met(rows, places).mapInArrow(_compare(radius, ["fp", "fp2"], SET_FIRST), "a long, b long")
+
+
+def _similar(similarity: float, radius: int):
+    """Edges between the members of a group whose whole sets are similar enough; a spanning set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for home, visitors in _by_cell(batches):
+            found, parent = [], list(range(home.num_rows))
+            sets, fps, reps = _hash_sets(home), _words(home, ["fp", "fp2"]), home["rep"].to_pylist()
+            sizes = np.array([len(s) for s in sets])
+            same = visitors is home
+
+            def root(k: int) -> int:
+                while parent[k] != k:
+                    parent[k] = k = parent[parent[k]]
+                return k
+
+            their = sets if same else _hash_sets(visitors)
+            their_fps, their_reps = (fps, reps) if same else (_words(visitors, ["fp", "fp2"]), visitors["rep"].to_pylist())
+            for v, (one, fp, rep) in enumerate(zip(their, their_fps, their_reps, strict=True)):
+                last = v if same else len(sets)
+                far = np.bitwise_count(fps[:last] ^ fp).sum(axis=1)
+                size = sizes[:last]
+                near = np.flatnonzero((far <= radius) & (np.minimum(size, len(one)) >= similarity * np.maximum(size, len(one)) - 1e-9))
+                mine = {root(v)} if same else set()
+                for h in near[np.argsort(far[near], kind="stable")].tolist():
+                    if root(h) not in mine and _jaccard(sets[h], one) >= similarity - 1e-12:
+                        found.append((rep, reps[h]))
+                        for other in (*mine, *((v,) if same else ())):
+                            a, b = sorted((root(h), root(other)))
+                            parent[b] = a
+                        mine = {root(h)}
+            yield _edges(found)
+
+    return run
+
+
+def _hash_sets(rows: pa.Table) -> list[np.ndarray]:
+    return [h.values.to_numpy().view(np.uint64) for h in rows["hashes"]]
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets in ascending order."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(a, b)
+    common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS, most_hashes: int = MOST_HASHES) -> DataFrame:
+    """``(doc_id, component_id)`` of the rows of ``docs(doc_id, text, ...)`` with an id.
+
+    Words are those of the fingerprints; a text of ``words`` words or fewer is one
+    shingle and blank texts are equal. Sets of ``similarity`` or more link, and
+    ``component_id`` is the smallest ``doc_id`` reachable. Fingerprints of 128 bits
+    propose groups: a pair at similarity 0.8 lies within ``SET_RADIUS`` bits with
+    probability 0.98, nearer ones almost surely. In a proposed group whole sets
+    decide; members already known to be linked aren't compared again, and groups of
+    more than ``most_hashes`` shingles are cut to pieces, each pair of which is a task.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    signed = checkpointed(set_fingerprints(docs, words))
+    first = F.first(F.struct("n", "fp", "fp2")).alias("x")
+    reps = checkpointed(signed.groupBy("content").agg(F.min("doc_id").alias("rep"), first).select("content", "rep", "x.*"))
+    proposed = connected_components(set_candidates(reps, similarity)).select(F.col("vertex").alias("rep"), F.col("component").alias("group"))
+    members = reps.join(proposed, "rep")
+    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = _sets(texts, words).dropDuplicates(["own_content"])
+    large = members.groupBy("group").agg(F.ceil(F.sum("n") / most_hashes).cast("int").alias("pieces"))
+    rows = members.join(large, "group").join(sets, F.col("content") == F.col("own_content"))
+    rows = rows.select(F.col("group").alias("band"), F.greatest("pieces", F.lit(1)).alias("pieces"), "rep", "fp", "fp2", "hashes")
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("fp", "rep"), F.col("pieces")).cast("int"))
+    met = _met(rows, _within(F.col("band") * 2, F.col("home"), F.col("pieces")))
+    links = checkpointed(met.mapInArrow(_similar(similarity, SET_RADIUS), "a long, b long"))
+    # A repeated doc_id may have several sets, which its id holds together.
+    own = signed.join(reps.select("content", "rep"), "content").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    components = connected_components(links.union(own))
+    return signed.select("doc_id").distinct().join(components, F.col("doc_id") == F.col("vertex"), "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
+    """The rows of ``docs`` but those of documents whose group of near copies has a smaller ``doc_id``.
 
     Rows without a ``doc_id`` stay.
     """
-    gone = simhash_components(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_copies(docs, similarity, words).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -106,12 +106,35 @@ def test_tiles_lose_no_link(spark, chunk):
     assert {i: got.get(i, i) for i in want} == want
 
 
-def test_large_homes_skip_by_fine_counts():
+@pytest.mark.parametrize("slots", [1, 64])
+def test_copies_of_a_fingerprint_do_not_grow_with_the_corpus(spark, monkeypatch, slots):
+    """Cells get more with the fingerprints, and each is sent radius + 1 times whatever their number."""
+    rnd = np.random.default_rng(4)
+    monkeypatch.setattr(simhash, "CELL", 20_000 // slots)
+    for n in (2000, 20_000):
+        values = rnd.integers(-(2**63), 2**63, n, np.int64).tolist()
+        reps = spark.createDataFrame(list(zip(values, range(n), strict=True)), "fp bigint, rep bigint")
+        dealt = simhash.in_cells(reps, 4)
+        assert dealt.count() == 5 * n
+    cells = dealt.select("cell").distinct().count()
+    assert cells >= 5 * slots
+
+
+def test_tiles_compare_what_their_counts_allow():
     rnd = np.random.default_rng(3)
-    fp = rnd.integers(0, 2**64, 6000, np.uint64)
-    other = fp[:300] ^ np.uint64(0b1011)
-    home = simhash._Home(fp, np.arange(6000), 4)
-    assert set(home.links(other, np.arange(6000, 6300))) >= {(6000 + i, i) for i in range(300)}
+    fp = rnd.integers(0, 2**64, (3000, 2), np.uint64)
+    other = fp[:300] ^ np.array([0b1011, 1 << 60], np.uint64)
+    other[200:, 0] ^= np.uint64(0xFFFFF)
+    found = set(simhash._Tiles(fp, np.arange(3000), 4, 3).links(other, np.arange(5000, 5300)))
+    assert found == {(5000 + i, i) for i in range(200)}
+    one = simhash._Tiles(fp[:, :1], np.arange(3000), 20, 20)
+    got = {tuple(sorted(e)) for e in one.links(fp[:, :1], np.arange(3000))}
+    links = plain_groups(dict(enumerate(fp[:, 0].tolist())), 20)
+    label = list(range(3000))
+    for _ in range(60):
+        for a, b in got:
+            label[a] = label[b] = min(label[a], label[b])
+    assert dict(enumerate(label)) == links
 
 
 def test_simhash_edge_rows(spark):
@@ -120,9 +143,6 @@ def test_simhash_edge_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.simhash_components(docs).collect() if r["doc_id"] or r["component_id"])
     assert got == [(-1, 3), (3, 3), (3, 3), (5, 3), (9, 9)]
-    kept = simhash.drop_near_duplicates(docs.withColumn("component_id", F.lit("c")))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "3", "9", "None", "None"]
-    assert kept.columns == ["doc_id", "text", "component_id"]
 
 
 @settings(max_examples=6, deadline=None)

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sextant.llm import near_copies
+from sextant.llm import simhash
 
 from ..conftest import data
 
@@ -53,22 +54,40 @@ def test_stage_drops_copies_down_to_the_similarity(spark):
     assert kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("all_pairs", [16, 2])
-def test_groups_against_all_pairs(spark, monkeypatch, all_pairs):
-    monkeypatch.setattr(near_copies, "ALL_PAIRS", all_pairs)
+@pytest.mark.parametrize("pieces", [False, True])
+def test_groups_against_all_pairs(spark, monkeypatch, pieces):
+    """With ``pieces``, bands and groups are cut to many small tasks."""
     rnd = random.Random(5)
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data('sf0.01')}/documents.parquet").collect()]
     base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
     texts += [(50_000 + k, edited(rnd, base, 2)) for k in range(60)]  # one large group
     texts += [(60_000 + k, edited(rnd, base, 14)) for k in range(30)]  # near the group, mostly not in it
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
-    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    if pieces:
+        monkeypatch.setattr(simhash, "CHUNK", 50)
+    most = 3000 if pieces else simhash.MOST_HASHES
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, most_hashes=most).collect()}
     assert got == plain_components(texts)
 
 
+def test_pairs_at_the_similarity_are_proposed(spark):
+    """Pairs just over 0.8: the fingerprints' radius reaches nearly all."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(300):
+        body = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, edited(rnd, body, 4))]
+    want = {i for i, c in plain_components(rows).items() if i != c}
+    got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id <> component_id").collect()}
+    assert len(want) > 200 and got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_rows_at_the_edge(spark):
     rows = [(5, "same text here now"), (3, "Same text  here now"), (3, "else where it is"), (9, None), (8, " "), (7, "else where it is"), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {(r["doc_id"], r["component_id"]) for r in near_copies.near_copies(docs).collect()}
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs).collect()}
     assert got == {(5, 3), (3, 3), (7, 3), (8, 8), (9, 8)}
-    assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+    kept = simhash.drop_near_duplicates(docs.withColumn("component_id", F.lit("c")).withColumn("__gone", F.lit(1)))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("3", "Same text  here now"), ("3", "else where it is"), ("8", " "), ("None", "x")])
+    assert kept.columns == ["doc_id", "text", "component_id", "__gone"]
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0

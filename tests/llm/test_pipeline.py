@@ -11,7 +11,8 @@ import corpus_pipeline
 from sextant.llm.quality_rules import Bands
 
 from ..conftest import data
-from .test_corpus_operators import plain_fingerprint, plain_groups, plain_leaks
+from .test_corpus_operators import plain_leaks
+from .test_near_copies import plain_components
 from .test_text_operators import plain_measures, plain_verdict
 
 
@@ -100,8 +101,7 @@ def test_line_stage(stages):
 
 def test_near_stage(stages):
     before, after, *_ = stages["near_dedup"]
-    fp = {i: plain_fingerprint(t) for i, t in texts(before).items() if i is not None}
-    group = plain_groups(fp, 4)
+    group = plain_components([(i, t) for i, t in texts(before).items() if i is not None])
     assert set(texts(after)) == {i for i in group if group[i] == i} | {None}
     assert 90_001 in texts(after) and 90_002 not in texts(after)
 
