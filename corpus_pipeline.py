@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm.common import table
+from sextant.llm.common import shared_folder, table
 from sextant.llm.decontamination import drop_contaminated
 from sextant.llm.line_dedup import drop_repeated_lines
-from sextant.llm.near_copies import drop_near_copies
 from sextant.llm.packing import pack_documents
 from sextant.llm.quality_rules import keep_good
+from sextant.llm.simhash import drop_near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar five-word shingle sets: the one of smallest id."""
-    return drop_near_copies(docs)
+    return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +55,8 @@ ORACLE_SQL: str | None = None
 
 
 def _stage_folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a temporary one only where none is set."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or tempfile.mkdtemp(prefix='spark-stages-')).rstrip('/')}{os.sep}stages-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
