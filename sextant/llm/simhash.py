@@ -117,10 +117,12 @@ class _Tiles:
 
     def links(self, fp: np.ndarray, rep: np.ndarray) -> Iterator[tuple[int, int]]:
         """Edges that connect each visitor with all it lies near to; a spanning set, not all pairs."""
+        if not len(rep) or not len(self.rep):
+            return
         ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
         order = np.argsort(ones, kind="stable")
         fp, rep, ones = fp[order], rep[order], ones[order]
-        new = np.flatnonzero(np.r_[True, ones[1:] != ones[:-1]]) if len(ones) else []
+        new = np.flatnonzero(np.r_[True, ones[1:] != ones[:-1]])
         for i, j in zip(new, [*new[1:], len(ones)], strict=True):
             low, high = max(0, ones[i] - self.radius), min(len(self.starts) - 2, ones[i] + self.radius)
             low, high = int(self.starts[low]), int(self.starts[high + 1])
@@ -309,10 +311,10 @@ def set_candidates(reps: DataFrame, similarity: float = SIMILARITY, radius: int
     A set's band is its size's logarithm; sets of ``similarity`` are in one band or in
     neighbouring ones. A band of over ``chunk`` sets is cut to pieces, each pair of
     which is a task, so that a band with most sets is spread too. A piece is a 64th of
-    all sets, within limits, which keeps the copies of a set at 64 to 192 at most
-    until there are ``64 * CHUNK`` sets.
+    all sets, so a set has as many copies in a small corpus as in a large one, up to
+    ``64 * CHUNK`` sets; beyond that the copies grow with the corpus.
     """
-    chunk = chunk or min(CHUNK, max(CELL, reps.count() // 64))
+    chunk = chunk or max(1, min(CHUNK, reps.count() // 64))
     band = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)) + 1e-9)).otherwise(-1).cast("int")
     reps = reps.select(band.alias("band"), "rep", "fp", "fp2")
     sizes = reps.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("pieces"))
@@ -395,17 +397,20 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SE
     propose groups: a pair at similarity 0.8 lies within ``SET_RADIUS`` bits with
     probability 0.98, nearer ones almost surely. In a proposed group whole sets
     decide; members already known to be linked aren't compared again, and groups of
-    more than ``most_hashes`` shingles are cut to pieces, each pair of which is a task.
+    more than ``most_hashes`` shingles, or a 64th of all groups' shingles, are cut to
+    pieces, each pair of which is a task.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     signed = checkpointed(set_fingerprints(docs, words))
     first = F.first(F.struct("n", "fp", "fp2")).alias("x")
     reps = checkpointed(signed.groupBy("content").agg(F.min("doc_id").alias("rep"), first).select("content", "rep", "x.*"))
     proposed = connected_components(set_candidates(reps, similarity)).select(F.col("vertex").alias("rep"), F.col("component").alias("group"))
-    members = reps.join(proposed, "rep")
+    members = checkpointed(reps.join(proposed, "rep"))
     texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = _sets(texts, words).dropDuplicates(["own_content"])
-    large = members.groupBy("group").agg(F.ceil(F.sum("n") / most_hashes).cast("int").alias("pieces"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    most = max(1, min(most_hashes, total // 64))
+    large = members.groupBy("group").agg(F.ceil(F.sum("n") / most).cast("int").alias("pieces"))
     rows = members.join(large, "group").join(sets, F.col("content") == F.col("own_content"))
     rows = rows.select(F.col("group").alias("band"), F.greatest("pieces", F.lit(1)).alias("pieces"), "rep", "fp", "fp2", "hashes")
     rows = rows.withColumn("home", F.pmod(F.xxhash64("fp", "rep"), F.col("pieces")).cast("int"))
