@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import defined
 
 PARTS = ("r2", "min5y", "mar")
+#: A value of over 1 in OFTEN rows is cut to about CUTS ranges of the tiebreak.
+OFTEN, CUTS = 64, 256
 
 
 def _bucket(value: Column) -> Column:
@@ -17,18 +19,46 @@ def _bucket(value: Column) -> Column:
     return F.floor(F.greatest(F.lit(-2000.0), F.least(F.lit(2000.0), F.signum(value) * F.log1p(F.abs(value) * 1000) * 100))).cast("int")
 
 
+def _ties(rows: DataFrame, columns: tuple[str, ...], tiebreak: str) -> tuple[list[list[float]], list]:
+    """For each column its frequent values in order, ``OFTEN`` at most, and cuts of the tiebreak into even ranges."""
+    every = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("v"))  # counts the rows beside the values
+    values = F.array(every, *[F.struct(F.lit(i).alias("i"), defined(F.col(c)).alias("v")) for i, c in enumerate(columns)])
+    seen = rows.select(F.explode(values).alias("x")).where("x.v is not null").groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    most = seen.orderBy(F.desc("n"), "i").limit(1 + OFTEN * len(columns)).collect()
+    count = next((r["n"] for r in most if r["i"] < 0), 0)
+    often = [r for r in most if r["i"] >= 0 and r["n"] * OFTEN > count]
+    by_column = [sorted(r["v"] for r in often if r["i"] == i) for i in range(len(columns))]
+    if not often:
+        return by_column, []
+    drawn = F.pmod(F.xxhash64(tiebreak), F.lit(-(-count // CUTS))) == 0
+    return by_column, sorted(r[0] for r in rows.where(drawn & F.col(tiebreak).isNotNull()).select(tiebreak).distinct().collect())
+
+
 def percentile_ranks(rows: DataFrame, columns: tuple[str, ...], tiebreak: str = "symbol") -> DataFrame:
     """``rows`` with ``rank_<c>`` for each column: its place among the defined values, 0 to 1.
 
     Equal values don't share a rank; ``tiebreak`` orders them. A single value has
     rank 1 and an undefined one none. No task sorts the universe: rows are ranked
-    inside buckets of the value, and a bucket's start is the count of the rows in
-    those below, of which there are 4000 at most. A bucket is one task's work only
-    as far as its values lie within 1 % of one another.
+    inside buckets, and a bucket's start is the count of the rows in those below. A
+    bucket is a narrow range of the value, of which there are 4001 at most. Values
+    that over 1 in ``OFTEN`` rows share, such as the 0 of undefined metrics, are cut
+    out of it, and their rows dealt to about ``CUTS`` ranges of the tiebreak.
     """
+    often, cuts = _ties(rows, columns, tiebreak)
     for i, c in enumerate(columns):
         value = defined(F.col(c))
-        rows = rows.withColumn(f"__b{i}", F.when(value.isNotNull(), _bucket(value)))
+        below = F.filter(F.array(*[F.lit(v) for v in often[i]]).cast("array<double>"), lambda v, value=value: v <= value)
+        tie = F.get(below, F.size(below) - 1)
+        equal = F.coalesce(tie == value, F.lit(False))
+        part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(tiebreak))) if cuts else F.lit(0)
+        # In order: what lies below the first frequent value, its ties, what lies between it and the next, and so on.
+        place = F.struct(
+            _bucket(value).alias("range"),
+            F.coalesce(tie, F.lit(float("-inf"))).alias("tie"),
+            (~equal).cast("int").alias("beyond"),
+            F.when(equal, part).otherwise(0).alias("part"),
+        )
+        rows = rows.withColumn(f"__b{i}", F.when(value.isNotNull(), place))
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__b{i}").alias("b")) for i in range(len(columns))])
     counts = rows.select(F.explode(pairs).alias("x")).where("x.b is not null").groupBy("x.i", "x.b").agg(F.count(F.lit(1)).alias("n"))
     below = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import capped_simplex
-from ..functions.numeric import Stream, bootstrap_indices, max_sharpe, project
+from ..functions.numeric import Stream, bootstrap_indices, max_sharpe, portfolio_stats, project
 from ..params import WeightParams
 from ..schemas import WEIGHTS
 
@@ -95,6 +95,32 @@ def return_matrix(returns: DataFrame) -> ReturnMatrix:
     return ReturnMatrix(tuple(got[0]["symbol"]), np.array([r["ret"] for r in got], float))
 
 
+def max_sharpe_weights(returns: DataFrame, params: WeightParams) -> DataFrame:
+    """``(symbol, weight, ret, vol, sharpe)``: the weights of the best Sharpe ratio over the whole sample.
+
+    Means and covariances are aggregates; a task optimises on these, members squared.
+    """
+    means = col_means(returns).agg(F.array_sort(F.collect_list(F.struct("symbol", "mean_ret"))).alias("m"))
+    pairs = cov_matrix(returns).agg(F.array_sort(F.collect_list(F.struct("a", "b", "cov"))).alias("c"))
+    moments = means.join(F.broadcast(pairs), F.lit(True))  # one row each
+    moments = moments.select(F.col("m.symbol").alias("symbols"), F.col("m.mean_ret").alias("mu"), F.col("c.cov").alias("cov"))
+
+    def optimise(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            for symbols, mu, half in zip(batch["symbols"], batch["mu"], batch["cov"], strict=True):
+                k = len(symbols)
+                if not k:
+                    continue
+                cov = np.zeros((k, k))
+                cov[np.triu_indices(k)] = half
+                cov = (cov + np.triu(cov, 1).T) * params.ppy
+                w = max_sharpe(mu * params.ppy, cov, params.rf, params.floor, params.cap, params.iterations)
+                gain, vol, ratio = portfolio_stats(w, mu * params.ppy, cov, params.rf)
+                yield pd.DataFrame({"symbol": list(symbols), "weight": w, "ret": gain, "vol": vol, "sharpe": ratio})
+
+    return moments.mapInPandas(optimise, "symbol string, weight double, ret double, vol double, sharpe double")
+
+
 def resampled_scenarios(matrix: ReturnMatrix, params: WeightParams, spark) -> DataFrame:
     """``(scenario, w)``: the best weights of each bootstrap sample, optimised where Spark puts them.
 

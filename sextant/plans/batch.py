@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fx import needed_currencies, to_base
+from ..operators.resample import month_end, to_segments
 from ..operators.universe import MIXED_INDEX, eligible_pool
 from ..params import BATCH, SCHEMES, Mode, ScreenParams, Universe
 from ..sources.series import fx_of, missing_rates, series_of, usable_series
@@ -35,6 +36,14 @@ class UniverseRun:
     outside: OutOfSample | None
     benchmark: DataFrame
 
+    def release(self) -> None:
+        """Give back what the run keeps in memory."""
+        for kept in (self.outside, self.portfolio):
+            if kept is not None:
+                kept.release()
+        for table in (self.rows, self.prices, self.benchmark):
+            table.unpersist()
+
     def pool(self, ppy: int) -> DataFrame:
         """Prices of the series whose curves are stored."""
         kept = eligible_pool(self.rows, ppy=ppy).select("symbol")
@@ -105,16 +114,22 @@ def run_universe(
 
 
 def store(run: UniverseRun, folder: str, params: ScreenParams, updated: str, mode: Mode = BATCH) -> None:
-    """Write a run's metric, curve, portfolio and meta artifacts under ``folder``."""
+    """Write a run's metric, curve, portfolio and meta artifacts under ``folder``.
+
+    Metric rows and month segments also go out as Parquet by universe, one row a
+    series; a universe of over ``MOST_ROWS`` series has only those, no JSON document.
+    """
     from ..sinks import artifacts as sink
 
     u = run.universe
+    sink.write_table(sink.rounded_metrics(run.rows), f"{folder}/metrics", u.id)
+    sink.write_table(to_segments(month_end(run.pool(mode.ppy))), f"{folder}/curves", u.id)
     header = {k: v for k, v in asdict(params).items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
-    sink.write_metrics(run.rows, f"{folder}/metrics_{u.id}", universe=u.id, label=u.label, updated=updated, params=header)
-    sink.write_curves(run.pool(mode.ppy).select("symbol", "ts", "px"), f"{folder}/curves_{u.id}", updated, run.benchmark)
+    if run.rows.limit(sink.MOST_ROWS + 1).count() <= sink.MOST_ROWS:
+        sink.write_metrics(run.rows, f"{folder}/metrics_{u.id}", universe=u.id, label=u.label, updated=updated, params=header)
+        sink.write_curves(run.pool(mode.ppy).select("symbol", "ts", "px"), f"{folder}/curves_{u.id}", updated, run.benchmark)
     if run.portfolio and run.inside:
-        outside = run.outside.backtest if run.outside else None
-        document = sink.portfolio_document(run.portfolio, run.inside, outside, u.id, updated)
+        document = sink.portfolio_document(run.portfolio, run.inside, run.outside, u, run.rows, params, updated, mode.oos_min_years)
         document.write.mode("overwrite").text(f"{folder}/portfolio_{u.id}")
     sink.upsert_meta(run.meta(mode.ppy, updated), f"{folder}/meta", updated)
 
@@ -147,9 +162,7 @@ def run_all(
         universe = read_universe(spark, config, wanted)
         run = run_universe(universe, load_symbols(spark, universe), raw, params, as_of, mode, schemes)
         store(run, folder, params, updated, mode)
-        run.rows.unpersist()
-        run.prices.unpersist()
-        run.benchmark.unpersist()
+        run.release()
         done.append(wanted)
     store_benchmarks(raw, folder, updated)
     return done

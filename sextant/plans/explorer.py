@@ -12,13 +12,15 @@ from ..operators.align import align_on_months, aligned_returns
 from ..operators.backtest import backtest_metrics, benchmark_metrics, benchmark_on_months, edge, equity_curves
 from ..operators.metrics import series_metrics
 from ..operators.quality import quality_score
-from ..operators.screen import bounded, screen, settled
+from ..operators.screen import bounded, screen, settled, top
 from ..operators.universe import missing_count
 from ..operators.weights import all_weights, renormalised
 from ..params import LIVE, MONTHLY, SCHEMES, Mode, ScreenParams
 
 LEAST_MONTHS = 36
 LEAST_AFTER = 12
+#: Metrics that the table of the screen shows, in order.
+SHOWN = ("quality", "cagr", "vol", "mdd", "min5y", "r2", "reg", "mar", "sortino")
 
 
 @dataclass(frozen=True)
@@ -32,12 +34,23 @@ class Build:
     metrics: DataFrame
     benchmark: DataFrame | None
     benchmark_metrics: DataFrame | None
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back what is kept in memory; the lazy tables stay usable and are computed anew."""
+        for one in self.held:
+            one.unpersist()
 
     def with_edge(self, missing_as_zero: bool = True) -> DataFrame:
         none = self.metrics.select("cagr").limit(0)
         return edge(self.metrics, none if self.benchmark_metrics is None else self.benchmark_metrics, missing_as_zero)
 
 
+def _release(*held: DataFrame) -> None:
+    for one in held:
+        one.unpersist()
+
+
 def _dated(aligned: DataFrame) -> DataFrame:
     """Months as the order column of the series operators."""
     return aligned.select("symbol", F.col("month_idx").cast("bigint").alias("ts"), "px")
@@ -70,20 +83,23 @@ def _build(picks: DataFrame, monthly: DataFrame, benchmark: DataFrame | None, mo
     window = _settled_row(_window(chosen, benchmark))
     span = window.first()
     if span["lo"] is None or span["hi"] - span["lo"] + 1 < LEAST_MONTHS:
+        chosen.unpersist()
         return None
     aligned = align_on_months(chosen, window).persist()
     if aligned.select("symbol").distinct().count() < 2:
+        _release(aligned, chosen)
         return None
     weights = settled(all_weights(aligned_returns(_dated(aligned)), mode.weights, schemes), params)
     used = picks.join(aligned.select("symbol").distinct(), "symbol", "left_semi")
-    return Build(used, missing_count(picks, monthly), weights, *_test(aligned, weights, benchmark, window, mode))
+    return Build(used, missing_count(picks, monthly), weights, *_test(aligned, weights, benchmark, window, mode), (aligned, chosen))
 
 
 def recompute(
     rows: DataFrame, monthly: DataFrame, params: ScreenParams, benchmark: DataFrame | None = None, mode: Mode = LIVE, schemes: Iterable[str] = SCHEMES
 ) -> Build | None:
-    """Screen the stored rows (of daily metrics) and test the picks that have a curve on monthly prices."""
-    return _build(settled(screen(rows, params), params), monthly, benchmark, mode, schemes, params)
+    """Screen the stored rows (of daily metrics) by quality and test the picks that have a curve on monthly prices."""
+    picks = settled(screen(rows, replace(params, sort_by="quality")), params)
+    return _build(picks, monthly, benchmark, mode, schemes, params)
 
 
 def recompute_from(
@@ -125,24 +141,27 @@ def recompute_oos(
     """Choose and weigh on the months up to the cutoff, test on those after it.
 
     The cutoff lies ``oos_years`` before ``as_of_month``; the two sides share no month.
+    The choice is by quality, whatever the screen's table is sorted by.
     """
     cutoff = as_of_month - mode.oos_years * MONTHLY
     rows = monthly_rows_before(monthly, cutoff, mode, least_after)
-    picks = settled(screen(rows, replace(params, min_years=mode.oos_min_years, ppy=mode.ppy)), params)
+    picks = settled(screen(rows, replace(params, min_years=mode.oos_min_years, ppy=mode.ppy, sort_by="quality")), params)
     chosen = monthly.join(bounded(picks.select("symbol"), params), "symbol", "left_semi").persist()
     early = chosen.where(F.col("month_idx") <= cutoff)
     aligned = align_on_months(early).persist()
     if aligned.select("symbol").distinct().count() < 2:
+        _release(aligned, chosen)
         return None
     weights = settled(all_weights(aligned_returns(_dated(aligned)), mode.weights, schemes), params)
     late = chosen.where(F.col("month_idx") > cutoff).join(aligned.select("symbol").distinct(), "symbol", "left_semi")
     window = _settled_row(_window(late, benchmark, cutoff + 1))
     tested = align_on_months(late, window).persist()
     if tested.select("symbol").distinct().count() < 2:
+        _release(tested, aligned, chosen)
         return None
     kept = settled(renormalised(weights, tested.select("symbol").distinct()), params)
     used = picks.join(tested.select("symbol").distinct(), "symbol", "left_semi")
-    return Build(used, missing_count(picks, tested), kept, *_test(tested, kept, benchmark, window, mode))
+    return Build(used, missing_count(picks, tested), kept, *_test(tested, kept, benchmark, window, mode), (tested, aligned, chosen))
 
 
 def shown_curve(equity: DataFrame, scheme: str, held: bool = False) -> DataFrame:
@@ -167,6 +186,13 @@ def key_figures(scheme: str, inside: Build | None, outside: Build | None, spark:
     return out
 
 
+def screen_table(rows: DataFrame, params: ScreenParams, basket: Iterable[str] = (), ascending: bool = False) -> DataFrame:
+    """The screen's picks as they are shown: by the sort key, marked if in the basket, with the columns of the table."""
+    shown = top(screen(rows, replace(params, sort_by="quality")), replace(params, top_n=0), ascending=ascending)
+    marked = F.col("symbol").isin(list(basket)) if basket else F.lit(False)
+    return shown.select(marked.alias("in_basket"), "symbol", *SHOWN)
+
+
 def weight_table(build: Build, scheme: str) -> DataFrame:
     """Picks by weight in one scheme, with the share of the largest that scales a bar."""
     one = build.weights.where(F.col("scheme") == scheme).select("symbol", "weight", "wstd")

@@ -27,6 +27,10 @@ class Portfolio:
     prices: DataFrame
     weights: DataFrame
 
+    def release(self) -> None:
+        """Give back the aligned prices that are kept in memory."""
+        self.prices.unpersist()
+
     def info(self) -> DataFrame:
         """Each pick's metric row beside its weight and spread in every scheme."""
         out = self.picks
@@ -73,14 +77,16 @@ def build_portfolio(
     usable: int = USABLE_POINTS,
     key: str = "ts",
 ) -> Portfolio | None:
-    """Screen ``rows``, align the picks' prices and weigh them.
+    """Screen ``rows`` by quality, align the picks' prices and weigh them.
 
     None if under two picks are usable or they share too few dates.
     """
-    picks = settled(usable_picks(screen(rows, params), prices, usable), params)
+    best = screen(rows, replace(params, sort_by="quality"))
+    picks = settled(usable_picks(best, prices, usable), params)
     aligned = align_on_dates(prices_of(prices, picks, params), key).persist()
     size = aligned.agg(F.count_distinct("symbol").alias("k"), F.count_distinct("ts").alias("n")).first()
     if size["k"] < 2 or size["n"] - 1 < mode.least_returns:
+        aligned.unpersist()
         return None
     weights = settled(all_weights(aligned_returns(aligned), mode.weights, schemes), params)
     return Portfolio(picks, aligned, weights)
@@ -105,6 +111,11 @@ class OutOfSample:
     portfolio: Portfolio
     weights: DataFrame
     backtest: Backtest
+    prices: DataFrame
+
+    def release(self) -> None:
+        self.portfolio.release()
+        self.prices.unpersist()
 
 
 def out_of_sample(
@@ -131,7 +142,9 @@ def out_of_sample(
     alive = settled(usable_picks(chosen.picks, after, survivor), params)
     weights = settled(renormalised(chosen.weights, alive), params)
     aligned = align_on_dates(prices_of(after, alive, params)).persist()
-    if aligned.select("symbol").distinct().count() < 2:
+    tested = backtest(aligned, weights, benchmark, mode) if aligned.select("symbol").distinct().count() >= 2 else None
+    if tested is None:
+        aligned.unpersist()
+        chosen.release()
         return None
-    tested = backtest(aligned, weights, benchmark, mode)
-    return None if tested is None else OutOfSample(cutoff, chosen, weights, tested)
+    return OutOfSample(cutoff, chosen, weights, tested, aligned)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import month_text
-from .functions.numeric import Stream, bootstrap_indices, max_sharpe, portfolio_stats
+from .functions.numeric import Stream, bootstrap_indices
 from .operators import align, backtest, fx, metrics, quality, resample, screen, universe, weights
 from .params import BATCH, DAILY, LIVE, MONTHLY, Mode, ScreenParams, WeightParams
 from .plans import explorer, panels, portfolio
@@ -254,13 +254,7 @@ def _monthly_returns(spark, sf_dir):
 
 def q_max_sharpe(spark, sf_dir):
     """Best weights of the whole sample and what they give."""
-    matrix = weights.return_matrix(_monthly_returns(spark, sf_dir))
-    mu, cov = matrix.values.mean(axis=0) * MONTHLY, None
-    centred = matrix.values - matrix.values.mean(axis=0)
-    cov = centred.T @ centred / (len(centred) - 1) * MONTHLY
-    w = max_sharpe(mu, cov, 0.03, 0.02, 0.40)
-    gain, vol, ratio = portfolio_stats(w, mu, cov, 0.03)
-    return spark.createDataFrame([(s, float(x), gain, vol, ratio) for s, x in zip(matrix.symbols, w, strict=True)], "symbol string, weight double, ret double, vol double, sharpe double")
+    return weights.max_sharpe_weights(_monthly_returns(spark, sf_dir), replace(LIVE.weights, cap=0.40, iterations=400))
 
 
 def q_weights_resampled(spark, sf_dir):

@@ -6,12 +6,16 @@ for a screen of a few thousand series; ``MOST_ROWS`` guards against more.
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import fixed
+from ..functions.columns import defined, fixed, month_text
 from ..operators.resample import month_end, to_segments
-from ..plans.portfolio import Backtest, Portfolio
+from ..operators.screen import REASONS, screen_summary
+from ..params import SCHEMES, ScreenParams, Universe
+from ..plans.portfolio import Backtest, OutOfSample, Portfolio
 from ..sources.artifacts import read_meta
 
 # Digits of the stored metrics.
@@ -82,25 +86,82 @@ def benchmarks_document(prices: DataFrame, labels: dict[str, str], updated: str,
     return packed.select(F.to_json(F.struct(F.lit(updated).alias("updated"), F.lit(base).alias("base"), "series")).alias("value"))
 
 
-def _backtest_struct(test: Backtest) -> DataFrame:
-    """One row: metrics and month-end values of every scheme and mode."""
-    curve = test.equity.groupBy("scheme", "mode").agg(F.array_sort(F.collect_list(F.struct("ts", F.round("value", 4).alias("value")))).alias("curve"))
-    numbers = [fixed(F.col(c), DIGITS[c]).alias(c) for c in ("cagr", "vol", "mdd", "mar", "sharpe")]
-    joined = curve.join(test.metrics.select("scheme", "mode", F.struct(*numbers).alias("metrics")), ["scheme", "mode"])
-    entry = F.struct("scheme", "mode", "metrics", "curve.ts", "curve.value")
-    return joined.agg(F.array_sort(F.collect_list(entry)).alias("schemes"))
+CURVE_NUMBERS = ("cagr", "vol", "mdd", "mar", "sharpe")
+
+
+def _numbers() -> Column:
+    return F.struct(*[fixed(F.col(c), DIGITS[c]).alias(c) for c in CURVE_NUMBERS]).alias("metrics")
+
+
+def _day(ts: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd")
+
+
+def _month_values(curve: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, months, values)`` of ``(*keys, ts, value)``: the last value of each month, to four digits."""
+    monthly = month_end(curve.select(F.lit("").alias("symbol"), *keys, "ts", F.col("value").alias("px")), ("symbol", *keys))
+    points = F.array_sort(F.collect_list(F.struct("month_idx", F.round("px", 4).alias("px"))))
+    packed = monthly.groupBy("symbol", *keys).agg(points.alias("points"))
+    return packed.select(*keys, F.transform("points.month_idx", month_text).alias("months"), F.col("points.px").alias("values"))
 
 
-def portfolio_document(portfolio: Portfolio, inside: Backtest, outside: Backtest | None, universe: str, updated: str) -> DataFrame:
-    """One row ``value``: picks with weights and both backtests as JSON."""
-    picks = rounded_metrics(portfolio.info()).agg(F.collect_list(F.struct("*")).alias("picks"))
-    out = picks.join(_backtest_struct(inside).withColumnRenamed("schemes", "canonical"), F.lit(True))
-    fields = ["picks", "canonical"]
+def _backtest_struct(test: Backtest, name: str) -> DataFrame:
+    """One row with a struct: the span, the benchmark's curve and metrics, and those of every scheme and mode."""
+    curves = _month_values(test.equity, "scheme", "mode").join(test.metrics.select("scheme", "mode", _numbers()), ["scheme", "mode"])
+    out = curves.agg(F.array_sort(F.collect_list(F.struct("scheme", "mode", "metrics", "months", "values"))).alias("schemes"))
+    span = test.equity.agg(_day(F.min("ts")).alias("from"), _day(F.max("ts")).alias("to"))
+    out = out.join(F.broadcast(span), F.lit(True))  # every table joined here is one row
+    fields = ["from", "to", "schemes"]
+    if test.benchmark is not None and test.benchmark_metrics is not None:
+        bench = _month_values(test.benchmark.where("value is not null")).select(F.struct("months", "values").alias("bench"))
+        numbers = test.benchmark_metrics.select(_numbers().alias("bench_metrics"))
+        out = out.join(F.broadcast(bench), F.lit(True), "left").join(F.broadcast(numbers), F.lit(True), "left")
+        fields += ["bench", "bench_metrics"]
+    return out.select(F.struct(*fields).alias(name))
+
+
+def _listed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row ``picks``: ``rows`` as structs, best quality first whatever order they come in."""
+    place = F.struct((-F.coalesce(defined(F.col("quality")), F.lit(float("-inf")))).alias("k"), F.col("symbol").alias("s"))
+    entry = F.struct(place.alias("place"), F.struct(*columns).alias("pick"))
+    return rows.agg(F.array_sort(F.collect_list(entry)).alias("x")).select(F.col("x.pick").alias("picks"))
+
+
+def portfolio_document(
+    portfolio: Portfolio,
+    inside: Backtest,
+    outside: OutOfSample | None,
+    universe: Universe,
+    rows: DataFrame,
+    params: ScreenParams,
+    updated: str,
+    oos_min_years: int = 12,
+) -> DataFrame:
+    """One row ``value``: what a screen of ``rows`` chose, its weights and both backtests as JSON.
+
+    A portfolio has ``top_n`` picks and its curves a value a month, so it is one small document.
+    """
+    given = [F.lit(getattr(universe, f)).alias(f) for f in ("id", "label", "benchmark")]
+    header = {k: v for k, v in asdict(params).items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+    given[0] = given[0].alias("universe")
+    info = rounded_metrics(portfolio.info())
+    weights = [c for c in info.columns if c.startswith(("w_", "sd_"))]
+    shown = [c for c in ("cagr", "vol", "mdd", "min5y", "r2", "reg", "mar", "quality") if c in info.columns]
+    picks = _listed(info, ["symbol", *weights, *shown])
+    scenarios = portfolio.weights.agg(F.max("scenarios").alias("scenarios"))
+    counted = screen_summary(rows, params).select(F.struct(*[F.col(f"rejected_{r}").alias(r) for r in REASONS]).alias("skipped"), "passed")
+    out = picks.join(F.broadcast(scenarios), F.lit(True)).join(F.broadcast(counted), F.lit(True)).join(_backtest_struct(inside, "backtest"), F.lit(True))
+    out = out.select(F.struct("picks", "scenarios", "skipped", "passed", "backtest").alias("canonical"))
+    fields = ["canonical"]
     if outside is not None:
-        out = out.join(_backtest_struct(outside).withColumnRenamed("schemes", "oos"), F.lit(True))
+        columns = [F.max(F.when(F.col("scheme") == s, F.col("weight"))).alias(f"w_{s}") for s in SCHEMES]
+        later = outside.weights.groupBy("symbol").agg(*columns).join(outside.portfolio.picks.select("symbol", "quality"), "symbol")
+        chosen = _listed(later, ["symbol", *[f"w_{s}" for s in SCHEMES]]).join(_backtest_struct(outside.backtest, "backtest"), F.lit(True))
+        cutoff = _day(F.lit(outside.cutoff).cast("bigint")).alias("cutoff")
+        out = out.join(chosen.select(F.struct(cutoff, F.lit(oos_min_years).alias("min_years"), "picks", "backtest").alias("oos")), F.lit(True))
         fields.append("oos")
-    whole = F.struct(F.lit(universe).alias("universe"), F.lit(updated).alias("updated"), *fields)
-    return out.select(F.to_json(whole, {"pretty": "true"}).alias("value"))
+    whole = F.struct(*given, _params(header).alias("params"), F.lit(updated).alias("updated"), *fields)
+    return out.select(F.to_json(whole, {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
 
 
 def upsert_meta(new: DataFrame, path: str, updated: str) -> None:

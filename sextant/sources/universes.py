@@ -33,10 +33,10 @@ def read_universe(spark: SparkSession, path: str, wanted: str) -> Universe:
 
 
 def load_symbols(spark: SparkSession, universe: Universe) -> DataFrame:
-    """``(symbol)`` of a universe: its text lists and its own symbols, or its table, or its own symbols.
+    """``(symbol)`` of a universe: its text lists or its table, and its own symbols.
 
-    A text list that can't be read is logged and left out; a table that can't be
-    read falls back to the configured symbols.
+    A text list that can't be read is logged and left out; of a table that can't be
+    read only the configured symbols are left.
     """
     own = spark.createDataFrame([(t,) for t in universe.tickers], "symbol string")
     if universe.text_sources:
@@ -53,7 +53,7 @@ def load_symbols(spark: SparkSession, universe: Universe) -> DataFrame:
             rows = spark.read.option("header", True).csv(universe.source)
             named = {c.strip().lower(): c for c in rows.columns}
             if "symbol" in named:
-                return constituent_symbols(rows, named["symbol"])
+                return constituent_symbols(rows, named["symbol"]).unionByName(own)
             log.warning("%s: no symbol column in %s", universe.id, universe.source)
         except AnalysisException as error:
             log.warning("%s: %s can't be read: %s", universe.id, universe.source, error)

@@ -130,3 +130,20 @@ def test_drawdown_against_numpy(spark, px):
     assert -1 <= r["mdd"] <= 0
     series_points = metrics.drawdown_series(series(spark, a=px)).agg(F.min("drawdown_pct").alias("m")).first()["m"]
     assert series_points == pytest.approx(100 * r["mdd"], abs=1e-9)
+
+
+def test_ranks_of_ties_are_spread(spark):
+    """Nine tenths of the rows share a value; no bucket holds more than a few of them, and ranks are those of one sort."""
+    from sextant.operators import quality
+
+    rows = [(f"S{i:05d}", 0.0 if i % 10 else (i % 70) / 50 - 0.5, None if i % 3 else float(i)) for i in range(5000)]
+    table = spark.createDataFrame(rows, "symbol string, a double, b double")
+    got = {r["symbol"]: (r["rank_a"], r["rank_b"]) for r in quality.percentile_ranks(table, ("a", "b")).collect()}
+    for k in (1, 2):
+        order = sorted((r[k], r[0]) for r in rows if r[k] is not None)
+        place = {s: i / (len(order) - 1) for i, (_, s) in enumerate(order)}
+        assert all(got[r[0]][k - 1] == (place[r[0]] if r[k] is not None else None) for r in rows)
+    often, cuts = quality._ties(table, ("a", "b"), "symbol")
+    assert often[0] == [0.0] and often[1] == [] and 150 < len(cuts) < 400
+    gaps = [sum(lo <= r[0] < hi for r in rows) for lo, hi in zip(["", *cuts], [*cuts, "T"], strict=True)]
+    assert max(gaps) < 200

@@ -88,7 +88,7 @@ def test_universe_files(spark, tmp_path):
     }
     (tmp_path / "u.json").write_text(json.dumps(config, indent=1))
     load = lambda u: sorted(r["symbol"] for r in universes.load_symbols(spark, universes.read_universe(spark, str(tmp_path / "u.json"), u)).collect())
-    assert load("T") == ["AAPL", "BRK-B", "OWN"] and load("C") == ["A-B", "C"] and load("F") == ["OWN"]
+    assert load("T") == ["AAPL", "BRK-B", "OWN"] and load("C") == ["A-B", "C", "OWN"] and load("F") == ["OWN"]
     with pytest.raises(ValueError):
         universes.read_universe(spark, str(tmp_path / "u.json"), "Z")
     assert isinstance(universes.read_universe(spark, str(tmp_path / "u.json"), "C"), Universe)
@@ -142,6 +142,13 @@ def test_explorer(spark, panel):
     figures = explorer.key_figures("equal", build, later, spark).first()
     assert figures["is_edge"] == pytest.approx(figures["is_cagr"] - figures["is_bench_cagr"])
     assert explorer.key_figures("equal", build, None, spark).first()["oos_cagr"] is None
+    by_growth = explorer.recompute_oos(monthly, replace(LOOSE, sort_by="cagr", top_n=2), 2005 * 12, bench, mode, ("equal",))
+    by_quality = explorer.recompute_oos(monthly, replace(LOOSE, top_n=2), 2005 * 12, bench, mode, ("equal",))
+    assert {r["symbol"] for r in by_growth.picks.collect()} == {r["symbol"] for r in by_quality.picks.collect()}
+    shown = explorer.screen_table(rows, replace(LOOSE, sort_by="cagr"), ["s1"], ascending=True)
+    assert shown.columns == ["in_basket", "symbol", *explorer.SHOWN] and shown.count() == 4
+    assert [r["cagr"] for r in shown.collect()] == sorted(r["cagr"] for r in shown.collect())
+    assert [r["symbol"] for r in shown.where("in_basket").collect()] in ([], ["s1"])
     table = explorer.weight_table(build, "invvol").collect()
     assert table[0]["bar"] == 1.0 and [r["weight"] for r in table] == sorted((r["weight"] for r in table), reverse=True)
     assert explorer.recompute(rows, monthly, replace(LOOSE, min_r2=2.0), bench) is None
@@ -170,8 +177,27 @@ def test_portfolio_document(spark, panel):
     rows = portfolio.ranked_universe(panel, MODE)
     built = portfolio.build_portfolio(rows, panel, LOOSE, MODE, schemes=("equal",), usable=24)
     test = portfolio.backtest(built.prices, built.weights, None, MODE)
-    doc = json.loads(out.portfolio_document(built, test, test, "U", "2020-01-01").first()["value"])
-    assert len(doc["picks"]) == 4 and len(doc["canonical"]) == 2 and doc["oos"] == doc["canonical"]
+    universe = Universe("U", "A label", "^X")
+    doc = json.loads(out.portfolio_document(built, test, None, universe, rows, LOOSE, "2020-01-01").first()["value"])
+    assert (doc["universe"], doc["label"], doc["benchmark"], doc["params"]["min_years"], "oos" in doc) == ("U", "A label", "^X", 5.0, False)
+    whole = doc["canonical"]
+    best = [r["symbol"] for r in built.picks.orderBy(F.desc("quality")).collect()]
+    assert [p["symbol"] for p in whole["picks"]] == best and whole["passed"] == 6 and whole["skipped"]["r2"] == 0
+    assert whole["picks"][0]["w_equal"] == 0.25 and set(whole["picks"][0]) >= {"sd_equal", "cagr", "reg", "mar", "quality"}
+    tested = whole["backtest"]
+    assert len(tested["schemes"]) == 2 and len(tested["schemes"][0]["months"]) == 180 and tested["schemes"][0]["months"][0] == "1990-01"
+    assert (tested["from"], tested["to"], "bench" in tested) == ("1990-01-28", "2004-12-28", False)
+    bench = panel.where("symbol = 's0'").select("ts", "px")
+    as_of = int(datetime(2003, 6, 1, tzinfo=UTC).timestamp())
+    later = portfolio.out_of_sample(panel, LOOSE, as_of, bench, MODE, schemes=("equal", "invvol"), usable=24, survivor=12)
+    inside = portfolio.backtest(built.prices, built.weights, bench, MODE)
+    doc = json.loads(out.portfolio_document(built, inside, later, universe, rows, LOOSE, "2020-01-01", 6).first()["value"])
+    assert len(doc["canonical"]["backtest"]["bench"]["values"]) == 180 and doc["canonical"]["backtest"]["bench_metrics"]["cagr"] is not None
+    assert doc["oos"]["cutoff"] == "1996-06-02" and doc["oos"]["min_years"] == 6 and doc["oos"]["picks"][0]["w_resampled"] is None
+    assert sum(p["w_invvol"] for p in doc["oos"]["picks"]) == pytest.approx(1)
+    ranked = {r["symbol"]: r["quality"] for r in later.portfolio.picks.collect()}
+    assert [p["symbol"] for p in doc["oos"]["picks"]] == sorted((p["symbol"] for p in doc["oos"]["picks"]), key=lambda s: -ranked[s])
+    later.release()
 
 
 def test_meta_upsert(spark, tmp_path):
@@ -200,9 +226,18 @@ def test_workbook(spark, panel, tmp_path):
     monthly = month_end(panel).select("symbol", "month_idx", "px")
     build = explorer.recompute(rows, monthly, LOOSE, schemes=("equal",))
     path = workbook.export(str(tmp_path), build, build.picks, ["SP500", "NYSE"], "equal", date(2020, 1, 2))
-    assert path.endswith("SP500_NYSE_equal_2020-01-02")
-    sheet = spark.read.option("header", True).csv(f"{path}/portfolio")
-    assert sheet.count() == 4 and "weight_pct" in sheet.columns and sheet.first()["weight_pct"] == "25.0"
+    assert path.endswith("SP500_NYSE_equal_20200102")
+    read = lambda name, where=None: spark.read.option("header", True).csv(f"{where or path}/{name}")
+    sheet = read("portfolio")
+    assert sheet.columns == ["symbol", "weight_pct", "quality", "cagr_pct", "vol_pct", "mdd_pct", "min5y_pct", "r2", "reg_pct"]
+    assert sheet.count() == 4 and sheet.first()["weight_pct"] == "25.0" and sheet.where("reg_pct is null").count() == 0
+    assert [r["period"] for r in read("backtest").collect()] == ["in-sample"]
+    assert read("screening").columns == ["symbol", "quality", "cagr_pct", "vol_pct", "mdd_pct", "min5y_pct", "r2", "reg_pct", "mar", "sortino"]
+    later = explorer.recompute_oos(monthly, LOOSE, 2005 * 12, mode=replace(LIVE, oos_min_years=6), schemes=("equal",))
+    both = workbook.export(str(tmp_path / "two"), build, build.picks, ["SP500"], "equal", date(2020, 1, 2), later)
+    assert sorted(r["period"] for r in read("backtest", both).collect()) == ["in-sample", "out-of-sample"]
+    build.release()
+    assert build.metrics.count() == 2
 
 
 def test_incremental_loading(spark, tmp_path):
@@ -263,7 +298,9 @@ def test_whole_batch_and_explorer(spark, tmp_path):
     meta = {r["universe"]: r["count"] for r in artifacts.read_meta(spark, f"{folder}/meta").collect()}
     assert meta == {"SP500": 3, "STOXX600": 3}  # no rate for E
     document = json.loads(spark.read.text(f"{folder}/portfolio_SP500", wholetext=True).first()["value"])
-    assert {p["symbol"] for p in document["picks"]} == {"A", "B", "C"} and "oos" in document
+    assert {p["symbol"] for p in document["canonical"]["picks"]} == {"A", "B", "C"} and "oos" in document
+    assert spark.read.parquet(f"{folder}/metrics").groupBy("universe").count().count() == 2
+    assert {r["universe"]: r["n"] for r in spark.read.parquet(f"{folder}/curves").groupBy("universe").agg(F.count("p").alias("n")).collect()}["SP500"] > 0
     loaded = explorer.load(spark, folder, ["STOXX600", "SP500"])
     assert loaded.universes == ("SP500", "STOXX600") and loaded.updated.first()["updated"] == "2005-01-01"
     assert {r["symbol"]: r["universe"] for r in loaded.rows.collect()} == {"A": "SP500", "B": "SP500", "C": "SP500", "D": "STOXX600"}
