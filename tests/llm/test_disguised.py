@@ -1,5 +1,10 @@
 """Disguised mentions that no digit or sign of the base expressions gives away."""
 
+from itertools import product
+
+import numpy as np
+import pytest
+
 from sextant.llm import pii
 
 
@@ -21,3 +26,29 @@ def test_short_bracketed_address(spark):
     assert spans(spark, [text, "version 10[.]0[.]0[.]999"]) == ["ip:10:24", ""]
     found = pii.mentions("the 10[.]0[.]0[.]1 555-0000-1", [])
     assert found.spans == [(4, 18), (19, 29)]
+
+
+def exact_marginals(doc, model):
+    """By all labellings of the nodes."""
+    n = len(doc.spans)
+    unary = doc.features @ model.node.T
+    total = np.zeros((n, pii.LABELS))
+    for labels in product(range(pii.LABELS), repeat=n):
+        if any(k and labels[i] != k for i, k in enumerate(doc.fixed)):
+            continue
+        score = sum(unary[i, k] for i, k in enumerate(labels) if not doc.fixed[i])
+        score += sum(model.edge[kind, labels[a], labels[b]] for a, b, kind in doc.edges)
+        for i, k in enumerate(labels):
+            total[i, k] += np.exp(score)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("edges", [[(0, 1, 0), (1, 2, 0), (2, 3, 0)], [(0, 1, 0), (1, 2, 1), (1, 3, 1)], [(0, 1, 0), (1, 2, 0), (2, 3, 0), (0, 3, 1)]])
+@pytest.mark.parametrize("fixed", [[0, 0, 0, 0], [4, 0, 0, 0]])
+def test_messages_against_all_labellings(edges, fixed):
+    """Exact on trees, close on a loop."""
+    rnd = np.random.default_rng(2)
+    model = pii.Model(rnd.normal(0, 1, (pii.LABELS, pii.FEATURES)), rnd.normal(0, 0.5, (2, pii.LABELS, pii.LABELS)))
+    doc = pii.Mentions([(i, i + 1) for i in range(4)], np.array(fixed), rnd.normal(0, 0.5, (4, pii.FEATURES)), np.array(edges))
+    tree = len(edges) == 3
+    assert np.abs(model.beliefs(doc) - exact_marginals(doc, model)).max() < (0.01 if tree else 0.06)
