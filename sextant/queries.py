@@ -13,6 +13,7 @@ from .functions.numeric import Stream, bootstrap_indices
 from .operators import align, backtest, fx, metrics, quality, resample, screen, universe, weights
 from .params import BATCH, DAILY, LIVE, MONTHLY, Mode, ScreenParams, WeightParams
 from .plans import explorer, panels, portfolio
+from .sinks import artifacts
 
 #: Thresholds that noise can pass; the production ones reject every made-up series.
 LOOSE = ScreenParams(min_years=5, tolerance_5y=-0.99, min_r2=0.0, min_cagr=None, max_drawdown=None, ppy=MONTHLY)
@@ -22,6 +23,9 @@ SHORT_PPY = 24
 SLICE = (820_454_400, 946_684_799)
 CUTOFF = 915_148_800
 TEST_MODE = Mode("test", MONTHLY, WeightParams(ppy=MONTHLY), least_returns=20, least_points=12, oos_min_years=2)
+#: The month from which the benchmark of orders has no prices for all series.
+LAST_MONTH = 1998 * 12
+BENCH_NAMES = {"AF": "^GSPC", "NF": "ACWI", "RF": "^STOXX"}
 MICROS = 30 * 86_400 * 1_000_000
 
 
@@ -234,6 +238,44 @@ def q_segment_round_trip(spark, sf_dir):
     return back.select("symbol", month_text(F.col("month_idx")).alias("month"), *_r("px"))
 
 
+def q_curve_union(spark, sf_dir):
+    """Curves that differ by universe: a symbol's comes from the first that has it."""
+    members = panels.supplier_regions(spark, sf_dir)
+    monthly = _monthly(spark, sf_dir)
+    tables = [monthly.join(members.where(F.col("universe") == u), "symbol").select("symbol", "month_idx", (F.col("px") * (u + 1)).alias("px")) for u in range(5)]
+    return universe.union_curves(tables).select("symbol", month_text(F.col("month_idx")).alias("month"), *_r("px"))
+
+
+def q_missing_count(spark, sf_dir):
+    """Series without a gapless curve."""
+    return universe.missing_count(panels.supplier_months(spark, sf_dir), _monthly(spark, sf_dir))
+
+
+def q_screen_table(spark, sf_dir):
+    shown = explorer.screen_table(_rows(spark, sf_dir), STRICT, ["S000001", "S000003"])
+    return shown.select("in_basket", "symbol", *_r(*explorer.SHOWN))
+
+
+def q_metrics_stored(spark, sf_dir):
+    """Metric rows with the digits of the artifact."""
+    return artifacts.rounded_metrics(_rows(spark, sf_dir)).select("symbol", *artifacts.DIGITS)
+
+
+def q_benchmark_choice(spark, sf_dir):
+    """The index that two regions together are compared with."""
+    names = F.create_map(*[F.lit(x) for pair in BENCH_NAMES.items() for x in pair])
+    monthly = resample.month_end(panels.flag_days(spark, sf_dir)).withColumn("symbol", names[F.col("symbol")]).where("symbol is not null")
+    chosen = universe.choose_benchmark(monthly, ["STOXX600", "SP500"])
+    return chosen.select(month_text(F.col("month_idx")).alias("month"), *_r("px"))
+
+
+def q_benchmark_on_months(spark, sf_dir):
+    """A monthly benchmark over the months that all series share, rebased."""
+    bench = panels.urgent_days(spark, sf_dir, "month").withColumn("symbol", F.lit("b"))
+    curve = backtest.benchmark_on_months(resample.month_end(bench), align.common_window(_monthly(spark, sf_dir).where(F.col("month_idx") < LAST_MONTH)))
+    return curve.select(month_text(F.col("month_idx")).alias("month"), *_r("value"))
+
+
 def q_ticker_cleaning(spark, sf_dir):
     return universe.clean_tickers(panels.part_names(spark, sf_dir))
 
@@ -484,6 +526,19 @@ SELECT symbol, CAST(universe AS BIGINT) AS universe, {_rounded('quality')} FROM
     "curve_segments": f"""WITH p AS ({_MONTHS}), {_GAPLESS} SELECT symbol, {_TEXT.format('min(idx)')} AS start_month, count(*) AS n,
   round(sum(px), 3) AS total, round(arg_max(px, idx), 6) AS last_px FROM g GROUP BY symbol""",
     "segment_round_trip": f"WITH p AS ({_MONTHS}), {_GAPLESS} SELECT symbol, {_TEXT.format('idx')} AS month, {_rounded('px')} FROM g",
+    "curve_union": f"""WITH p AS ({_MONTHS}), {_GAPLESS}, mem AS ({_REGIONS}), un AS (SELECT symbol, min(universe) AS universe FROM mem GROUP BY symbol)
+SELECT symbol, {_TEXT.format('idx')} AS month, round(px * (universe + 1), 6) AS px FROM g JOIN un USING (symbol)""",
+    "missing_count": f"""WITH p AS ({_MONTHS}), {_GAPLESS}
+SELECT (SELECT count(DISTINCT symbol) FROM p) - (SELECT count(DISTINCT symbol) FROM g) AS dropped""",
+    "screen_table": f"""{_MONTH_RANKS} SELECT symbol IN ('S000001', 'S000003') AS in_basket, symbol, {_rounded(*explorer.SHOWN)}
+FROM ({_top_sql(STRICT, 'quality', STRICT.top_n)})""",
+    "metrics_stored": f"{_MONTH_RANKS} SELECT symbol, {', '.join(f'round({m}, {d}) + 0.0 AS {m}' for m, d in artifacts.DIGITS.items())} FROM q",
+    "benchmark_choice": f"""WITH p AS ({_FLAGS}) SELECT {_TEXT.format('idx')} AS month, round(arg_max(px, ts), 6) AS px
+FROM (SELECT *, {_IDX} AS idx FROM p) WHERE symbol = 'NF' GROUP BY idx""",
+    "benchmark_on_months": f"""WITH p AS ({_MONTHS}), {_GAPLESS}, e AS (SELECT min(idx) AS i0, max(idx) AS i1 FROM g WHERE idx < {LAST_MONTH} GROUP BY symbol),
+w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM e), ub AS (SELECT {_IDX} AS idx, px FROM ({_URGENT.format(unit='month', price=_PRICE.format('o_totalprice'))})),
+c AS (SELECT idx, px FROM ub, w WHERE idx BETWEEN lo AND hi AND (SELECT min(idx) FROM ub) <= lo AND (SELECT max(idx) FROM ub) >= hi)
+SELECT {_TEXT.format('idx')} AS month, round(px / (SELECT arg_min(px, idx) FROM c) * 100, 6) AS value FROM c""",
     "ticker_cleaning": """SELECT DISTINCT symbol FROM (
   SELECT upper(replace(trim(v), '.', '-')) AS symbol FROM (SELECT p_name AS v FROM part UNION ALL SELECT p_type FROM part)
 ) WHERE length(symbol) BETWEEN 1 AND 6 AND symbol NOT IN ('NAN', 'SYMBOL', 'TICKER')""",
