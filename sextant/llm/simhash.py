@@ -7,13 +7,15 @@ skipped, all pairs of the others are compared by exclusive-or and bit count in n
 Fingerprints within ``radius`` bits agree in at least one of ``radius + 1`` parts, so
 for groups by fingerprint a cell is a part and its bits: each fingerprint is sent
 ``radius + 1`` times, however many there are. Near copies by shingle sets lie too many
-bits apart for that. There a cell is a class of set sizes, since sets of ``similarity``
-have sizes that near; found fingerprints are compared by their whole sets.
+bits apart for that. There a cell holds the sets with the same least shingle in one of
+``KEYS`` orders: sets of similarity s have the same least shingle of an order with
+probability s, so a pair at 0.8 is in no common cell once in 15,000. A set is sent
+``KEYS`` times and meets only sets that share a shingle with it. Found fingerprints are
+compared by their whole sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,10 +35,13 @@ CELL, CHUNK = 1 << 12, 1 << 20
 #: Near copies: words of a shingle, similarity of the sets, bits of 128 and of the first 64 within which pairs are sought.
 SET_WORDS, SIMILARITY = 5, 0.8
 SET_RADIUS, SET_FIRST = 28, 19
+#: Orders of the shingles whose least ones are a set's cells, and sets of a cell that are never cut to pieces.
+KEYS, SMALL_CELL = 6, 1 << 8
 #: Shingles of a proposed group that are compared in one piece.
 MOST_HASHES = 1 << 21
 
 _ONES = np.uint64(0x0101010101010101)
+_ORDERS = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(KEYS)], np.uint64)
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -150,7 +155,10 @@ class _Tiles:
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
-    """The two sides of each cell piece by piece; rows come sorted by ``cell``, ``one``, ``two`` and ``side``."""
+    """The two sides of each cell piece by piece; rows come sorted by ``cell``, ``one``, ``two`` and ``side``.
+
+    Rows that are alone meet nothing and are passed over.
+    """
     held: list[pa.RecordBatch] = []
     at = None
 
@@ -159,12 +167,16 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.T
         side = rows["side"].to_numpy()
         cut = int(np.searchsorted(side, 1))
         home = rows.slice(0, cut)
-        return home, home if at[1] == at[2] and at[0] % 2 == 0 else rows.slice(cut)
+        return home, home if at[1] == at[2] else rows.slice(cut)
 
     for batch in batches:
         cell, one, two = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        turn = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(cell) else []
-        for i, j in zip(turn, [*turn[1:], len(cell)], strict=True):
+        if not len(cell):
+            continue
+        turn = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]), True])
+        starts, ends = turn[:-1], turn[1:]
+        met = (ends - starts > 1) | (starts == 0) | (ends == len(cell))
+        for i, j in zip(starts[met], ends[met], strict=True):
             key = (cell[i], one[i], two[i])
             if held and key != at:
                 yield sides()
@@ -194,10 +206,7 @@ def _compare(radius: int, names: list[str], first: int):
 
 
 def _within(cell: Column, home: Column, pieces: Column) -> Column:
-    """Where a row of a cell's piece ``home`` goes so that it meets all rows of the cell: each pair of pieces is a task.
-
-    ``cell`` has to be even; odd ones are for the meetings of two cells.
-    """
+    """Where a row of a cell's piece ``home`` goes so that it meets all rows of the cell: each pair of pieces is a task."""
 
     def place(other: Column) -> Column:
         return F.struct(
@@ -210,13 +219,24 @@ def _within(cell: Column, home: Column, pieces: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), pieces - 1), place)
 
 
-def _met(rows: DataFrame, places: Column) -> DataFrame:
-    """``rows`` at all their ``places``, dealt and sorted for ``_by_cell``."""
-    at = rows.select(F.explode(places).alias("at"), *rows.columns)
-    at = at.select("at.cell", "at.one", "at.two", "at.side", *[c for c in rows.columns if c not in ("home", "pieces", "up", "down", "band")])
+def _met(rows: DataFrame) -> DataFrame:
+    """``rows(band, pieces, rep, fp, ...)`` at all places of their band, dealt and sorted for ``_by_cell``."""
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("fp", "rep"), F.col("pieces")).cast("int"))
+    kept = [c for c in rows.columns if c not in ("band", "pieces", "home")]
+    at = rows.select(F.explode(_within(F.col("band"), F.col("home"), F.col("pieces"))).alias("at"), *kept)
+    at = at.select("at.cell", "at.one", "at.two", "at.side", *kept)
     return at.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two", "side")
 
 
+def _cut(rows: DataFrame, chunk: int) -> DataFrame:
+    """``rows(band, ...)`` with the ``pieces`` of their band: one, or more of at most about ``chunk`` rows.
+
+    Only bands of over ``chunk`` rows are broadcast, at most one for each ``chunk`` rows.
+    """
+    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("pieces")).where("pieces > 1")
+    return rows.join(F.broadcast(sizes), "band", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """``df`` over all shuffle partitions, so that few tasks with many copies to make don't hold the rest up."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -232,12 +252,9 @@ def in_cells(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataF
     count = reps.count()
     slots = 1 << min(64 // parts, max(0, count // CELL).bit_length())
     bits = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1)) for low, high in zip(cuts, cuts[1:], strict=False)]
-    cells = F.array(*[(F.pmod(b, F.lit(slots)) * parts + k) * 2 for k, b in enumerate(bits)])
-    rows = _spread(reps.select("fp", "rep")).select(F.explode(cells).alias("cell"), "fp", "rep")
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("pieces")).where("pieces > 1")
-    rows = rows.join(F.broadcast(sizes), "cell", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))  # at most parts * slots rows
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
-    return _met(rows.withColumnRenamed("cell", "band"), _within(F.col("band"), F.col("home"), F.col("pieces")))
+    cells = F.array(*[F.pmod(b, F.lit(slots)) * parts + k for k, b in enumerate(bits)])
+    rows = _spread(reps.select("fp", "rep")).select(F.explode(cells).alias("band"), "fp", "rep")
+    return _met(_cut(rows, chunk))
 
 
 def near_links(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -282,16 +299,22 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def least_shingles(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set in each order, a product modulo 2**64; none of an empty set."""
+    return np.array([(hashes * k).min() for k in _ORDERS] if len(hashes) else [], np.uint64)
+
+
 def set_fingerprints(docs: DataFrame, words: int = SET_WORDS) -> DataFrame:
-    """``(doc_id, content, n, fp, fp2)``: hash and size of each row's shingle set, and its 128-bit fingerprint."""
+    """``(doc_id, content, n, fp, fp2, least)``: hash and size of each row's shingle set, its 128-bit fingerprint and its least shingles."""
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
         bits = [majority_bits(sets), majority_bits([_mixed(s) for s in sets])]
         made = [pa.array([content_of(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), *[pa.array(b.view(np.int64)) for b in bits]]
-        return pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "content", "n", "fp", "fp2"])
+        least = pa.array([least_shingles(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), *made, least], names=["doc_id", "content", "n", "fp", "fp2", "least"])
 
-    return map_rows(docs, "doc_id long, content long, n long, fp long, fp2 long", per_batch, text=1)
+    return map_rows(docs, "doc_id long, content long, n long, fp long, fp2 long, least array<long>", per_batch, text=1)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -305,39 +328,21 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return map_rows(docs, "own_content long, hashes array<long>", per_batch, text=1)
 
 
-def set_candidates(reps: DataFrame, similarity: float = SIMILARITY, radius: int = SET_RADIUS, chunk: int | None = None) -> DataFrame:
-    """Edges that connect all ``reps(rep, n, fp, fp2)`` within ``radius`` bits whose set sizes allow the similarity.
+def sets_in_cells(reps: DataFrame, chunk: int | None = None) -> DataFrame:
+    """``reps(rep, fp, fp2, least)`` in the cells of their least shingles, ``KEYS`` times each and more only in large cells.
 
-    A set's band is its size's logarithm; sets of ``similarity`` are in one band or in
-    neighbouring ones. A band of over ``chunk`` sets is cut to pieces, each pair of
-    which is a task, so that a band with most sets is spread too. A piece is a 64th of
-    all sets, so a set has as many copies in a small corpus as in a large one, up to
-    ``64 * CHUNK`` sets; beyond that the copies grow with the corpus.
+    A cell of over ``chunk`` sets, a 64th of all unless told otherwise, is cut to
+    pieces, each pair of which is a task: a passage that many sets have, or a large
+    group of near copies, is spread too.
     """
-    chunk = chunk or max(1, min(CHUNK, reps.count() // 64))
-    band = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)) + 1e-9)).otherwise(-1).cast("int")
-    reps = reps.select(band.alias("band"), "rep", "fp", "fp2")
-    sizes = reps.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("pieces"))
-    plan = sizes
-    for name, step in (("up", 1), ("down", -1)):
-        near = sizes.select((F.col("band") - step).alias("band"), F.col("pieces").alias(name))
-        plan = plan.join(near, "band", "left")
-    rows = _spread(reps).join(F.broadcast(plan), "band")  # bands are the logarithm of a set's size: a hundred at most
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("fp", "rep"), F.col("pieces")).cast("int"))
-    home = F.col("home")
+    chunk = chunk or min(CHUNK, max(SMALL_CELL, reps.count() // 64))
+    rows = _spread(reps.select("rep", "fp", "fp2", "least")).select(F.posexplode("least").alias("key", "shingle"), "rep", "fp", "fp2")
+    return _met(_cut(rows.select(F.xxhash64("key", "shingle").alias("band"), "rep", "fp", "fp2"), chunk))
 
-    def other(cell: Column, count: str, one, two, side: int) -> Column:
-        place = lambda k: F.struct(cell.cast("long").alias("cell"), one(k).alias("one"), two(k).alias("two"), F.lit(side).alias("side"))
-        return F.when(F.col(count).isNull(), F.array().cast("array<struct<cell:bigint,one:int,two:int,side:int>>")).otherwise(
-            F.transform(F.sequence(F.lit(0), F.coalesce(count, F.lit(1)) - 1), place)
-        )
 
-    places = F.concat(
-        _within(F.col("band") * 2, home, F.col("pieces")),
-        other(F.col("band") * 2 + 1, "up", lambda k: home, lambda k: k, 0),
-        other(F.col("band") * 2 - 1, "down", lambda k: k, lambda k: home, 1),
-    )
-    return _met(rows, places).mapInArrow(_compare(radius, ["fp", "fp2"], SET_FIRST), "a long, b long")
+def set_candidates(reps: DataFrame, radius: int = SET_RADIUS, chunk: int | None = None) -> DataFrame:
+    """Edges that connect all ``reps(rep, fp, fp2, least)`` of a common cell within ``radius`` bits."""
+    return sets_in_cells(reps, chunk).mapInArrow(_compare(radius, ["fp", "fp2"], SET_FIRST), "a long, b long")
 
 
 def _similar(similarity: float, radius: int):
@@ -395,17 +400,17 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SE
     shingle and blank texts are equal. Sets of ``similarity`` or more link, and
     ``component_id`` is the smallest ``doc_id`` reachable. Fingerprints of 128 bits
     propose groups: a pair at similarity 0.8 lies within ``SET_RADIUS`` bits with
-    probability 0.98, nearer ones almost surely. In a proposed group whole sets
-    decide; members already known to be linked aren't compared again, and groups of
-    more than ``most_hashes`` shingles, or a 64th of all groups' shingles, are cut to
-    pieces, each pair of which is a task.
+    probability 0.98 and in a common cell with 0.9999, nearer ones almost surely. In a
+    proposed group whole sets decide; members already known to be linked aren't
+    compared again, and groups of more than ``most_hashes`` shingles, or a 64th of all
+    groups' shingles, are cut to pieces, each pair of which is a task.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     signed = checkpointed(set_fingerprints(docs, words))
-    first = F.first(F.struct("n", "fp", "fp2")).alias("x")
+    first = F.first(F.struct("n", "fp", "fp2", "least")).alias("x")
     reps = checkpointed(signed.groupBy("content").agg(F.min("doc_id").alias("rep"), first).select("content", "rep", "x.*"))
-    proposed = connected_components(set_candidates(reps, similarity)).select(F.col("vertex").alias("rep"), F.col("component").alias("group"))
-    members = checkpointed(reps.join(proposed, "rep"))
+    proposed = connected_components(set_candidates(reps)).select(F.col("vertex").alias("rep"), F.col("component").alias("group"))
+    members = checkpointed(reps.drop("least").join(proposed, "rep"))
     texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = _sets(texts, words).dropDuplicates(["own_content"])
     total = members.agg(F.sum("n")).first()[0] or 0
@@ -413,9 +418,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SE
     large = members.groupBy("group").agg(F.ceil(F.sum("n") / most).cast("int").alias("pieces"))
     rows = members.join(large, "group").join(sets, F.col("content") == F.col("own_content"))
     rows = rows.select(F.col("group").alias("band"), F.greatest("pieces", F.lit(1)).alias("pieces"), "rep", "fp", "fp2", "hashes")
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("fp", "rep"), F.col("pieces")).cast("int"))
-    met = _met(rows, _within(F.col("band") * 2, F.col("home"), F.col("pieces")))
-    links = checkpointed(met.mapInArrow(_similar(similarity, SET_RADIUS), "a long, b long"))
+    links = checkpointed(_met(rows).mapInArrow(_similar(similarity, SET_RADIUS), "a long, b long"))
     # A repeated doc_id may have several sets, which its id holds together.
     own = signed.join(reps.select("content", "rep"), "content").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     components = connected_components(links.union(own))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,31 @@ def test_pairs_at_the_similarity_are_proposed(spark):
     assert len(want) > 200 and got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_least_shingles_agree_as_often_as_sets_do():
+    """In each order by itself, as a share of many pairs of a known similarity."""
+    rnd = np.random.default_rng(4)
+    agree = []
+    for _ in range(1500):
+        both, one, two = (rnd.integers(0, 2**64, n, np.uint64) for n in (160, 20, 20))
+        agree.append(simhash.least_shingles(np.r_[both, one]) == simhash.least_shingles(np.r_[both, two]))
+    share = np.mean(agree, axis=0)
+    assert len(share) == simhash.KEYS and (abs(share - 0.8) < 0.04).all()
+    assert (~np.any(agree, axis=1)).mean() < 0.003  # 0.2 ** 6 where the orders are independent
+    assert not len(simhash.least_shingles(np.empty(0, np.uint64)))
+
+
+def test_copies_of_a_set_do_not_grow(spark):
+    """Sets are sent once for each order; where a third share a shingle, those go to the pieces of one cell more."""
+    least = lambda hot: F.array(hot, *[F.xxhash64("id", F.lit(k)) for k in range(1, simhash.KEYS)])
+    for n in (2000, 20_000):
+        sets = spark.range(n).select(F.col("id").alias("rep"), F.xxhash64("id").alias("fp"), F.xxhash64("id", F.lit(9)).alias("fp2"), "id")
+        assert simhash.sets_in_cells(sets.withColumn("least", least(F.col("id")))).count() == simhash.KEYS * n
+        hot = sets.withColumn("least", least(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id"))))
+        dealt = simhash.sets_in_cells(hot).groupBy("cell", "one", "two").count()
+        total, most = dealt.agg(F.sum("count"), F.max("count")).first()
+        assert total <= (simhash.KEYS + 64 / 3 / 3 + 1) * n and most <= 3 * max(simhash.SMALL_CELL, n // 64)
+
+
 def test_rows_at_the_edge(spark):
     rows = [(5, "same text here now"), (3, "Same text  here now"), (3, "else where it is"), (9, None), (8, " "), (7, "else where it is"), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
