@@ -116,28 +116,43 @@ def dense_rank_in_key(df: DataFrame, key: str, order: list[str | Column], out: s
     )
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: Vertices of more neighbours are joined by broadcast, and most of those at a time.
+MANY_NEIGHBOURS, MOST_HUBS = 1 << 10, 100_000
+
+
+def _with_least(rows: DataFrame, least: Column, many: int) -> DataFrame:
+    """``rows(u, v)`` with ``m``, the ``least`` over the rows of each ``u``.
+
+    A ``u`` of over ``many`` rows is broadcast with its least, the others are joined
+    by an exchange, so no task holds the rows of a hub.
+    """
+    found = rows.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = found.where(F.col("n") > many).select("u", F.col("m").alias("of_hub"))
+    marked = rows.join(F.broadcast(hubs), "u", "left")  # at most the number of rows / many
+    others = marked.where("of_hub is null").select("u", "v").join(found.where(F.col("n") <= many).select("u", "m"), "u")
+    return others.union(marked.where("of_hub is not null").select("u", "v", "of_hub"))
+
+
+def connected_components(edges: DataFrame, many: int | None = None) -> DataFrame:
     """Component of every vertex in ``edges(a, b)``: ``(vertex, component)``, the smallest vertex.
 
     Alternates the large-star and small-star steps until the edges no longer
     change. Each step takes the minimum of a vertex' neighbours by a grouped
-    aggregate and joins it back, so no task holds all neighbours of a vertex.
+    aggregate and joins it back; no task holds all neighbours of a vertex that has
+    over ``many``: ``MANY_NEIGHBOURS``, and more only where over ``MOST_HUBS`` vertices
+    could have so many.
     """
 
     def symmetric(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
 
-    def large_star(e: DataFrame) -> DataFrame:
-        both = symmetric(e)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return out.distinct()
+    def large_star(e: DataFrame, many: int) -> DataFrame:
+        out = _with_least(symmetric(e), F.least(F.min("v"), F.first("u")), many)
+        return out.where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
-    def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
-        return out.where("a <> b").distinct()
+    def small_star(e: DataFrame, many: int) -> DataFrame:
+        out = _with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), F.min("v"), many)
+        return out.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -145,7 +160,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     now = state(edges)
     while now[0]:
-        edges = checkpointed(small_star(large_star(edges)))
+        limit = many or max(MANY_NEIGHBOURS, 2 * now[0] // MOST_HUBS)
+        edges = checkpointed(small_star(large_star(edges, limit), limit))
         was, now = now, state(edges)
         if was == now:
             break

@@ -156,6 +156,18 @@ def test_components(spark, edges):
     assert got == {v: c for v, c in label.items() if sum(c == x for x in label.values()) > 1}
 
 
+@pytest.mark.parametrize("many", [2, None])
+def test_components_with_hubs(spark, many):
+    """Stars, a chain of hubs and pairs; with ``many`` of 2 most vertices are hubs."""
+    stars = [(9000 + h, 100 * h + k) for h in range(3) for k in range(60)]
+    edges = [*stars, (9000, 9001), (8000, 8001), *[(5000 + k, 5001 + k) for k in range(12)]]
+    frame = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    got = {r["vertex"]: r["component"] for r in connected_components(frame, many).collect()}
+    assert set(got) == {v for e in edges for v in e}
+    assert {got[v] for v in got if v < 200 or v in (9000, 9001)} == {0} and {got[v] for v in range(200, 260)} == {200} == {got[9002]}
+    assert {got[v] for v in range(5000, 5013)} == {5000} and got[8001] == 8000
+
+
 # --- lines ---
 
 
