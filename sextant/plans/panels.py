@@ -78,6 +78,30 @@ def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(also)
 
 
+def customer_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chart payloads of the customers' orders, one row each: plain closes with bad points, and adjusted ones for every other customer."""
+    key, price = F.col("o_orderkey") % 7, F.col("o_totalprice").cast("double")
+    close = F.when(key == 1, 0.0).when(key == 2, -price).when(key > 2, price)
+    points = F.struct(
+        _epoch(F.col("o_orderdate")).alias("t"), close.alias("close"), F.when(F.col("o_orderkey") % 5 > 0, price / 2).alias("adjusted")
+    )
+    found = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(points).alias("p"))
+    meta = F.struct(
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"),
+        F.when(F.col("o_custkey") % 3 == 0, "USD").otherwise("EUR").alias("currency"),
+    )
+    adjusted = F.when(F.col("o_custkey") % 2 == 0, F.array(F.struct(F.col("p.adjusted").alias("adjclose"))))
+    indicators = F.struct(adjusted.alias("adjclose"), F.array(F.struct(F.col("p.close").alias("close"))).alias("quote"))
+    result = F.struct(meta.alias("meta"), F.col("p.t").alias("timestamp"), indicators.alias("indicators"))
+    return found.select(F.struct(F.array(result).alias("result")).alias("chart"))
+
+
+def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(updated)``: the date of the last order of each priority, as the header of a table."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy("o_orderpriority").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("updated")).select("updated")
+
+
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names and types as raw symbols, one column ``value``."""
     parts = table(spark, sf_dir, "part")

@@ -14,6 +14,7 @@ from .operators import align, backtest, fx, metrics, quality, resample, screen,
 from .params import BATCH, DAILY, LIVE, MONTHLY, Mode, ScreenParams, WeightParams
 from .plans import explorer, panels, portfolio
 from .sinks import artifacts
+from .sources import series
 
 #: Thresholds that noise can pass; the production ones reject every made-up series.
 LOOSE = ScreenParams(min_years=5, tolerance_5y=-0.99, min_r2=0.0, min_cagr=None, max_drawdown=None, ppy=MONTHLY)
@@ -26,6 +27,7 @@ TEST_MODE = Mode("test", MONTHLY, WeightParams(ppy=MONTHLY), least_returns=20, l
 #: The month from which the benchmark of orders has no prices for all series.
 LAST_MONTH = 1998 * 12
 BENCH_NAMES = {"AF": "^GSPC", "NF": "ACWI", "RF": "^STOXX"}
+BASKET = ("S000001", "S000003", "S000007", "S000001")
 MICROS = 30 * 86_400 * 1_000_000
 
 
@@ -276,6 +278,51 @@ def q_benchmark_on_months(spark, sf_dir):
     return curve.select(month_text(F.col("month_idx")).alias("month"), *_r("value"))
 
 
+def q_chart_points(spark, sf_dir):
+    """Usable points of chart payloads, from adjusted closes where a payload has them."""
+    return series.payload_points(panels.customer_payloads(spark, sf_dir)).select("symbol", "currency", "ts", *_r("px"))
+
+
+def q_latest_update(spark, sf_dir):
+    """The latest date among the headers of several tables."""
+    return universe.latest_update(panels.order_headers(spark, sf_dir))
+
+
+def q_pick_info(spark, sf_dir):
+    """Picks beside their metrics and weights."""
+    prices = panels.flag_days(spark, sf_dir, "month")
+    built = portfolio.build_portfolio(portfolio.ranked_universe(prices, TEST_MODE), prices, LOOSE, TEST_MODE, ("equal",), usable=20)
+    if built is None:
+        return spark.createDataFrame([], "symbol string, days bigint, cagr double, quality double, w_equal double")
+    return built.info().select("symbol", "days", *_r("cagr", "quality", "w_equal"))
+
+
+def q_basket_equal(spark, sf_dir):
+    """A basket of one's own, one symbol named twice: no screen, equal weights, held."""
+    built = explorer.recompute_from(BASKET, _rows(spark, sf_dir), _monthly(spark, sf_dir), schemes=("equal",))
+    if built is None:
+        return spark.createDataFrame([], "month string, value double")
+    return explorer.shown_curve(built.equity, "equal", held=True).select(month_text(F.col("ts")).alias("month"), *_r("value", digits=4))
+
+
+def q_weight_table(spark, sf_dir):
+    """The explorer's picks by weight, with the share of the largest."""
+    mode = replace(LIVE, weights=replace(LIVE.weights, floor=0.02, cap=0.20))
+    built = explorer.recompute(_rows(spark, sf_dir), _monthly(spark, sf_dir), replace(LOOSE, top_n=8), mode=mode, schemes=("invvol",))
+    if built is None:
+        return spark.createDataFrame([], "symbol string, weight double, bar double")
+    return explorer.weight_table(built, "invvol").select("symbol", *_r("weight"), *_r("bar", digits=4))
+
+
+def q_key_figures(spark, sf_dir):
+    """Growth, edge over the benchmark, Sharpe ratio and worst drawdown of the explorer's run."""
+    monthly = _monthly(spark, sf_dir).where(F.col("month_idx") < LAST_MONTH)
+    bench = resample.month_end(panels.urgent_days(spark, sf_dir, "month").withColumn("symbol", F.lit("b"))).select("month_idx", "px")
+    built = explorer.recompute(_rows(spark, sf_dir), monthly, replace(LOOSE, top_n=8), bench, schemes=("equal",))
+    shown = explorer.key_figures("equal", built, None, spark)
+    return shown.select("scheme", *_r("is_cagr", "is_bench_cagr", "is_edge", "is_sharpe", "is_mdd", "oos_cagr", digits=5))
+
+
 def q_ticker_cleaning(spark, sf_dir):
     return universe.clean_tickers(panels.part_names(spark, sf_dir))
 
@@ -436,6 +483,13 @@ def _top_sql(params: ScreenParams, key: str, count: int) -> str:
     return f"SELECT * FROM q WHERE {_reason_sql(params)} IS NULL ORDER BY {key} DESC NULLS LAST, symbol LIMIT {count}"
 
 
+_PICKED = f"{_MONTH_RANKS}, {_GAPLESS}, picks AS ({_top_sql(LOOSE, 'quality', 8)}), ch AS (SELECT g.* FROM g JOIN picks USING (symbol))"
+_ENDS = "ce AS (SELECT symbol, min(idx) AS i0, max(idx) AS i1 FROM ch GROUP BY symbol)"
+_COVERED = """cov AS (SELECT symbol FROM ce, w WHERE i0 <= lo AND i1 >= hi),
+t AS (SELECT ch.symbol, ch.idx AS ts, ch.px FROM ch JOIN cov USING (symbol), w WHERE idx BETWEEN lo AND hi)"""
+_ON_MONTHS = f"{_ENDS}, w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM ce), {_COVERED}"
+_MONTH_BENCH = f"ub AS (SELECT {_IDX} AS idx, px FROM ({_URGENT.format(unit='month', price=_PRICE.format('o_totalprice'))}))"
+
 _CAPPED = """WITH RECURSIVE {ctes}, v AS (SELECT symbol, 1 / sqrt(greatest(var_samp(ret), 1e-12)) AS w FROM rets GROUP BY symbol),
 n AS (SELECT list(w / t ORDER BY symbol) AS ws FROM v, (SELECT sum(w) AS t FROM v)),
 b AS (
@@ -515,9 +569,7 @@ tested AS (SELECT la.* FROM la JOIN ln_ USING (ts)), {_equal_sql('tested')}, {_C
 SELECT scheme, mode, {_rounded('cagr', 'vol', 'mdd', digits=5)} FROM k""",
     "live_common_window": f"""WITH p AS ({_MONTHS}), {_GAPLESS}, e AS (SELECT min(idx) AS i0, max(idx) AS i1 FROM g GROUP BY symbol), w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM e)
 SELECT {_TEXT.format('lo')} AS first_month, {_TEXT.format('hi')} AS last_month, hi - lo + 1 AS months FROM w""",
-    "live_backtest_equal": f"""{_MONTH_RANKS}, {_GAPLESS}, picks AS ({_top_sql(LOOSE, 'quality', 8)}), ch AS (SELECT g.* FROM g JOIN picks USING (symbol)),
-e AS (SELECT symbol, min(idx) AS i0, max(idx) AS i1 FROM ch GROUP BY symbol), w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM e),
-cov AS (SELECT symbol FROM e, w WHERE i0 <= lo AND i1 >= hi), t AS (SELECT ch.symbol, ch.idx AS ts, ch.px FROM ch JOIN cov USING (symbol), w WHERE idx BETWEEN lo AND hi),
+    "live_backtest_equal": f"""{_PICKED}, {_ON_MONTHS},
 {_equal_sql('t')} SELECT mode, {_TEXT.format('ts')} AS month, round(px, 4) AS value FROM eq""",
     "universe_union_rerank": f"""{_MONTH_METRICS}, mem AS ({_REGIONS}), un AS (SELECT symbol, min(universe) AS universe FROM mem GROUP BY symbol),
 u AS (SELECT m.*, un.universe FROM m JOIN un USING (symbol) WHERE days >= 30), {_rank_ctes('u', 'q', True)}
@@ -539,6 +591,25 @@ FROM (SELECT *, {_IDX} AS idx FROM p) WHERE symbol = 'NF' GROUP BY idx""",
 w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM e), ub AS (SELECT {_IDX} AS idx, px FROM ({_URGENT.format(unit='month', price=_PRICE.format('o_totalprice'))})),
 c AS (SELECT idx, px FROM ub, w WHERE idx BETWEEN lo AND hi AND (SELECT min(idx) FROM ub) <= lo AND (SELECT max(idx) FROM ub) >= hi)
 SELECT {_TEXT.format('idx')} AS month, round(px / (SELECT arg_min(px, idx) FROM c) * 100, 6) AS value FROM c""",
+    "chart_points": """WITH p AS (SELECT 'C' || CAST(o_custkey AS VARCHAR) AS symbol, CASE WHEN o_custkey % 3 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
+  CAST(epoch(o_orderdate) AS BIGINT) AS ts, CASE WHEN o_custkey % 2 = 0 THEN CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice / 2 END
+    ELSE CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN -o_totalprice ELSE o_totalprice END END AS px FROM orders),
+n AS (SELECT symbol FROM p WHERE px > 0 GROUP BY symbol HAVING count(*) >= 2)
+SELECT symbol, currency, ts, round(px, 6) AS px FROM p JOIN n USING (symbol) WHERE px > 0""",
+    "latest_update": "SELECT strftime(max(o_orderdate), '%Y-%m-%d') AS updated FROM orders",
+    "pick_info": f"""WITH p AS ({_FLAG_MONTHS}), {_metric_ctes(MONTHLY)}, {_rank_ctes("(SELECT * FROM m WHERE days >= 30)", 'q')}
+SELECT symbol, days, {_rounded('cagr', 'quality')}, round(1.0 / count(*) OVER (), 6) AS w_equal FROM q WHERE {_reason_sql(LOOSE)} IS NULL""",
+    "basket_equal": f"""WITH p AS ({_MONTHS}), {_GAPLESS}, ch AS (SELECT g.* FROM g WHERE symbol IN {tuple(sorted(set(BASKET)))}), {_ON_MONTHS}, {_equal_sql('t')}
+SELECT {_TEXT.format('ts')} AS month, round(px, 4) AS value FROM eq WHERE mode = 'buyhold'""",
+    "weight_table": f"""SELECT symbol, weight, round(weight / max(weight) OVER (), 4) AS bar FROM ({_CAPPED.format(
+        ctes=f"{_PICKED[5:]}, {_ON_MONTHS}, rets AS (SELECT * FROM (SELECT *, px / lag(px) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM t) WHERE ret IS NOT NULL)"
+    )})""",
+    "key_figures": f"""{_MONTH_RANKS}, {_GAPLESS}, picks AS ({_top_sql(LOOSE, 'quality', 8)}),
+ch AS (SELECT g.* FROM g JOIN picks USING (symbol) WHERE idx < {LAST_MONTH}), {_MONTH_BENCH}, {_ENDS},
+w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM (SELECT i0, i1 FROM ce UNION ALL SELECT min(idx), max(idx) FROM ub)), {_COVERED},
+bench AS (SELECT idx AS ts, px AS value FROM ub, w WHERE idx BETWEEN lo AND hi), {_equal_sql('t')}, {_CURVE_METRICS}, {_BENCH_METRICS}
+SELECT scheme, round(k.cagr, 5) AS is_cagr, round(bm.cagr, 5) AS is_bench_cagr, round(k.cagr - coalesce(bm.cagr, 0), 5) AS is_edge,
+  round(k.sharpe, 5) AS is_sharpe, round(k.mdd, 5) AS is_mdd, CAST(NULL AS DOUBLE) AS oos_cagr FROM k LEFT JOIN bm ON true WHERE mode = 'rebal'""",
     "ticker_cleaning": """SELECT DISTINCT symbol FROM (
   SELECT upper(replace(trim(v), '.', '-')) AS symbol FROM (SELECT p_name AS v FROM part UNION ALL SELECT p_type FROM part)
 ) WHERE length(symbol) BETWEEN 1 AND 6 AND symbol NOT IN ('NAN', 'SYMBOL', 'TICKER')""",
