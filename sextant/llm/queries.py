@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import COLLOCATIONS_SQL, mine_collocations
 from .common import table
 from .decontamination import find_leaks
+from .filter_audit import AUDIT_SQL, audit_filters
 from .html_text import extract_main_text
 from .line_dedup import DIGEST_SQL, line_digest
 from .packing import pack_documents
@@ -17,6 +19,7 @@ from .resharding import shard_digest
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .token_counts import count_tokens
+from .toxicity import toxicity_digest
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +72,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that aren't held out."""
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language in all documents."""
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all 120 orders."""
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secret_scan": op2_secret_scan,
@@ -80,8 +98,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op11_toxicity": op11_toxicity,
+    "op12_collocations": op12_collocations,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": DIGEST_SQL,
+    "op12_collocations": COLLOCATIONS_SQL,
+    "op13_filter_audit": AUDIT_SQL,
 }
