@@ -23,8 +23,8 @@ UPPER = bytes(range(65, 91))
 LEAST_WORDS, LEAST_DISTINCT, MOST_UPPER = 200, 50, 3
 COPY = 1 << FILTERS.index("E")
 MASKS = 1 << len(FILTERS)
-#: Texts of this many bytes are held before a task passes them on.
-HELD = 64 << 20
+#: Texts of this many bytes are held before a task passes them on, and meet in a partition on average.
+HELD, SHARE = 64 << 20, 16 << 20
 
 #: A text's claim: the smallest id with it so far, its failed filters, rows per part with that id.
 Claim = tuple[object, int, dict[str, int]]
@@ -129,15 +129,17 @@ def failed_filters(docs: DataFrame) -> DataFrame:
     are dealt by the xxhash of their text; where they meet, a chain per fingerprint keeps
     the full texts, so colliding fingerprints do no harm, with the smallest id of each.
     A task first settles its own rows, so that a text goes out once per task and the
-    copies in a third of all rows make no large partition. There are as many
-    partitions as the input has, or as shuffles have if that is more, so a chain table
-    holds about an input split. Rows of one text and id count together in ``rows``, null
-    ids come after all others, a null text is empty, a null language the part ``''``.
+    copies in a third of all rows make no large partition. All texts are measured first:
+    there is a partition for every ``SHARE`` bytes of them, so what the chains of a task
+    hold doesn't grow with the table. Rows of one text and id count together in
+    ``rows``, null ids come after all others, a null text is empty, a null language the
+    part ``''``.
     """
     kind = docs.schema["doc_id"].dataType
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     source = docs.select("doc_id", F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit(""))).rdd
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    routed: RDD = source.mapPartitions(_routed).partitionBy(max(shuffled, source.getNumPartitions()), lambda fingerprint: fingerprint)
+    routed: RDD = source.mapPartitions(_routed).partitionBy(max(shuffled, size // SHARE), lambda fingerprint: fingerprint)
     fields = [StructField("doc_id", kind), StructField("part", StringType()), StructField("mask", IntegerType()), StructField("rows", LongType())]
     return docs.sparkSession.createDataFrame(routed.mapPartitions(_settled), StructType(fields), verifySchema=False)
 

@@ -27,8 +27,8 @@ class Fit:
     up to ``toxic`` toxic ones and ``clean`` others are taken, by the hash of their id.
     """
 
-    toxic: int = 2000
-    clean: int = 4000
+    toxic: int = 1500
+    clean: int = 3000
     most_bytes: int = 32 << 10
     features: int = 2048
     least_docs: int = 6
