@@ -20,6 +20,8 @@ KINDS = byte_kinds(b" \t", ENDS)
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ROWS = 2
 BLOCK = 1 << 16
+#: Bytes of text that are worked on at a time.
+PART = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -28,8 +30,8 @@ class Mining:
 
     A row of a sketch has a cell for every ``bytes_per_cell`` bytes of text, a power of
     two up to ``1 << most_bits``. It only overestimates, so a narrow sketch lets more
-    through to the exact pass and loses nothing; with the bound, beyond about a
-    gigabyte of text it saves less, and what a task holds (256 MB) and what is
+    through to the exact pass and loses nothing; with the bound, beyond some
+    gigabytes of text it saves less, and what a task holds (256 MB) and what is
     broadcast (8 MB) stay as they are.
     """
 
@@ -37,7 +39,7 @@ class Mining:
     longest: int = 5
     top: int = 2000
     covered: int = 100
-    bytes_per_cell: int = 32
+    bytes_per_cell: int = 128
     most_bits: int = 25
 
 
@@ -92,13 +94,13 @@ def _gram_hashes(words: Words, of_row: np.ndarray, longest: int) -> Iterator[tup
 
 
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Texts and languages of a few MB at a time; a long text in several parts, cut between pieces."""
+    """Texts and languages of about ``PART`` bytes at a time; a long text in several parts, cut between pieces."""
     for batch in batches:
-        for part in short_batches(batch, 0):
+        for part in short_batches(batch, 0, PART):
             langs = part.column(1).to_pylist()
             texts = [b if isinstance(b, bytes) else b.encode() for b in part.column(0).cast(pa.binary()).to_pylist()]
             if len(texts) == 1:
-                for cut in cut_at_ends(texts[0], ENDS):
+                for cut in cut_at_ends(texts[0], ENDS, PART):
                     yield [cut], langs
             elif texts:
                 yield texts, langs
