@@ -80,17 +80,29 @@ class Sketch:
                 yield number, packer.compress(np.minimum(part, 255).astype(np.uint8).tobytes())
 
 
-def _gram_hashes(words: Words, of_row: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 1: hashes of the n-grams that start at each word, and whether one piece holds them."""
+#: Sketches of n-grams: their lengths, and the marks of the cells that are frequent, if known.
+Known = list[tuple[range, int, bytes]]
+
+
+def _frequent(words: Words, of_row: np.ndarray, longest: int, known: list[tuple[range, Sketch]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1: hashes of the n-grams that start at each word, and which of them can be frequent.
+
+    Those are inside one piece, begin and end with shorter ones that can be frequent, and
+    are marked by the sketch of their length, if it is known.
+    """
     names = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.names), np.uint64, len(words.names))
     of_word = names[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
-    held = _mixed(of_row[words.row] + np.uint64(0x9E3779B97F4A7C15))
-    n = len(of_word)
+    hashes = _mixed(of_row[words.row] + np.uint64(0x9E3779B97F4A7C15))
+    n, stay = len(of_word), np.ones(len(of_word) + 1, bool)
     for k in range(1, longest + 1):
         if n < k:
             return
-        held = _mixed(held[: n - k + 1] * np.uint64(0x100000001B3) + of_word[k - 1 :])
-        yield held, words.piece[: n - k + 1] == words.piece[k - 1 :]
+        hashes = _mixed(hashes[: n - k + 1] * np.uint64(0x100000001B3) + of_word[k - 1 :])
+        stay = stay[:-1] & stay[1:] & (words.piece[: n - k + 1] == words.piece[k - 1 :])
+        for lengths, sketch in known:
+            if k in lengths:
+                stay[stay] = sketch.often(hashes[stay])
+        yield hashes, stay
 
 
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
@@ -117,28 +129,24 @@ def _read(docs: DataFrame) -> DataFrame:
     )
 
 
-def _merged(docs: DataFrame, bits: int, lengths: range, mining: Mining, words: bytes | None, word_bits: int) -> bytes:
+def _merged(docs: DataFrame, bits: int, lengths: range, mining: Mining, known: Known) -> bytes:
     """Marks of the cells that reach ``least`` once the sketches of all tasks are added.
 
     Each task sketches its own rows, and the sums are made block by block where Spark
-    puts the block. With ``words``, only n-grams of words that these mark are added. The
-    marks, a bit a cell, are all that the driver gets: 8 MB at most.
+    puts the block. Only n-grams that can be frequent by the ``known`` sketches of shorter
+    ones are added. The marks, a bit a cell, are all that the driver gets: 8 MB at most.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(words) if words else None
+    shared = docs.sparkSession.sparkContext.broadcast(known)
     least, blocks = mining.least, max(1, (1 << bits) // BLOCK)
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Sketch(bits)
-        known = Sketch(word_bits, shared.value) if shared else None
+        shorter = [(of, Sketch(n, marks)) for of, n, marks in shared.value]
         for texts, langs in _parts(batches):
             words = words_of(texts, KINDS, FOLD)
-            for k, (hashes, held) in enumerate(_gram_hashes(words, _lang_hashes(langs), lengths.stop - 1), 1):
-                if k == 1:
-                    often = whole = known.often(hashes) if known else np.ones(len(hashes), bool)
-                else:
-                    whole = whole[: len(hashes)] & often[k - 1 :]
+            for k, (hashes, stay) in enumerate(_frequent(words, _lang_hashes(langs), lengths.stop - 1, shorter), 1):
                 if k in lengths:
-                    made.add(hashes[held & whole])
+                    made.add(hashes[stay])
         rows = list(made.blocks())
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "cells"])
 
@@ -166,22 +174,24 @@ def _merged(docs: DataFrame, bits: int, lengths: range, mining: Mining, words: b
 def phrase_counts(docs: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """``(lang, k, phrase, n)``: every phrase of 1 to ``longest`` words that occurs ``least`` times, and ``k`` 0 with all words.
 
-    Three passes over ``docs(text, lang, ...)``: a sketch of the words, a sketch of the
-    n-grams whose words the first marks, and exact counts of the n-grams that both
-    mark. The exact pass counts per batch by the words themselves, not by hashes, and
-    Spark adds the counts by phrase, partly before the exchange.
+    Passes over ``docs(text, lang, ...)``: sketches of the words, of the pairs of words
+    that the first marks, and of the longer n-grams whose pairs are marked, then exact
+    counts of the n-grams that all of these mark. The exact pass counts per batch by the
+    words themselves, not by hashes, and Spark adds the counts by phrase, partly before
+    the exchange.
     """
     rows = _read(docs)
     size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
-    bits = min(mining.most_bits, max(16, (size // mining.bytes_per_cell).bit_length()))
-    word_bits = max(16, bits - 1)
+    bits = min(mining.most_bits, max(17, (size // mining.bytes_per_cell).bit_length()))
     longest = mining.longest
-    word_marks = _merged(rows, word_bits, range(1, 2), mining, None, 0)
-    marks = _merged(rows, bits, range(2, longest + 1), mining, word_marks, word_bits)
-    shared = rows.sparkSession.sparkContext.broadcast((word_marks, marks))
+    known: Known = []
+    for lengths, width in ((range(1, 2), bits - 1), (range(2, 3), bits), (range(3, longest + 1), bits - 1)):
+        if lengths:
+            known.append((lengths, width, _merged(rows, width, lengths, mining, known)))
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, grams = Sketch(word_bits, shared.value[0]), Sketch(bits, shared.value[1])
+        sketches = [(lengths, Sketch(width, marks)) for lengths, width, marks in shared.value]
         for texts, langs in _parts(batches):
             words = words_of(texts, KINDS, FOLD)
             if not len(words.ids):
@@ -190,22 +200,15 @@ def phrase_counts(docs: DataFrame, mining: Mining = Mining()) -> DataFrame:
             of_row = np.searchsorted(names, langs)
             lang = of_row[words.row]
             out = [(names[i], 0, "", int(n)) for i, n in enumerate(np.bincount(lang, minlength=len(names))) if n]
-            often = before = codes = None
+            codes = words.ids
             spelled = {}
-            for k, (hashes, held) in enumerate(_gram_hashes(words, _lang_hashes(langs), longest), 1):
-                if k == 1:
-                    often = before = known.often(hashes)
-                    key = lang * len(words.names) + words.ids
-                else:
-                    held = held & before[: len(held)] & before[1 : len(held) + 1]
-                    held[held] = grams.often(hashes[held])
-                    before = held
-                    key = codes[: len(held)] * len(words.names) + words.ids[k - 1 :]
-                at = np.flatnonzero(before)
+            for k, (_, stay) in enumerate(_frequent(words, _lang_hashes(langs), longest, sketches), 1):
+                key = (lang if k == 1 else codes[: len(stay)]) * len(words.names) + words.ids[k - 1 :]
+                at = np.flatnonzero(stay)
                 if not len(at):
                     break
                 _, first, code, n = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
-                codes = np.zeros(len(before), np.int64)
+                codes = np.zeros(len(stay), np.int64)
                 codes[at] = code
                 for i, times in zip(at[first].tolist(), n.tolist(), strict=True):
                     parts = words.ids[i : i + k].tolist()
