@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import short_batches
-from .words import byte_kinds, cut_at_ends, words_of
+from .words import Words, byte_kinds, cut_at_ends, words_of
 
 ENDS = b".!?\n\r"
 #: Every byte below 128 but letters, digits and the ends of sentences separates words.
@@ -69,8 +69,12 @@ def _texts(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
                 yield part, part.column(column).cast(pa.binary()).to_pylist()
 
 
-def _named(words: list[bytes]) -> list[str]:
-    return [w.decode("utf-8", "replace").lower() for w in words]
+def _lowered(texts: list[bytes]) -> tuple[Words, list[str]]:
+    """The words of ``texts`` with their names in lower case, each name once."""
+    words = words_of(texts, KINDS)
+    named = pa.array([w.decode("utf-8", "replace").lower() for w in words.names], pa.string()).dictionary_encode()
+    places = np.asarray(named.indices).astype(np.int64)
+    return words._replace(ids=places[words.ids] if len(places) else words.ids), named.dictionary.to_pylist()
 
 
 def _distinct(sentence: np.ndarray, word: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +114,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
 
 
 def _fitted(texts: list[bytes], toxic: np.ndarray, total: dict[int, int], fit: Fit) -> Model:
-    words = words_of(texts, KINDS)
-    names = _named(words.names)
+    words, names = _lowered(texts)
     doc, word = _distinct(words.row, words.ids, len(names))
     in_toxic = np.bincount(word, toxic[doc], len(names))
     in_all = np.bincount(word, minlength=len(names))
@@ -166,8 +169,8 @@ def _fitted(texts: list[bytes], toxic: np.ndarray, total: dict[int, int], fit: F
 
 def sentence_scores(texts: list[bytes], model: Model) -> tuple[np.ndarray, ...]:
     """Of each sentence with words: its text's number, first and last byte, and its log odds."""
-    words = words_of(texts, KINDS)
-    of_word = np.fromiter(map(model.word, _named(words.names)), float, len(words.names))
+    words, names = _lowered(texts)
+    of_word = np.fromiter(map(model.word, names), float, len(names))
     _, first, at = np.unique(words.piece, return_index=True, return_inverse=True)
     where, word = _distinct(at, words.ids, len(of_word))
     odds = model.bias + np.bincount(where, of_word[word], len(first))
@@ -201,7 +204,7 @@ def score_toxicity(docs: DataFrame, model: Model, sure: float = 0.5) -> DataFram
                 odds = np.concatenate([f[3] for f in found])
             else:
                 row, start, end, odds = sentence_scores(texts, shared.value)
-            clear = np.bincount(row, np.logaddexp(0, odds), len(texts))
+            clear = np.bincount(row, np.logaddexp(0, odds), len(texts)).astype(float)
             n = np.bincount(row, minlength=len(texts))
             clear[n == 0] = np.logaddexp(0, shared.value.bias)
             score = -np.expm1(-clear)
