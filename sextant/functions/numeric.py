@@ -86,11 +86,33 @@ def portfolio_stats(w: np.ndarray, mu: np.ndarray, cov: np.ndarray, rf: float) -
     return gain, vol, (gain - rf) / vol if vol > 0 else float("nan")
 
 
+def bootstrap_blocks(rows: int, length: int, mean_block: float, scenarios: int, stream: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks ``(scenario, first row, rows)`` of stationary bootstraps, circular and of geometric length.
+
+    Each sample goes on until it has ``length`` rows, its last block cut there, and the
+    next one draws on from the same stream.
+    """
+    if not rows or not length:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, size, ends = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    begin = 0
+    while len(ends) < scenarios:
+        at = np.searchsorted(np.cumsum(size[begin:]), length)
+        if begin + at >= len(size):
+            u, v = stream.draws(2 * max(1024, scenarios)).reshape(-1, 2).T
+            first = np.append(first, (u * rows).astype(np.int64))
+            size = np.append(size, np.maximum(1, np.floor(-mean_block * np.log(1 - v) + 0.5)).astype(np.int64))
+            continue
+        begin += int(at) + 1
+        ends.append(begin)
+    scenario = np.repeat(np.arange(scenarios, dtype=np.int32), np.diff([0, *ends]))
+    first, size = first[:begin], size[:begin]
+    before = np.cumsum(size) - size
+    inside = before - before[np.array([0, *ends[:-1]])][scenario]
+    return scenario, first, np.minimum(size, length - inside)
+
+
 def bootstrap_indices(rows: int, length: int, mean_block: float, stream: Stream) -> np.ndarray:
-    """Row numbers of one stationary block bootstrap: circular blocks of geometric length."""
-    out: list[int] = []
-    while len(out) < length:
-        first = int(next(stream) * rows)
-        size = max(1, int(np.floor(-mean_block * np.log(1 - next(stream)) + 0.5)))
-        out += [(first + i) % rows for i in range(min(size, length - len(out)))]
-    return np.array(out, np.int64)
+    """Row numbers of one sample of ``bootstrap_blocks``."""
+    _, first, size = bootstrap_blocks(rows, length, mean_block, 1, stream)
+    return np.concatenate([np.arange(a, a + n) % rows for a, n in zip(first.tolist(), size.tolist(), strict=True)])

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from .align import benchmark_on
 from .metrics import curve_metrics, series_metrics
 from .resample import month_end
+from .scan import running
 
 
-def rebalanced(prices: DataFrame, weights: DataFrame, base: float = 100.0) -> DataFrame:
+def rebalanced(prices: DataFrame, weights: DataFrame, base: float = 100.0, width: int | None = None) -> DataFrame:
     """``(scheme, mode, ts, value)`` of portfolios set back to their weights at every date.
 
     ``prices`` are aligned. The curve starts at ``base`` and grows by the weighted
-    mean of the members' returns, added up as logarithms.
+    mean of the members' returns, added up as logarithms. With a ``width`` in seconds,
+    series and curve are cut into stretches of it, and no task holds a whole one.
     """
-    series = Window.partitionBy("symbol").orderBy("ts")
-    step = F.coalesce(F.try_divide(F.col("px"), F.lag("px").over(series)) - 1, F.lit(0.0))
-    moves = prices.withColumn("ret", step).join(weights.select("scheme", "symbol", "weight"), "symbol")
+    before = running(prices, ("symbol",), "ts", {"__prev": ("before", F.col("px"))}, width)
+    step = F.coalesce(F.try_divide(F.col("px"), F.col("__prev")) - 1, F.lit(0.0))
+    moves = before.withColumn("ret", step).join(weights.select("scheme", "symbol", "weight"), "symbol")
     per_date = moves.groupBy("scheme", "ts").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
-    so_far = Window.partitionBy("scheme").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    value = F.lit(base) * F.exp(F.sum(F.log1p("ret")).over(so_far))
-    return per_date.select("scheme", F.lit("rebal").alias("mode"), "ts", value.alias("value"))
+    grown = running(per_date, ("scheme",), "ts", {"__log": ("sum", F.log1p("ret"))}, width)
+    return grown.select("scheme", F.lit("rebal").alias("mode"), "ts", (F.lit(base) * F.exp("__log")).alias("value"))
 
 
 def buy_and_hold(prices: DataFrame, weights: DataFrame, base: float = 100.0) -> DataFrame:

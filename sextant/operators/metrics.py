@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_text, defined
+from .scan import running
 
 KEY = ("symbol",)
 
@@ -20,16 +21,25 @@ def _growth(later: Column, earlier: Column) -> Column:
     return F.try_divide(later, earlier) - 1
 
 
-def period_returns(prices: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """``prices`` with ``ret``: the price over the one before, less 1; rows without a positive one before go."""
-    before = F.lag("px").over(Window.partitionBy(*keys).orderBy("ts"))
-    return prices.withColumn("prev", before).where("prev > 0").withColumn("ret", _growth(F.col("px"), F.col("prev"))).drop("prev")
+def period_returns(prices: DataFrame, keys: Sequence[str] = KEY, width: int | None = None) -> DataFrame:
+    """``prices`` with ``ret``: the price over the one before, less 1; rows without a positive one before go.
+
+    Series too long for a task are cut every ``width`` seconds, here and below.
+    """
+    before = running(prices, keys, "ts", {"prev": ("before", F.col("px"))}, width)
+    return before.where("prev > 0").withColumn("ret", _growth(F.col("px"), F.col("prev"))).drop("prev")
 
 
-def drawdown_series(prices: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+def drawdown_series(prices: DataFrame, keys: Sequence[str] = KEY, width: int | None = None) -> DataFrame:
     """``prices`` with ``drawdown_pct``: percent below the highest price so far."""
-    peak = F.max("px").over(Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return prices.withColumn("drawdown_pct", _growth(F.col("px"), peak) * 100)
+    peaks = running(prices, keys, "ts", {"__peak": ("max", F.col("px"))}, width)
+    return peaks.withColumn("drawdown_pct", _growth(F.col("px"), F.col("__peak")) * 100).drop("__peak")
+
+
+def max_drawdown(prices: DataFrame, keys: Sequence[str] = KEY, width: int | None = None) -> DataFrame:
+    """``(*keys, mdd)``: the deepest fall of each series below its highest price so far, 0 or less."""
+    falls = drawdown_series(prices, keys, width).groupBy(*keys)
+    return falls.agg(F.least(F.min(F.col("drawdown_pct") / 100), F.lit(0.0)).alias("mdd"))
 
 
 def with_steps(prices: DataFrame, ppy: int, keys: Sequence[str] = KEY) -> DataFrame:

@@ -4,94 +4,48 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import defined
+from .ordering import PER_TASK, places
 
 PARTS = ("r2", "min5y", "mar")
-#: A value of over 1 in OFTEN rows is cut to about CUTS ranges of the tiebreak.
-OFTEN, CUTS = 64, 256
 
 
-def _bucket(value: Column) -> Column:
-    """An integer that never falls when the value grows, of at most 4001 values."""
-    return F.floor(F.greatest(F.lit(-2000.0), F.least(F.lit(2000.0), F.signum(value) * F.log1p(F.abs(value) * 1000) * 100))).cast("int")
-
-
-def _ties(rows: DataFrame, columns: tuple[str, ...], tiebreak: str) -> tuple[list[list[float]], list]:
-    """For each column its frequent values in order, ``OFTEN`` at most, and cuts of the tiebreak into even ranges."""
-    every = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("v"))  # counts the rows beside the values
-    values = F.array(every, *[F.struct(F.lit(i).alias("i"), defined(F.col(c)).alias("v")) for i, c in enumerate(columns)])
-    seen = rows.select(F.explode(values).alias("x")).where("x.v is not null").groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
-    most = seen.orderBy(F.desc("n"), "i").limit(1 + OFTEN * len(columns)).collect()
-    count = next((r["n"] for r in most if r["i"] < 0), 0)
-    often = [r for r in most if r["i"] >= 0 and r["n"] * OFTEN > count]
-    by_column = [sorted(r["v"] for r in often if r["i"] == i) for i in range(len(columns))]
-    if not often:
-        return by_column, []
-    drawn = F.pmod(F.xxhash64(tiebreak), F.lit(-(-count // CUTS))) == 0
-    return by_column, sorted(r[0] for r in rows.where(drawn & F.col(tiebreak).isNotNull()).select(tiebreak).distinct().collect())
-
-
-def percentile_ranks(rows: DataFrame, columns: tuple[str, ...], tiebreak: str = "symbol") -> DataFrame:
+def percentile_ranks(rows: DataFrame, columns: tuple[str, ...], tiebreak: str = "symbol", per_task: int = PER_TASK) -> DataFrame:
     """``rows`` with ``rank_<c>`` for each column: its place among the defined values, 0 to 1.
 
     Equal values don't share a rank; ``tiebreak`` orders them. A single value has
-    rank 1 and an undefined one none. No task sorts the universe: rows are ranked
-    inside buckets, and a bucket's start is the count of the rows in those below. A
-    bucket is a narrow range of the value, of which there are 4001 at most. Values
-    that over 1 in ``OFTEN`` rows share, such as the 0 of undefined metrics, are cut
-    out of it, and their rows dealt to about ``CUTS`` ranges of the tiebreak.
+    rank 1 and an undefined one none. No task sorts the universe: it is cut into even
+    ranges of value and tiebreak, and the counts of the ranges below are added to a
+    row's place in its own.
     """
-    often, cuts = _ties(rows, columns, tiebreak)
-    for i, c in enumerate(columns):
+    keys = {}
+    for c in columns:
         value = defined(F.col(c))
-        below = F.filter(F.array(*[F.lit(v) for v in often[i]]).cast("array<double>"), lambda v, value=value: v <= value)
-        tie = F.get(below, F.size(below) - 1)
-        equal = F.coalesce(tie == value, F.lit(False))
-        part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(tiebreak))) if cuts else F.lit(0)
-        # In order: what lies below the first frequent value, its ties, what lies between it and the next, and so on.
-        place = F.struct(
-            _bucket(value).alias("range"),
-            F.coalesce(tie, F.lit(float("-inf"))).alias("tie"),
-            (~equal).cast("int").alias("beyond"),
-            F.when(equal, part).otherwise(0).alias("part"),
-        )
-        rows = rows.withColumn(f"__b{i}", F.when(value.isNotNull(), place))
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__b{i}").alias("b")) for i in range(len(columns))])
-    counts = rows.select(F.explode(pairs).alias("x")).where("x.b is not null").groupBy("x.i", "x.b").agg(F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("i").alias("__i"),
-        F.col("b").alias("__at"),
-        F.coalesce(F.sum("n").over(below), F.lit(0)).alias("__start"),
-        F.sum("n").over(Window.partitionBy("i")).alias("__all"),
-    )
-    for i, c in enumerate(columns):
-        inside = Window.partitionBy(f"__b{i}").orderBy(c, tiebreak)
-        place = F.col("__start") + F.row_number().over(inside) - 1
-        rank = F.when(F.col("__all") == 1, F.lit(1.0)).otherwise(F.try_divide(place.cast("double"), F.col("__all") - 1))
-        rows = (
-            rows.join(F.broadcast(starts.where(F.col("__i") == i)), F.col(f"__b{i}") == F.col("__at"), "left")
-            .withColumn(f"rank_{c}", F.when(F.col(f"__b{i}").isNotNull(), rank))
-            .drop("__i", "__at", "__start", "__all")
-        )
-    return rows.drop(*[f"__b{i}" for i in range(len(columns))])
+        keys[f"__place_{c}"] = F.when(value.isNotNull(), F.struct(value.alias("v"), F.col(tiebreak).alias("t")))
+    rows = places(rows, keys, rows.count(), per_task)
+    for c in columns:
+        place, of = F.col(f"__place_{c}"), F.col(f"__place_{c}_of")
+        rank = F.when(of == 1, F.lit(1.0)).otherwise(F.try_divide(place.cast("double"), of - 1))
+        rows = rows.withColumn(f"rank_{c}", F.when(place.isNotNull(), rank)).drop(f"__place_{c}", f"__place_{c}_of")
+    return rows
 
 
 def quality_score(rows: DataFrame, undefined_as_zero: bool = False, tiebreak: str = "symbol") -> DataFrame:
     """``rows`` with ``quality``: the mean of the ranks of r2, min5y and mar that are defined.
 
-    The rows, one per series, are kept, as counts and ranks both read them and would
-    else compute all metrics twice. ``undefined_as_zero`` ranks an undefined value as 0, as rows read back from an
-    artifact are ranked.
+    ``undefined_as_zero`` ranks an undefined value as 0, as rows read back from an artifact
+    are ranked. Counting the rows is an action of its own, which needs none of the
+    metrics; beyond ``PER_TASK`` rows the cuts and the sizes of the ranges are two more, so
+    keep ``rows`` if they are dear.
     """
     used = tuple(f"__{p}" for p in PARTS)
     for name, part in zip(used, PARTS, strict=True):
         value = defined(F.col(part))
         rows = rows.withColumn(name, F.coalesce(value, F.lit(0.0)) if undefined_as_zero else value)
-    ranked = percentile_ranks(rows.persist(), used, tiebreak)
+    ranked = percentile_ranks(rows, used, tiebreak)
     ranks = [F.col(f"rank_{c}") for c in used]
     total = reduce(lambda a, b: a + b, [F.coalesce(r, F.lit(0.0)) for r in ranks])
     count = reduce(lambda a, b: a + b, [r.isNotNull().cast("int") for r in ranks])

@@ -35,13 +35,14 @@ class UniverseRun:
     inside: Backtest | None
     outside: OutOfSample | None
     benchmark: DataFrame
+    series: DataFrame
 
     def release(self) -> None:
         """Give back what the run keeps in memory."""
         for kept in (self.outside, self.portfolio):
             if kept is not None:
                 kept.release()
-        for table in (self.rows, self.prices, self.benchmark):
+        for table in (self.rows, self.prices, self.benchmark, self.series):
             table.unpersist()
 
     def pool(self, ppy: int) -> DataFrame:
@@ -71,9 +72,23 @@ def counted(points: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return watched, seen
 
 
+def report(name: str, seen: Observation) -> dict[str, int]:
+    """Log what a counted table has shown: its points, and warnings of what can't be used."""
+    found = {k: int(v) for k, v in seen.get.items()}
+    log.info("%s: %d points read", name, found["points"])
+    for what, words in (("unusable", "points that aren't positive numbers"), ("no_currency", "points without a currency, taken as USD")):
+        if found[what]:
+            log.warning("%s: %d %s", name, found[what], words)
+    return found
+
+
 def converted(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     """The universe's series in the base currency, from raw prices that hold the currency pairs too."""
     own = usable_series(raw.join(symbols.select("symbol").distinct(), "symbol", "left_semi"))
+    return _converted(own, raw)
+
+
+def _converted(own: DataFrame, raw: DataFrame) -> DataFrame:
     rates = fx_of(usable_series(raw))
     lacking = [r["ccy"] for r in missing_rates(needed_currencies(own), rates).collect()]
     if lacking:
@@ -104,30 +119,36 @@ def run_universe(
 
     The converted prices and metric rows are kept for the run, as every later step reads them.
     """
-    prices = converted(raw, symbols).persist()
+    watched, seen = counted(raw.join(symbols.select("symbol").distinct(), "symbol", "left_semi"), f"points of {universe.id}")
+    series = usable_series(watched).persist()
+    log.info("%s: %d usable points", universe.id, series.count())
+    report(universe.id, seen)
+    prices = _converted(series, raw).persist()
     rows = ranked_universe(prices, mode).persist()
     benchmark = converted_benchmark(raw, universe.benchmark, symbols).persist()
     built = build_portfolio(rows, prices, params, mode, schemes, usable=mode.ppy)
     inside = backtest(built.prices, built.weights, benchmark, mode) if built else None
     outside = out_of_sample(prices, params, as_of, benchmark, mode, schemes, usable=mode.ppy, survivor=min(60, 5 * mode.ppy)) if built else None
-    return UniverseRun(universe, prices, rows, built, inside, outside, benchmark)
+    return UniverseRun(universe, prices, rows, built, inside, outside, benchmark, series)
 
 
 def store(run: UniverseRun, folder: str, params: ScreenParams, updated: str, mode: Mode = BATCH) -> None:
     """Write a run's metric, curve, portfolio and meta artifacts under ``folder``.
 
-    Metric rows and month segments also go out as Parquet by universe, one row a
-    series; a universe of over ``MOST_ROWS`` series has only those, no JSON document.
+    Metric rows and month segments go out as Parquet by universe, one row a series, which
+    the explorer reads, and as JSON documents. The meta artifact comes last: its version
+    tells readers that the tables have changed.
     """
     from ..sinks import artifacts as sink
 
     u = run.universe
-    sink.write_table(sink.rounded_metrics(run.rows), f"{folder}/metrics", u.id)
+    sink.write_table(sink.rounded_metrics(run.rows).withColumn("updated", F.lit(updated)), f"{folder}/metrics", u.id)
     sink.write_table(to_segments(month_end(run.pool(mode.ppy))), f"{folder}/curves", u.id)
+    bench = run.benchmark.withColumn("symbol", F.lit(u.benchmark))
+    sink.write_table(to_segments(month_end(bench)), f"{folder}/bench", u.id)
     header = {k: v for k, v in asdict(params).items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
-    if run.rows.limit(sink.MOST_ROWS + 1).count() <= sink.MOST_ROWS:
-        sink.write_metrics(run.rows, f"{folder}/metrics_{u.id}", universe=u.id, label=u.label, updated=updated, params=header)
-        sink.write_curves(run.pool(mode.ppy).select("symbol", "ts", "px"), f"{folder}/curves_{u.id}", updated, run.benchmark)
+    sink.write_metrics(run.rows, f"{folder}/metrics_{u.id}", universe=u.id, label=u.label, updated=updated, params=header)
+    sink.write_curves(run.pool(mode.ppy).select("symbol", "ts", "px"), f"{folder}/curves_{u.id}", updated, run.benchmark)
     if run.portfolio and run.inside:
         document = sink.portfolio_document(run.portfolio, run.inside, run.outside, u, run.rows, params, updated, mode.oos_min_years)
         document.write.mode("overwrite").text(f"{folder}/portfolio_{u.id}")
@@ -164,5 +185,6 @@ def run_all(
         store(run, folder, params, updated, mode)
         run.release()
         done.append(wanted)
+        log.info("%s stored, %d of %d universes", wanted, len(done), len(requested(arguments)))
     store_benchmarks(raw, folder, updated)
     return done

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
@@ -13,9 +14,10 @@ from ..operators.backtest import backtest_metrics, benchmark_metrics, benchmark_
 from ..operators.metrics import series_metrics
 from ..operators.quality import quality_score
 from ..operators.screen import bounded, screen, settled, top
-from ..operators.universe import missing_count
+from ..operators.universe import missing_count, select_universes
 from ..operators.weights import all_weights, renormalised
 from ..params import LIVE, MONTHLY, SCHEMES, Mode, ScreenParams
+from ..versions import current
 
 LEAST_MONTHS = 36
 LEAST_AFTER = 12
@@ -211,22 +213,53 @@ class Loaded:
     monthly: DataFrame
     benchmark: DataFrame
 
+    def release(self) -> None:
+        """Give back what is kept in memory."""
+        _release(self.rows, self.monthly, self.benchmark)
+
 
 def load(spark: SparkSession, folder: str, wanted: Sequence[str]) -> Loaded:
     """Metric rows and curves of the wanted universes, re-ranked together, with the fitting benchmark.
 
-    A symbol in several universes counts once, for the first in the fixed order.
+    A symbol in several universes counts once, for the first in the fixed order. The
+    Parquet tables of the run are read, so a universe may have any number of series.
     """
-    from ..operators.universe import choose_benchmark, latest_update, select_universes, union_and_rank, union_curves
+    from ..operators.universe import choose_benchmark, latest_update, union_and_rank, union_curves
     from ..sources import artifacts
 
     chosen = select_universes(wanted)
-    tables = [artifacts.read_metrics(spark, f"{folder}/metrics_{u}") for u in chosen]
-    curves = union_curves([artifacts.read_curves(spark, f"{folder}/curves_{u}") for u in chosen])
-    stamps = [t.select("updated").limit(1) for t in tables]
-    headers = stamps[0]
-    for stamp in stamps[1:]:
-        headers = headers.unionByName(stamp)
+    tables = [artifacts.stored_metrics(spark, folder, u) for u in chosen]
+    curves = union_curves([artifacts.stored_curves(spark, folder, u) for u in chosen])
+    headers = spark.read.parquet(f"{folder}/metrics").where(F.col("universe").isin(list(chosen))).select("updated")
     benchmarks = artifacts.read_benchmarks(spark, f"{folder}/benchmarks")
-    bench = choose_benchmark(benchmarks, chosen, artifacts.read_bench_curve(spark, f"{folder}/curves_{chosen[0]}"))
+    bench = choose_benchmark(benchmarks, chosen, artifacts.stored_bench_curve(spark, folder, chosen[0]))
     return Loaded(chosen, latest_update(headers), union_and_rank(tables).persist(), curves.persist(), bench.persist())
+
+
+class Library:
+    """The stored universes of a folder, each choice of them loaded once.
+
+    A choice stays loaded until the folder's meta artifact has a new version, which
+    every stored run gives it, or ``most`` later choices have pushed it out.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, most: int = 4) -> None:
+        self.spark, self.folder, self.most = spark, folder, most
+        self._loaded: OrderedDict[tuple[str, ...], tuple[int, Loaded]] = OrderedDict()
+
+    def load(self, wanted: Sequence[str]) -> Loaded:
+        key = select_universes(wanted)
+        version, _ = current(self.spark, f"{self.folder}/meta")
+        held = self._loaded.pop(key, None)
+        if held and held[0] != version:
+            held[1].release()
+            held = None
+        self._loaded[key] = held or (version, load(self.spark, self.folder, key))
+        while len(self._loaded) > self.most:
+            self._loaded.popitem(last=False)[1][1].release()
+        return self._loaded[key][1]
+
+    def release(self) -> None:
+        """Give back all that is loaded."""
+        while self._loaded:
+            self._loaded.popitem()[1][1].release()

@@ -47,6 +47,11 @@ def flag_days(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
     return means.select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), "ts", "px")
 
 
+def market_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean price of all lines by month: a benchmark that covers every series."""
+    return _panel(table(spark, sf_dir, "lineitem"), [], "l_shipdate", "l_extendedprice", "month").select("ts", "px")
+
+
 def urgent_days(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
     """The benchmark: mean price of urgent orders by day (or month), with gaps."""
     orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")

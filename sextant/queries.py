@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import month_text
-from .functions.numeric import Stream, bootstrap_indices
 from .operators import align, backtest, fx, metrics, quality, resample, screen, universe, weights
 from .params import BATCH, DAILY, LIVE, MONTHLY, Mode, ScreenParams, WeightParams
 from .plans import explorer, panels, portfolio
@@ -24,11 +23,10 @@ SHORT_PPY = 24
 SLICE = (820_454_400, 946_684_799)
 CUTOFF = 915_148_800
 TEST_MODE = Mode("test", MONTHLY, WeightParams(ppy=MONTHLY), least_returns=20, least_points=12, oos_min_years=2)
-#: The month from which the benchmark of orders has no prices for all series.
-LAST_MONTH = 1998 * 12
 BENCH_NAMES = {"AF": "^GSPC", "NF": "ACWI", "RF": "^STOXX"}
 BASKET = ("S000001", "S000003", "S000007", "S000001")
 MICROS = 30 * 86_400 * 1_000_000
+YEAR = 365 * 86_400
 
 
 def _r(*names: str, digits: int = 6) -> list[Column]:
@@ -60,6 +58,23 @@ def q_drawdown_series(spark, sf_dir):
     return metrics.drawdown_series(panels.supplier_months(spark, sf_dir)).select("symbol", "ts", *_r("drawdown_pct"))
 
 
+def q_drawdown_split(spark, sf_dir):
+    """The deepest falls of daily series, cut every year."""
+    return metrics.max_drawdown(panels.supplier_days(spark, sf_dir), width=YEAR).select("symbol", *_r("mdd"))
+
+
+def q_returns_split(spark, sf_dir):
+    """Returns of daily series, cut every year."""
+    return metrics.period_returns(panels.supplier_days(spark, sf_dir), width=YEAR).select("symbol", "ts", *_r("ret"))
+
+
+def q_rebalanced_split(spark, sf_dir):
+    """The rebalanced curve on common days, prices and curve cut every year."""
+    prices = _aligned(spark, sf_dir)
+    curve = backtest.rebalanced(prices, weights.equal_weights(prices.select("symbol").distinct()), width=YEAR)
+    return curve.select("scheme", "mode", "ts", *_r("value", digits=4))
+
+
 def q_metrics_all(spark, sf_dir):
     rows = metrics.universe_metrics(panels.supplier_days(spark, sf_dir), DAILY)
     return rows.select("symbol", "days", "start", "end", *_r("cagr", "vol", "mdd", "min5y", "r2", "reg", "mar", "sortino", "sharpe", digits=5))
@@ -213,7 +228,7 @@ def q_live_backtest_equal(spark, sf_dir):
 
 
 def q_universe_union_rerank(spark, sf_dir):
-    rows = metrics.universe_metrics(panels.supplier_months(spark, sf_dir), MONTHLY).persist()  # each universe reads them
+    rows = metrics.universe_metrics(panels.supplier_months(spark, sf_dir), MONTHLY)
     members = panels.supplier_regions(spark, sf_dir)
     tables = [rows.join(members.where(F.col("universe") == u), "symbol") for u in range(5)]
     merged = universe.union_and_rank(tables)
@@ -271,10 +286,13 @@ def q_benchmark_choice(spark, sf_dir):
     return chosen.select(month_text(F.col("month_idx")).alias("month"), *_r("px"))
 
 
+def _market(spark, sf_dir):
+    return resample.month_end(panels.market_months(spark, sf_dir).withColumn("symbol", F.lit("market"))).select("month_idx", "px")
+
+
 def q_benchmark_on_months(spark, sf_dir):
     """A monthly benchmark over the months that all series share, rebased."""
-    bench = panels.urgent_days(spark, sf_dir, "month").withColumn("symbol", F.lit("b"))
-    curve = backtest.benchmark_on_months(resample.month_end(bench), align.common_window(_monthly(spark, sf_dir).where(F.col("month_idx") < LAST_MONTH)))
+    curve = backtest.benchmark_on_months(_market(spark, sf_dir), align.common_window(_monthly(spark, sf_dir)))
     return curve.select(month_text(F.col("month_idx")).alias("month"), *_r("value"))
 
 
@@ -316,9 +334,7 @@ def q_weight_table(spark, sf_dir):
 
 def q_key_figures(spark, sf_dir):
     """Growth, edge over the benchmark, Sharpe ratio and worst drawdown of the explorer's run."""
-    monthly = _monthly(spark, sf_dir).where(F.col("month_idx") < LAST_MONTH)
-    bench = resample.month_end(panels.urgent_days(spark, sf_dir, "month").withColumn("symbol", F.lit("b"))).select("month_idx", "px")
-    built = explorer.recompute(_rows(spark, sf_dir), monthly, replace(LOOSE, top_n=8), bench, schemes=("equal",))
+    built = explorer.recompute(_rows(spark, sf_dir), _monthly(spark, sf_dir), replace(LOOSE, top_n=8), _market(spark, sf_dir), schemes=("equal",))
     shown = explorer.key_figures("equal", built, None, spark)
     return shown.select("scheme", *_r("is_cagr", "is_bench_cagr", "is_edge", "is_sharpe", "is_mdd", "oos_cagr", digits=5))
 
@@ -327,15 +343,6 @@ def q_ticker_cleaning(spark, sf_dir):
     return universe.clean_tickers(panels.part_names(spark, sf_dir))
 
 
-def q_bootstrap_indices(spark, sf_dir):
-    """The row numbers of all scenarios over the aligned dates."""
-    rows = max(1, _aligned(spark, sf_dir).select("ts").distinct().count() - 1)
-    p = BATCH.weights
-    stream = Stream(p.seed)
-    made = [(s, bootstrap_indices(rows, p.window(rows), p.mean_block, stream).tolist()) for s in range(p.scenarios)]
-    return spark.createDataFrame(made, "scenario int, picks array<int>").select("scenario", F.posexplode("picks").alias("pos", "src_row"))
-
-
 def _monthly_returns(spark, sf_dir):
     monthly = resample.month_end(panels.flag_days(spark, sf_dir)).select("symbol", F.col("month_idx").cast("bigint").alias("ts"), "px")
     return align.aligned_returns(align.align_on_dates(monthly))
@@ -488,7 +495,8 @@ _ENDS = "ce AS (SELECT symbol, min(idx) AS i0, max(idx) AS i1 FROM ch GROUP BY s
 _COVERED = """cov AS (SELECT symbol FROM ce, w WHERE i0 <= lo AND i1 >= hi),
 t AS (SELECT ch.symbol, ch.idx AS ts, ch.px FROM ch JOIN cov USING (symbol), w WHERE idx BETWEEN lo AND hi)"""
 _ON_MONTHS = f"{_ENDS}, w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM ce), {_COVERED}"
-_MONTH_BENCH = f"ub AS (SELECT {_IDX} AS idx, px FROM ({_URGENT.format(unit='month', price=_PRICE.format('o_totalprice'))}))"
+_MONTH_BENCH = f"""ub AS (SELECT {_IDX} AS idx, px FROM (
+  SELECT CAST(epoch(date_trunc('month', l_shipdate)) AS BIGINT) AS ts, {_PRICE.format('l_extendedprice')} AS px FROM lineitem GROUP BY 1))"""
 
 _CAPPED = """WITH RECURSIVE {ctes}, v AS (SELECT symbol, 1 / sqrt(greatest(var_samp(ret), 1e-12)) AS w FROM rets GROUP BY symbol),
 n AS (SELECT list(w / t ORDER BY symbol) AS ws FROM v, (SELECT sum(w) AS t FROM v)),
@@ -511,6 +519,11 @@ FROM (SELECT symbol, ts, px / lag(px) OVER (PARTITION BY symbol ORDER BY ts) - 1
     "annualized_vol": f"{_MONTH_METRICS} SELECT symbol, {_rounded('vol')} FROM m",
     "downside_vol": f"{_MONTH_METRICS} SELECT symbol, {_rounded('dvol')} FROM m",
     "max_drawdown": f"{_MONTH_METRICS} SELECT symbol, {_rounded('mdd')} FROM m",
+    "drawdown_split": f"""SELECT symbol, round(least(min(px / peak - 1), 0), 6) AS mdd
+FROM (SELECT symbol, px, max(px) OVER (PARTITION BY symbol ORDER BY ts) AS peak FROM ({_DAYS})) GROUP BY symbol""",
+    "returns_split": f"""WITH p AS ({_DAYS}) SELECT symbol, ts, round(ret, 6) AS ret
+FROM (SELECT symbol, ts, px / lag(px) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM p) WHERE ret IS NOT NULL""",
+    "rebalanced_split": f"WITH {_ALIGNED}, {_equal_sql('al')} SELECT scheme, mode, ts, round(px, 4) AS value FROM eq WHERE mode = 'rebal'",
     "rolling_min_return": f"{_MONTH_METRICS} SELECT symbol, {_rounded('min5y')} FROM m",
     "log_r2": f"{_MONTH_METRICS} SELECT symbol, {_rounded('r2')} FROM m",
     "log_resid_std": f"{_MONTH_METRICS} SELECT symbol, {_rounded('reg')} FROM m",
@@ -587,8 +600,8 @@ FROM ({_top_sql(STRICT, 'quality', STRICT.top_n)})""",
     "metrics_stored": f"{_MONTH_RANKS} SELECT symbol, {', '.join(f'round({m}, {d}) + 0.0 AS {m}' for m, d in artifacts.DIGITS.items())} FROM q",
     "benchmark_choice": f"""WITH p AS ({_FLAGS}) SELECT {_TEXT.format('idx')} AS month, round(arg_max(px, ts), 6) AS px
 FROM (SELECT *, {_IDX} AS idx FROM p) WHERE symbol = 'NF' GROUP BY idx""",
-    "benchmark_on_months": f"""WITH p AS ({_MONTHS}), {_GAPLESS}, e AS (SELECT min(idx) AS i0, max(idx) AS i1 FROM g WHERE idx < {LAST_MONTH} GROUP BY symbol),
-w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM e), ub AS (SELECT {_IDX} AS idx, px FROM ({_URGENT.format(unit='month', price=_PRICE.format('o_totalprice'))})),
+    "benchmark_on_months": f"""WITH p AS ({_MONTHS}), {_GAPLESS}, e AS (SELECT min(idx) AS i0, max(idx) AS i1 FROM g GROUP BY symbol),
+w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM e), {_MONTH_BENCH},
 c AS (SELECT idx, px FROM ub, w WHERE idx BETWEEN lo AND hi AND (SELECT min(idx) FROM ub) <= lo AND (SELECT max(idx) FROM ub) >= hi)
 SELECT {_TEXT.format('idx')} AS month, round(px / (SELECT arg_min(px, idx) FROM c) * 100, 6) AS value FROM c""",
     "chart_points": """WITH p AS (SELECT 'C' || CAST(o_custkey AS VARCHAR) AS symbol, CASE WHEN o_custkey % 3 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
@@ -605,7 +618,7 @@ SELECT {_TEXT.format('ts')} AS month, round(px, 4) AS value FROM eq WHERE mode =
         ctes=f"{_PICKED[5:]}, {_ON_MONTHS}, rets AS (SELECT * FROM (SELECT *, px / lag(px) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM t) WHERE ret IS NOT NULL)"
     )})""",
     "key_figures": f"""{_MONTH_RANKS}, {_GAPLESS}, picks AS ({_top_sql(LOOSE, 'quality', 8)}),
-ch AS (SELECT g.* FROM g JOIN picks USING (symbol) WHERE idx < {LAST_MONTH}), {_MONTH_BENCH}, {_ENDS},
+ch AS (SELECT g.* FROM g JOIN picks USING (symbol)), {_MONTH_BENCH}, {_ENDS},
 w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM (SELECT i0, i1 FROM ce UNION ALL SELECT min(idx), max(idx) FROM ub)), {_COVERED},
 bench AS (SELECT idx AS ts, px AS value FROM ub, w WHERE idx BETWEEN lo AND hi), {_equal_sql('t')}, {_CURVE_METRICS}, {_BENCH_METRICS}
 SELECT scheme, round(k.cagr, 5) AS is_cagr, round(bm.cagr, 5) AS is_bench_cagr, round(k.cagr - coalesce(bm.cagr, 0), 5) AS is_edge,
@@ -620,6 +633,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "annualized_vol": _one_metric("vol"),
     "downside_vol": _one_metric("dvol"),
     "max_drawdown": _one_metric("mdd"),
+    "drawdown_split": q_drawdown_split,
+    "returns_split": q_returns_split,
+    "rebalanced_split": q_rebalanced_split,
     "rolling_min_return": _one_metric("min5y"),
     "log_r2": _one_metric("r2"),
     "log_resid_std": _one_metric("reg"),

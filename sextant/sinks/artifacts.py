@@ -1,14 +1,15 @@
 """Writers of the metric, curve, portfolio, benchmark and meta artifacts.
 
-Wide tables go out as Parquet by universe. A JSON artifact is one document, made
-for a screen of a few thousand series; ``MOST_ROWS`` guards against more.
+Wide tables go out as Parquet by universe. A JSON artifact is a folder of documents of
+about ``PIECE`` series each, one for a screen of a few thousand, so any number of
+series can be written and no task holds more than a document.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ..functions.columns import defined, fixed, month_text
@@ -16,16 +17,23 @@ from ..operators.resample import month_end, to_segments
 from ..operators.screen import REASONS, screen_summary
 from ..params import SCHEMES, ScreenParams, Universe
 from ..plans.portfolio import Backtest, OutOfSample, Portfolio
-from ..sources.artifacts import read_meta
+from ..sources.artifacts import read_meta_of
+from ..versions import change
 
 # Digits of the stored metrics.
 DIGITS = {m: 4 for m in "cagr vol mdd min5y r2 reg quality".split()} | {m: 3 for m in "mar sortino sharpe score".split()}
-MOST_ROWS = 100_000
+PIECE = 10_000
 
 
-def _one_document(rows: DataFrame, what: str) -> None:
-    if rows.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        raise ValueError(f"{what} has more than {MOST_ROWS} rows; write it as Parquet")
+def _in_pieces(rows: DataFrame, count: int) -> GroupedData:
+    """``rows`` grouped for documents of about ``PIECE`` rows; a single one, even of no rows, if that is enough."""
+    pieces = -(-count // PIECE)
+    return rows.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(pieces)).alias("piece")) if pieces > 1 else rows.groupBy()
+
+
+def _write(documents: DataFrame, path: str) -> None:
+    """Documents one a file, as a reader takes a file for one document."""
+    documents.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def rounded_metrics(rows: DataFrame) -> DataFrame:
@@ -44,28 +52,28 @@ def _params(params: dict[str, float]) -> Column:
 
 
 def metrics_document(rows: DataFrame, universe: str, label: str, updated: str, params: dict[str, float], base: str = "EUR") -> DataFrame:
-    """One row ``value``: the metrics artifact as JSON."""
+    """Rows ``value``: the metrics artifact as JSON documents, each with the count of all."""
+    count = rows.count()
     names = ["ccy", "days", "start", "end", *DIGITS]
     entry = F.struct(F.col("symbol").alias("t"), *[F.col(c) for c in names if c in rows.columns])
-    listed = rounded_metrics(rows).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    listed = _in_pieces(rounded_metrics(rows), count).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     header = [F.lit(updated).alias("updated"), F.lit(base).alias("base"), F.lit(universe).alias("universe"), F.lit(label).alias("label"), _params(params).alias("params")]
-    whole = F.struct(*header, F.size("rows").cast("bigint").alias("count"), "rows")
+    whole = F.struct(*header, F.lit(count).cast("bigint").alias("count"), "rows")
     return listed.select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_metrics(rows: DataFrame, path: str, **header) -> None:
-    _one_document(rows, "the metrics artifact")
-    metrics_document(rows, **header).write.mode("overwrite").text(path)
+    _write(metrics_document(rows, **header), path)
 
 
-def _segments_map(segments: DataFrame, *more: str) -> DataFrame:
+def _segments_map(segments: GroupedData, *more: str) -> DataFrame:
     value = F.struct(*more, F.col("start_month").alias("s"), F.col("p"))
     return segments.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("symbol"), value.alias("v"))))).alias("series"))
 
 
 def curves_document(prices: DataFrame, updated: str, benchmark: DataFrame | None = None, base: str = "EUR") -> DataFrame:
-    """One row ``value``: month-end curves of ``prices`` as JSON, with the benchmark's if there is one."""
-    packed = _segments_map(to_segments(month_end(prices)))
+    """Rows ``value``: month-end curves of ``prices`` as JSON documents, each with the benchmark's if there is one."""
+    packed = _segments_map(_in_pieces(to_segments(month_end(prices)), prices.select("symbol").distinct().count()))
     fields = [F.lit(updated).alias("updated"), F.lit(base).alias("base"), F.lit("M").alias("freq"), F.col("series")]
     if benchmark is not None:
         bench = to_segments(month_end(benchmark.withColumn("symbol", F.lit("bench")))).select(F.struct(F.col("start_month").alias("s"), "p").alias("bench"))
@@ -75,14 +83,13 @@ def curves_document(prices: DataFrame, updated: str, benchmark: DataFrame | None
 
 
 def write_curves(prices: DataFrame, path: str, updated: str, benchmark: DataFrame | None = None) -> None:
-    _one_document(prices.select("symbol").distinct(), "the curves artifact")
-    curves_document(prices, updated, benchmark).write.mode("overwrite").text(path)
+    _write(curves_document(prices, updated, benchmark), path)
 
 
 def benchmarks_document(prices: DataFrame, labels: dict[str, str], updated: str, base: str = "EUR") -> DataFrame:
     """One row ``value``: the labelled benchmark curves as JSON."""
     names = prices.sparkSession.createDataFrame(list(labels.items()), "symbol string, label string")
-    packed = _segments_map(to_segments(month_end(prices)).join(F.broadcast(names), "symbol"), "label")
+    packed = _segments_map(to_segments(month_end(prices)).join(F.broadcast(names), "symbol").groupBy(), "label")
     return packed.select(F.to_json(F.struct(F.lit(updated).alias("updated"), F.lit(base).alias("base"), "series")).alias("value"))
 
 
@@ -167,13 +174,17 @@ def portfolio_document(
 def upsert_meta(new: DataFrame, path: str, updated: str) -> None:
     """Replace the entries ``new(universe, count, eligible, updated)`` in the meta artifact; the rest stays.
 
-    The merged document is staged beside the old one before it takes its place.
+    The merged document becomes the next version in one step; of two runs at once, the
+    later merges into what the first has written.
     """
-    old = read_meta(new.sparkSession, path).join(new.select("universe"), "universe", "left_anti")
-    merged = old.unionByName(new.select("universe", "count", "eligible", "updated"))
+    spark = new.sparkSession
     value = F.struct("count", "eligible", "updated")
-    packed = merged.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("universe", value.alias("v"))))).alias("universes"))
-    document = packed.select(F.to_json(F.struct(F.lit(updated).alias("updated"), "universes")).alias("value"))
-    staged = f"{path}_staged"
-    document.write.mode("overwrite").text(staged)
-    new.sparkSession.read.text(staged).write.mode("overwrite").text(path)
+
+    def merge(folders: list[str], to: str) -> list[str]:
+        old = read_meta_of(spark, folders).join(new.select("universe"), "universe", "left_anti")
+        merged = old.unionByName(new.select("universe", "count", "eligible", "updated"))
+        packed = merged.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("universe", value.alias("v"))))).alias("universes"))
+        packed.select(F.to_json(F.struct(F.lit(updated).alias("updated"), "universes")).alias("value")).write.text(to)
+        return [to]
+
+    change(spark, path, merge)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sextant.operators import metrics, quality, screen
+from sextant.operators import metrics, ordering, quality, scan, screen
 from sextant.params import ScreenParams
 
 EXPO = [100 * (1.12 ** (1 / 252)) ** i for i in range(252 * 20)]
@@ -133,17 +133,53 @@ def test_drawdown_against_numpy(spark, px):
 
 
 def test_ranks_of_ties_are_spread(spark):
-    """Nine tenths of the rows share a value; no bucket holds more than a few of them, and ranks are those of one sort."""
-    from sextant.operators import quality
-
+    """Nine tenths of the rows share a value; ranks from even ranges are those of one sort."""
     rows = [(f"S{i:05d}", 0.0 if i % 10 else (i % 70) / 50 - 0.5, None if i % 3 else float(i)) for i in range(5000)]
     table = spark.createDataFrame(rows, "symbol string, a double, b double")
-    got = {r["symbol"]: (r["rank_a"], r["rank_b"]) for r in quality.percentile_ranks(table, ("a", "b")).collect()}
-    for k in (1, 2):
-        order = sorted((r[k], r[0]) for r in rows if r[k] is not None)
-        place = {s: i / (len(order) - 1) for i, (_, s) in enumerate(order)}
-        assert all(got[r[0]][k - 1] == (place[r[0]] if r[k] is not None else None) for r in rows)
-    often, cuts = quality._ties(table, ("a", "b"), "symbol")
-    assert often[0] == [0.0] and often[1] == [] and 150 < len(cuts) < 400
-    gaps = [sum(lo <= r[0] < hi for r in rows) for lo, hi in zip(["", *cuts], [*cuts, "T"], strict=True)]
-    assert max(gaps) < 200
+    for per_task in (100, 1_000_000):
+        got = {r["symbol"]: (r["rank_a"], r["rank_b"]) for r in quality.percentile_ranks(table, ("a", "b"), per_task=per_task).collect()}
+        for k in (1, 2):
+            order = sorted((r[k], r[0]) for r in rows if r[k] is not None)
+            place = {s: i / (len(order) - 1) for i, (_, s) in enumerate(order)}
+            assert all(got[r[0]][k - 1] == (place[r[0]] if r[k] is not None else None) for r in rows)
+
+
+def test_ranges_of_a_good_universe_are_even(spark):
+    """Values between 0.9 and 1, half of them equal: no range has over twice the mean."""
+    value = F.when(F.col("id") % 2 == 0, F.lit(0.95)).otherwise(0.9 + F.pmod(F.xxhash64("id"), F.lit(100_000)) / 1e6)
+    rows = spark.range(200_000).select(F.concat(F.lit("S"), "id").alias("symbol"), value.alias("r2"))
+    key = F.struct(F.col("r2").alias("v"), F.col("symbol").alias("t"))
+    for key in (key, F.when(F.col("symbol") > "S5", key)):
+        held = rows.where(key.isNotNull())
+        (number,) = ordering.ranges(held, [key], held.count(), 4_000)
+        sizes = [r["count"] for r in held.groupBy(number.alias("n")).count().collect()]
+        assert len(sizes) > held.count() / 4_000 / 2 and max(sizes) < 2 * 4_000
+
+
+def test_numbered(spark):
+    rows = spark.range(0, 3000, 3).select((F.col("id") * 7 % 3001).alias("ts")).repartition(5)
+    for per_task in (64, 10_000):
+        got = sorted((r["ts"], r["at"]) for r in ordering.numbered(rows, "ts", "at", 1000, per_task).collect())
+        assert [a for _, a in got] == list(range(1000))
+    assert ordering.numbered(rows.limit(0), "ts", "at", 0).collect() == []
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-50, 400), st.one_of(st.none(), st.floats(0.5, 9))), unique_by=lambda x: x[:2], max_size=40), st.integers(1, 120))
+def test_split_series_run_as_whole_ones(spark, points, width):
+    table = spark.createDataFrame(points, "symbol string, ts bigint, px double")
+    named = {"peak": ("max", F.col("px")), "total": ("sum", F.col("px")), "prev": ("before", F.col("px"))}
+    got = {(r["symbol"], r["ts"]): r for r in scan.running(table, ("symbol",), "ts", named, width).collect()}
+    want = scan.running(table, ("symbol",), "ts", named).collect()
+    assert len(got) == len(want)
+    for r in want:
+        one = got[r["symbol"], r["ts"]]
+        assert (one["peak"], one["prev"]) == (r["peak"], r["prev"]) and one["total"] == pytest.approx(r["total"])
+
+
+def test_long_series_spreads(spark):
+    """One series of two million points: cut in stretches, no window holds it whole."""
+    prices = spark.range(2_000_000).select(F.lit("a").alias("symbol"), F.col("id").alias("ts"), (F.lit(2.0) + F.sin(F.col("id") / 1e5)).alias("px"))
+    mdd = metrics.max_drawdown(prices, width=50_000).first()["mdd"]
+    assert mdd == pytest.approx(metrics.max_drawdown(prices).first()["mdd"])
+    assert metrics.period_returns(prices, width=50_000).count() == 1_999_999

@@ -221,6 +221,96 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.load_snapshot(spark, path, second) is None
 
 
+def test_versions_survive_a_kill_between_writes(spark, tmp_path, monkeypatch):
+    """Whatever step of a replacement is the last one, readers see the old table or the new one."""
+    from sextant import versions
+
+    schema = "universe string, count bigint, eligible bigint, updated string"
+    path = str(tmp_path / "meta")
+    seen = lambda: {tuple(r) for r in artifacts.read_meta(spark, path).collect()}
+    out.upsert_meta(spark.createDataFrame([("A", 1, 1, "x")], schema), path, "x")
+
+    class Killed(Exception):
+        pass
+
+    def kill(*_):
+        raise Killed
+
+    with monkeypatch.context() as m, pytest.raises(Killed):
+        m.setattr(versions, "_point", kill)  # after the data, before the pointer
+        out.upsert_meta(spark.createDataFrame([("A", 2, 1, "y")], schema), path, "y")
+    assert seen() == {("A", 1, 1, "x")}
+    (tmp_path / "meta" / "_versions" / "2").write_text("data-half")  # while the pointer is written
+    assert seen() == {("A", 1, 1, "x")} and versions.current(spark, path)[0] == 1
+    with monkeypatch.context() as m, pytest.raises(Killed):
+        m.setattr(versions, "_clear", kill)  # after the pointer
+        out.upsert_meta(spark.createDataFrame([("B", 3, 1, "z")], schema), path, "z")
+    assert seen() == {("A", 1, 1, "x"), ("B", 3, 1, "z")}
+    for i in range(6):
+        out.upsert_meta(spark.createDataFrame([("B", i, 1, "z")], schema), path, "z")
+    assert len(list((tmp_path / "meta" / "_versions").glob("[0-9]*"))) == versions.KEPT
+
+
+def test_a_save_during_a_delete_survives(spark, tmp_path, monkeypatch):
+    from sextant import versions
+
+    path = str(tmp_path / "snaps")
+    base = {"universes": ["SP500"], "source": "screen", "scheme": "equal", "params": {}, "picks": [("a", 1.0)]}
+    keys = [snapshots.save_snapshot(spark, path, base, datetime(2020, 1, i + 1)) for i in range(3)]
+    plain, late = versions._point, []
+
+    def slow(*args):
+        if not late:
+            late.append(True)
+            late.append(snapshots.save_snapshot(spark, path, base, datetime(2021, 1, 1)))
+        return plain(*args)
+
+    monkeypatch.setattr(versions, "_point", slow)
+    snapshots.delete_snapshot(spark, path, keys[0])
+    assert {r["id"] for r in snapshots.list_snapshots(spark, path).collect()} == {keys[1], keys[2], late[1]}
+    monkeypatch.setattr(snapshots, "MOST_FOLDERS", 2)
+    more = snapshots.save_snapshot(spark, path, base, datetime(2022, 1, 1))
+    assert snapshots.list_snapshots(spark, path).first()["id"] == more and len(versions.current(spark, path)[1]) <= 2
+
+
+def test_documents_in_pieces(spark, panel, tmp_path, monkeypatch):
+    """More series than a document holds: several documents, read back as one artifact."""
+    monkeypatch.setattr(out, "PIECE", 2)
+    rows = quality_score(universe_metrics(panel, MONTHLY))
+    out.write_metrics(rows, str(tmp_path / "m"), universe="U", label="Test", updated="2020-01-01", params={})
+    out.write_curves(panel, str(tmp_path / "c"), "2020-01-01", panel.where("symbol = 's0'").select("ts", "px"))
+    assert len(list((tmp_path / "m").glob("part-*"))) > 1
+    assert sorted(r["symbol"] for r in artifacts.read_metrics(spark, str(tmp_path / "m")).collect()) == [f"s{i}" for i in range(6)]
+    assert artifacts.read_curves(spark, str(tmp_path / "c")).count() == 6 * 180
+    assert artifacts.read_bench_curve(spark, str(tmp_path / "c")).count() == 180
+    out.write_metrics(rows.limit(0), str(tmp_path / "m"), universe="U", label="Test", updated="2020-01-01", params={})
+    assert artifacts.read_metrics(spark, str(tmp_path / "m")).count() == 0
+
+
+def test_universe_of_many_series_loads(spark, tmp_path):
+    n = 100_001
+    ids = spark.range(n).select(F.format_string("S%06d", "id").alias("symbol"), "id")
+    value = lambda k: (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0)
+    rows = ids.select("symbol", F.lit(None).cast("string").alias("ccy"), F.lit(6000).cast("bigint").alias("days"), F.lit("a").alias("start"), F.lit("b").alias("end"),
+                      *[value(i).alias(m) for i, m in enumerate(("cagr", "vol", "mdd", "min5y", "r2", "reg", "mar", "sortino", "sharpe", "score", "quality"))])
+    folder = str(tmp_path / "data")
+    out.write_table(out.rounded_metrics(rows).withColumn("updated", F.lit("2020-01-01")), f"{folder}/metrics", "SP500")
+    segments = ids.select("symbol", F.lit("2000-01").alias("start_month"), F.array(F.lit(1.0), F.lit(2.0)).alias("p"))
+    out.write_table(segments, f"{folder}/curves", "SP500")
+    out.write_table(segments.limit(1), f"{folder}/bench", "SP500")
+    out.upsert_meta(spark.createDataFrame([("SP500", n, n, "2020-01-01")], "universe string, count bigint, eligible bigint, updated string"), f"{folder}/meta", "x")
+    library = explorer.Library(spark, folder)
+    loaded = library.load(["SP500"])
+    assert loaded.rows.count() == n and loaded.monthly.count() == 2 * n
+    assert loaded.rows.agg(F.max("quality") - F.min("quality")).first()[0] > 0.5
+    assert library.load(["SP500"]) is loaded
+    out.upsert_meta(spark.createDataFrame([("SP500", n, n, "2020-01-02")], "universe string, count bigint, eligible bigint, updated string"), f"{folder}/meta", "x")
+    again = library.load(["SP500"])
+    assert again is not loaded and again.rows.count() == n
+    library.release()
+    assert not again.rows.storageLevel.useMemory
+
+
 def test_workbook(spark, panel, tmp_path):
     rows = quality_score(universe_metrics(panel, MONTHLY))
     monthly = month_end(panel).select("symbol", "month_idx", "px")
@@ -274,7 +364,7 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(str, (tuple(r) for r in made.select(*names).collect()))) == sorted(map(str, want.fetchall()))
 
 
-def test_whole_batch_and_explorer(spark, tmp_path):
+def test_whole_batch_and_explorer(spark, tmp_path, caplog):
     """Two universes from raw series to stored artifacts and back to a combined portfolio."""
     from sextant.plans import batch
 
@@ -292,8 +382,11 @@ def test_whole_batch_and_explorer(spark, tmp_path):
     (tmp_path / "u.json").write_text(json.dumps(config))
     folder, params = str(tmp_path / "data"), replace(LOOSE, min_years=5)
     as_of = int(datetime(2005, 1, 1, tzinfo=UTC).timestamp())
+    caplog.set_level("INFO", "sextant.plans.batch")
     done = batch.run_all(spark, ["SP500", "STOXX600"], str(tmp_path / "u.json"), raw, folder, params, as_of, "2005-01-01", MODE, ("equal",))
     assert done == ["SP500", "STOXX600"]
+    for words in ("SP500: 721 points read", "SP500: 1 points that aren't positive numbers", "no rates for SEK", "STOXX600 stored, 2 of 2 universes"):
+        assert words in caplog.text
     assert batch.requested([]) == ("SP500",) and batch.requested(["BENCH"]) == ()
     meta = {r["universe"]: r["count"] for r in artifacts.read_meta(spark, f"{folder}/meta").collect()}
     assert meta == {"SP500": 3, "STOXX600": 3}  # no rate for E

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sextant.functions.columns import capped_simplex
-from sextant.functions.numeric import Stream, bootstrap_indices, max_sharpe, portfolio_stats, project
+from sextant.functions.numeric import Stream, bootstrap_blocks, bootstrap_indices, max_sharpe, portfolio_stats, project
 from sextant.operators import align, backtest, weights
 from sextant.params import WeightParams
 
@@ -59,6 +59,70 @@ def test_bootstrap_is_circular_and_exact():
     assert (bootstrap_indices(50, 200, 21, Stream(42)) == idx).all()
 
 
+def plain_samples(rows, length, mean_block, scenarios, seed):
+    """Every sample's row numbers, drawn one by one."""
+    stream, out = Stream(seed), []
+    for _ in range(scenarios):
+        picks = []
+        while len(picks) < length:
+            first = int(next(stream) * rows)
+            size = max(1, int(np.floor(-mean_block * np.log(1 - next(stream)) + 0.5)))
+            picks += [(first + i) % rows for i in range(min(size, length - len(picks)))]
+        out.append(picks)
+    return out
+
+
+@pytest.mark.parametrize(("rows", "length", "mean_block"), [(50, 200, 21), (7, 5, 3), (1000, 1000, 1), (3, 3, 400), (1, 1, 5)])
+def test_blocks_of_all_samples_equal_single_draws(rows, length, mean_block):
+    scenario, first, size = bootstrap_blocks(rows, length, mean_block, 90, Stream(42))
+    made = [np.concatenate([np.arange(a, a + n) % rows for a, n in zip(first[scenario == s], size[scenario == s], strict=True)]).tolist() for s in range(90)]
+    assert made == plain_samples(rows, length, mean_block, 90, 42)
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_moments_of_samples(spark, block):
+    x = np.random.default_rng(5).normal([0.01, 0.002, 0.0], 0.04, (90, 3))
+    params = WeightParams(scenarios=25, mean_block=4, ppy=12)
+    got = {r["scenario"]: r for r in weights.scenario_moments(returns(spark, x), params, block).collect()}
+    samples = plain_samples(90, params.window(90), 4, 25, 42)
+    assert sorted(got) == list(range(25))
+    for s, picks in enumerate(samples):
+        assert got[s]["symbols"] == ["s0", "s1", "s2"]
+        assert np.allclose(got[s]["mu"], x[picks].mean(axis=0) * 12, atol=1e-12)
+        assert np.allclose(np.array(got[s]["cov"]).reshape(3, 3), np.cov(x[picks].T) * 12, atol=1e-12)
+    found = {r["symbol"]: r["weight"] for r in weights.resampled_weights(returns(spark, x), params).collect()}
+    cov = np.stack([np.cov(x[p].T) * 12 for p in samples])
+    best = max_sharpe(np.stack([x[p].mean(axis=0) * 12 for p in samples]), cov, params.rf, params.floor, params.cap, params.iterations)
+    want = project(best.mean(axis=0), params.floor, params.cap)
+    assert np.allclose([found[f"s{i}"] for i in range(3)], want / want.sum(), atol=1e-9)
+
+
+def test_ten_million_cells_are_resampled(spark):
+    """20 members over half a million dates, far more than was allowed in one matrix."""
+    table = spark.range(500_000).select(F.col("id").alias("ts"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("m"))
+    rets = table.select("ts", F.format_string("s%02d", "m").alias("symbol"), (F.pmod(F.xxhash64("ts", "m"), F.lit(2001)) / 1e5 - 0.01 + F.col("m") / 1e5).alias("ret"))
+    w = weights.resampled_weights(rets, WeightParams(scenarios=12, iterations=20)).collect()
+    assert len(w) == 20 and sum(r["weight"] for r in w) == pytest.approx(1) and {r["scenarios"] for r in w} == {12}
+
+
+@pytest.mark.parametrize("tile", [2, 512])
+def test_covariances_by_tiles_and_gaps(spark, tile):
+    """Members that lack some dates, in tiles smaller than the portfolio."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(1000, 1, (60, 9))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:-1, 8] = np.nan
+    rows = [(f"s{j}", i, float(v)) for i, row in enumerate(x) for j, v in enumerate(row) if not np.isnan(v)]
+    got = {(r["a"], r["b"]): r["cov"] for r in weights.cov_matrix(spark.createDataFrame(rows, "symbol string, ts bigint, ret double"), tile).collect()}
+    for i in range(9):
+        for j in range(i, 9):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if both.any():
+                want = np.cov(x[both, i], x[both, j])[0, 1] if both.sum() > 1 else 0
+                assert got.pop((f"s{i}", f"s{j}")) == pytest.approx(want, abs=1e-8)
+    assert not got
+
+
 def returns(spark, values):
     rows = [(f"s{j}", i, float(x)) for i, row in enumerate(values) for j, x in enumerate(row)]
     return spark.createDataFrame(rows, "symbol string, ts bigint, ret double")
