@@ -42,6 +42,7 @@ def folder(spark, tmp_path_factory):
     rows = docs.unionByName(extra.withColumn("n_chars", F.length("text").cast("long")), allowMissingColumns=True)
     rows.withColumn("kept", F.lit("mine")).repartition(3).write.parquet(f"{path}/documents.parquet")
     bench.write.parquet(f"{path}/benchmark.parquet")
+    spark.read.parquet(f"{source}/labels.parquet").write.parquet(f"{path}/labels.parquet")
     return path
 
 
