@@ -11,15 +11,15 @@ from sextant.llm.common import shared_folder, table
 from sextant.llm.decontamination import drop_contaminated
 from sextant.llm.line_dedup import drop_repeated_lines
 from sextant.llm.packing import pack_documents
-from sextant.llm.quality_rules import keep_good
+from sextant.llm.quality_rules import fit_bands, keep_good
 from sextant.llm.simhash import drop_near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the word rules and the compression bands accept."""
-    return keep_good(docs)
+    """Documents that the word rules and the compression bands, fitted on labels, accept."""
+    return keep_good(docs, fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
