@@ -6,7 +6,8 @@ on a small table of labelled blocks made by rule, tells the article's blocks fro
 lists, site names, notes and the like. Prose that is no part of the article can't be
 told by words and links: elements that HTML has for other things, and elements whose
 class, id or role says in whole that they are a comment, an advert or such, are never
-given to the tree; they are only neighbours.
+given to the tree; they are only neighbours. A page's ``main`` is its main part wherever
+it is, and so is an article inside a form or behind a menu that is left open.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +39,72 @@ STORY = frozenset("article main".split())
 #: Elements that don't end the head.
 IN_HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<empty>svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements around an article that don't make it a side matter: page-wide forms, and a menu or header left open.
+WRAPPING = frozenset("form fieldset nav header".split())
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[\"'>]")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
+class Token(NamedTuple):
+    """A piece of markup: where it is, its lower-case name ('' for a comment or declaration), and what kind."""
+
+    start: int
+    end: int
+    name: str
+    closing: bool = False
+    raw: bool = False
+    rest: str = ""
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """The markup of a page in order, in one pass that never goes back over what it has read.
+
+    A tag ends at the first ``>`` outside quotes. If a quote is never closed, it and all
+    tags after it end at their first ``>``. An element whose content isn't markup
+    (``script`` and such) is one token up to its end, or the page's.
+    """
+    last, at, quoted = page.rfind(">"), 0, True
+
+    def tag_end(i: int) -> int:
+        nonlocal quoted
+        j = i
+        while quoted:
+            found = _STOP.search(page, j)
+            if not found:
+                break
+            if found[0] == ">":
+                return found.end()
+            j = page.find(found[0], found.end()) + 1
+            if not j:
+                break
+        quoted = False
+        return page.find(">", i) + 1
+
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = len(page) if end < 3 else end
+            yield Token(at, end, "")
+        elif at > last:
+            return
+        elif found := _NAME.match(page, at + 1):
+            name, closing = found[2].lower(), bool(found[1])
+            end = tag_end(found.end())
+            rest = page[found.end() : end - 1]
+            raw = not closing and name in _RAW_END
+            if raw and not (name in ("svg", "math") and rest.endswith("/")):
+                close = _RAW_END[name].search(page, end)
+                end = close.end() if close else len(page)
+            yield Token(at, end, name, closing, raw, rest)
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield Token(at, end, "")
+        else:
+            end = at + 1
+        at = end
+
+
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 # Words that name what is not the article, and words that say nothing beside them.
 ASIDE_NAMES = frozenset(
@@ -48,12 +112,19 @@ ASIDE_NAMES = frozenset(
     " navigation newsletter notice pagination popup promo promotion related replies reply share sharing sidebar signup skip social sponsor sponsored"
     " subscribe toolbar widget contentinfo complementary".split()
 )
+STORY_NAMES = frozenset("main content article story main-content article-body entry-content post-content".split())
 NEUTRAL_NAMES = frozenset("area bar block box container form item items link links list main page posts section site top user widgets wrap wrapper".split())
 
 
 def names_an_aside(names: str) -> bool:
-    """Whether one of the blank-separated names is made of such words only, as ``cookie-notice`` but not ``header-image``."""
-    for name in names.lower().split():
+    """Whether one of the blank-separated names is made of such words only, as ``cookie-notice`` but not ``header-image``.
+
+    An element that is also called ``main``, ``content``, ``article`` or such is none.
+    """
+    called = names.lower().split()
+    if not STORY_NAMES.isdisjoint(called):
+        return False
+    for name in called:
         parts = [p for p in re.split(r"[-_]+", name) if p]
         if any(p in ASIDE_NAMES for p in parts) and all(p in ASIDE_NAMES or p in NEUTRAL_NAMES for p in parts):
             return True
@@ -72,7 +143,7 @@ class Block:
 class _Open:
     name: str
     story: bool = False
-    element: bool = False
+    element: str = ""
     named: bool = False
 
 
@@ -83,6 +154,19 @@ class _Page:
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     anchors: int = 0
+    names: Counter[str] = field(default_factory=Counter)
+
+    def push(self, one: _Open) -> None:
+        self.open.append(one)
+        self.names[one.name] += 1
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of the name and all inside it; nothing if none is open."""
+        while self.names[name]:
+            last = self.open.pop()
+            self.names[last.name] -= 1
+            if last.name == name:
+                return
 
     def text(self, raw: str) -> None:
         self.parts.append(raw)
@@ -95,28 +179,26 @@ class _Page:
             if text:
                 top = self.open[-1] if self.open else _Open("")
                 words, linked = len(text.split()), len(html.unescape(" ".join(self.linked)).split())
-                self.blocks.append(Block(text, words, min(words, linked), top.element or top.named))
+                self.blocks.append(Block(text, words, min(words, linked), bool(top.element) or top.named))
         self.parts, self.linked = [], []
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; what cannot be shown as text is left out."""
     state, done, hidden = _Page(), 0, 0
-    for m in _TOKEN.finditer(page):
-        if hidden and not page[done : m.start()].isspace() and m.start() > done:
+    for token in tokens(page):
+        if hidden and token.start > done and not page[done : token.start].isspace():
             hidden = 0  # text ends a head that isn't closed, as an element of the body does
-        if m.start() > done and not hidden:
-            state.text(page[done : m.start()])
-        done = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            raw = (m["raw"] or m["empty"] or "").lower()
-            if raw and raw not in IN_HEAD:
+        if token.start > done and not hidden:
+            state.text(page[done : token.start])
+        done = token.end
+        name, closing = token.name, token.closing
+        if token.raw or not name:
+            if token.raw and name not in IN_HEAD:
                 hidden = 0
-            if raw and raw not in ("script", "style"):
+            if token.raw and name not in ("script", "style"):
                 state.text(" ")
             continue
-        closing = bool(m["close"])
         if name == "head":
             hidden = 0 if closing else 1
             continue
@@ -131,19 +213,18 @@ def blocks_of(page: str) -> list[Block]:
         state.end_block()
         state.anchors = 0
         if closing:
-            for k in range(len(state.open) - 1, -1, -1):
-                if state.open[k].name == name:
-                    del state.open[k:]
-                    break
-        elif name not in VOID and not m["rest"].rstrip().endswith("/"):
+            state.close(name)
+        elif name not in VOID and not token.rest.rstrip().endswith("/"):
             if name == "p" and state.open and state.open[-1].name == "p":
-                state.open.pop()
+                state.close("p")
             above = state.open[-1] if state.open else _Open("")
-            called = " ".join(n.strip("\"'") for n in _NAMED.findall(m["rest"])) if "=" in m["rest"] else ""
-            # An article's own header is part of it; an article inside a named wrapper is one all the same.
-            element = above.element or name in FURNITURE and not (name == "header" and above.story)
-            named = bool(called) and name not in ("body", "html") and names_an_aside(called) or above.named and name not in STORY
-            state.open.append(_Open(name, above.story or name in STORY, element, named))
+            called = " ".join(n.strip("\"'") for n in _NAMED.findall(token.rest)) if "=" in token.rest else ""
+            # A page's main part is that wherever it is; an article inside a form, or behind a menu left open, is one all the same.
+            element = "" if name == "main" or name == "article" and above.element in WRAPPING else above.element
+            if name in FURNITURE and not (name == "header" and above.story) and element in ("", *WRAPPING):
+                element = name  # an article's own header is part of it
+            named = bool(called) and name not in ("body", "html", "main") and names_an_aside(called) or above.named and name not in STORY
+            state.push(_Open(name, above.story or name in STORY, element, named))
     if not hidden or page[done:].strip():
         state.text(page[done:])
     state.end_block()
@@ -254,6 +335,8 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[tuple[str, boo
         for _ in range(rnd.choice([1, 1, 2, 3, 5, 8, 12, 20])):
             kind = rnd.random()
             page.append(put(prose(1, 7) if kind < 0.7 else words(1, 6), True, rnd.choice([0.0] * 8 + [0.05, 0.15])))
+            if rnd.random() < 0.1:  # between two paragraphs a sentence that is mostly a link
+                page += [put(prose(2, 5), True), put(words(8, 24), True, rnd.choice([0.3, 0.45, 0.6, 0.75])), put(prose(2, 5), True)]
             if rnd.random() < 0.05:
                 page.append(put(words(1, 6), False, 1.0))  # a link to more
         if rnd.random() < 0.6:

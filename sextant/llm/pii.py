@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -141,7 +142,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> Mentions | None:
     starts = [i for i, _ in taken]
 
     def free(i: int, j: int) -> bool:
-        k = np.searchsorted(starts, j)
+        k = bisect_left(starts, j)
         return not any(b > i for _, b in taken[max(0, k - 4) : k])
 
     extra: list[tuple[int, int]] = []
@@ -149,10 +150,13 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> Mentions | None:
         extra += [m.span() for m in _DISGUISED.finditer(text) if free(*m.span())]
     rest = text
     if "[.]" in text:  # addresses with bracketed dots, whatever their number of digits
+        parts, done = [], 0
         for m in _DEFANGED.finditer(text):
             if "[.]" in m[0] and all(int(p) <= 255 for p in re.split("[^0-9]+", m[0])) and free(*m.span()):
                 extra.append(m.span())
-                rest = rest[: m.start()] + " ; ".ljust(m.end() - m.start(), ";") + rest[m.end() :]
+                parts += [text[done : m.start()], " ; ".ljust(m.end() - m.start(), ";")]
+                done = m.end()
+        rest = "".join([*parts, text[done:]])
     for m in _NUMBER.finditer(rest):
         if m.end() - m.start() >= 7 and len(_digits(m[0])) >= 7 and free(*m.span()):
             extra.append(m.span())

@@ -1,11 +1,12 @@
 """Disguised mentions that no digit or sign of the base expressions gives away."""
 
+import time
 from itertools import product
 
 import numpy as np
 import pytest
 
-from sextant.llm import pii
+from sextant.llm import pii, secret_scan
 
 
 def spans(spark, texts):
@@ -52,3 +53,30 @@ def test_messages_against_all_labellings(edges, fixed):
     doc = pii.Mentions([(i, i + 1) for i in range(4)], np.array(fixed), rnd.normal(0, 0.5, (4, pii.FEATURES)), np.array(edges))
     tree = len(edges) == 3
     assert np.abs(model.beliefs(doc) - exact_marginals(doc, model)).max() < (0.01 if tree else 0.06)
+
+
+def log_lines(size):
+    """Log-like text: dates, addresses, names and numbers in every line."""
+    line = "2024-01-{:02d} 12:{:02d}:01 host 10.0.{}.{} user=a{}@x{}.com call 555 {} {} done\n"
+    return "".join(line.format(i % 28 + 1, i % 60, i % 256, i * 7 % 256, i, i % 9, i % 900 + 100, i * 13 % 9000 + 1000) for i in range(size // 85))
+
+
+def test_long_logs_take_time_in_proportion():
+    model, took = pii.trained(), []
+    for size in (150_000, 300_000, 600_000):
+        text = log_lines(size)
+        began = time.process_time()
+        pii.added_spans(text, pii.base_spans(text), model)
+        took.append(time.process_time() - began)
+    assert took[2] < 3 * took[1] < 9 * took[0] and took[2] < 30
+
+
+def test_long_runs_without_a_token_take_time_in_proportion():
+    rules = [r.compiled() for r in secret_scan.BASE_RULES + secret_scan.MORE_RULES]
+    for text in ("eyJ" * 100_000 + " .eyJ", "eyJ" * 50_000 + ".eyJ" * 50_000, "eyJaaaaaaaa." * 20_000):
+        began = time.process_time()
+        for rule in rules:
+            list(rule.finditer(text))
+        assert time.process_time() - began < 2
+    token = "eyJhbGciOiJIUzI1NiIs.eyJzdWIiOiIxMjM0NTY.SflKxwRJSMeKKF2QT4"
+    assert any(m.group() == token for rule in rules for m in rule.finditer(f"x {token} y"))
