@@ -59,8 +59,17 @@ def _stage_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what the last returns."""
+    """All stages over ``documents``; what the last returns.
+
+    A stage's table is removed once the next one is written; the table that the last
+    stage reads stays, as its result is lazy.
+    """
     folder = _stage_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
@@ -69,5 +78,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         path = f"{folder}/{number}-{name}"
         out.write.parquet(path)
+        if number:
+            _delete(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
         docs = spark.read.parquet(path)
     return docs
