@@ -69,10 +69,10 @@ def q_returns_split(spark, sf_dir):
 
 
 def q_rebalanced_split(spark, sf_dir):
-    """The rebalanced curve on common days, prices and curve cut every year."""
+    """The rebalanced curve on common days, prices and curve cut every year; its logarithm, as daily noise compounds beyond all digits."""
     prices = _aligned(spark, sf_dir)
     curve = backtest.rebalanced(prices, weights.equal_weights(prices.select("symbol").distinct()), width=YEAR)
-    return curve.select("scheme", "mode", "ts", *_r("value", digits=4))
+    return curve.select("scheme", "mode", "ts", F.round(F.ln("value"), 6).alias("log_value"))
 
 
 def q_metrics_all(spark, sf_dir):
@@ -523,7 +523,7 @@ FROM (SELECT symbol, ts, px / lag(px) OVER (PARTITION BY symbol ORDER BY ts) - 1
 FROM (SELECT symbol, px, max(px) OVER (PARTITION BY symbol ORDER BY ts) AS peak FROM ({_DAYS})) GROUP BY symbol""",
     "returns_split": f"""WITH p AS ({_DAYS}) SELECT symbol, ts, round(ret, 6) AS ret
 FROM (SELECT symbol, ts, px / lag(px) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM p) WHERE ret IS NOT NULL""",
-    "rebalanced_split": f"WITH {_ALIGNED}, {_equal_sql('al')} SELECT scheme, mode, ts, round(px, 4) AS value FROM eq WHERE mode = 'rebal'",
+    "rebalanced_split": f"WITH {_ALIGNED}, {_equal_sql('al')} SELECT scheme, mode, ts, round(ln(px), 6) AS log_value FROM eq WHERE mode = 'rebal'",
     "rolling_min_return": f"{_MONTH_METRICS} SELECT symbol, {_rounded('min5y')} FROM m",
     "log_r2": f"{_MONTH_METRICS} SELECT symbol, {_rounded('r2')} FROM m",
     "log_resid_std": f"{_MONTH_METRICS} SELECT symbol, {_rounded('reg')} FROM m",
