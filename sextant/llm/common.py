@@ -120,7 +120,7 @@ def dense_rank_in_key(df: DataFrame, key: str, order: list[str | Column], out: s
 MANY_NEIGHBOURS, MOST_HUBS = 1 << 10, 100_000
 
 
-def _with_least(rows: DataFrame, least: Column, many: int) -> DataFrame:
+def with_least(rows: DataFrame, least: Column, many: int) -> DataFrame:
     """``rows(u, v)`` with ``m``, the ``least`` over the rows of each ``u``.
 
     A ``u`` of over ``many`` rows is broadcast with its least, the others are joined
@@ -147,11 +147,11 @@ def connected_components(edges: DataFrame, many: int | None = None) -> DataFrame
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
 
     def large_star(e: DataFrame, many: int) -> DataFrame:
-        out = _with_least(symmetric(e), F.least(F.min("v"), F.first("u")), many)
+        out = with_least(symmetric(e), F.least(F.min("v"), F.first("u")), many)
         return out.where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
     def small_star(e: DataFrame, many: int) -> DataFrame:
-        out = _with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), F.min("v"), many)
+        out = with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), F.min("v"), many)
         return out.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
     def state(e: DataFrame) -> tuple:

@@ -4,20 +4,27 @@ Fingerprints are cut into cells that hold every pair to be found, and a cell's i
 tiles of equal population count. Tile pairs whose counts differ beyond the radius are
 skipped, all pairs of the others are compared by exclusive-or and bit count in numpy.
 
-Fingerprints within ``radius`` bits agree in at least one of ``radius + 1`` parts, so
-for groups by fingerprint a cell is a part and its bits: each fingerprint is sent
-``radius + 1`` times, however many there are. Near copies by shingle sets lie too many
-bits apart for that. There a cell holds the sets with the same least shingle in one of
-``KEYS`` orders: sets of similarity s have the same least shingle of an order with
-probability s, so a pair at 0.8 is in no common cell once in 15,000. A set is sent
-``KEYS`` times and meets only sets that share a shingle with it. Found fingerprints are
-compared by their whole sets.
+Fingerprints within ``radius`` bits agree in at least ``p - radius`` of ``p`` parts, so
+for groups by fingerprint a cell is a choice of ``p - radius`` parts and their bits. The
+number of parts follows that of the fingerprints: at a radius of 4, five parts (five
+copies of a fingerprint, 12 bits a cell) serve up to some 10^8, six (15 copies, 20 bits)
+some 10^10 and seven (35 copies, 27 bits) some 10^12, so a cell's size doesn't grow with
+the corpus. Near copies by shingle sets lie too many bits apart for that. There a cell
+holds the sets with the same least shingle in one of ``KEYS`` orders: sets of similarity
+s have the same least shingle of an order with probability s, so a pair at 0.8 is in no
+common cell once in 15,000. A set is sent ``KEYS`` times and meets only sets that share a
+shingle with it. Found fingerprints are compared by their whole sets. Sets of few
+shingles, whose fingerprints are coarse, are linked exactly by the hashes of their
+subsets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +32,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, map_rows, short_batches
+from .common import MANY_NEIGHBOURS, MOST_HUBS, checkpointed, connected_components, map_rows, short_batches, with_least
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints that a cell is made for, and most of one piece of it.
-CELL, CHUNK = 1 << 12, 1 << 20
+#: Fingerprints that a cell is made for, those up to which it may grow before there are more parts, and most of one piece of it.
+CELL, FULL_CELL, CHUNK = 1 << 12, 1 << 15, 1 << 20
 #: Near copies: words of a shingle, similarity of the sets, bits of 128 and of the first 64 within which pairs are sought.
 SET_WORDS, SIMILARITY = 5, 0.8
-SET_RADIUS, SET_FIRST = 28, 19
+SET_RADIUS, SET_FIRST = 30, 20
 #: Orders of the shingles whose least ones are a set's cells, and sets of a cell that are never cut to pieces.
 KEYS, SMALL_CELL = 6, 1 << 8
+#: Most shingles of a set that is linked to its subsets of one shingle less by their hashes.
+FEW_SHINGLES = 8
 #: Shingles of a proposed group that are compared in one piece.
 MOST_HASHES = 1 << 21
 
@@ -242,24 +251,46 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def in_cells(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """``reps(fp, rep)`` in cells of equal parts: ``radius + 1`` times each, and more only in cells of over ``chunk``.
+def layout(count: int, radius: int = RADIUS) -> tuple[int, int]:
+    """``(parts, slots)`` for ``count`` fingerprints: the fewest parts whose cells hold at most ``FULL_CELL`` of them on average.
 
-    Cells are as many as give them ``CELL`` fingerprints or the parts have bits for.
+    A cell is one of ``slots`` values of the bits of ``parts - radius`` parts.
     """
     parts = radius + 1
+    while count > FULL_CELL << _least_bits(parts, radius) and comb(parts + 1, radius) <= 128:
+        parts += 1
+    return parts, 1 << min(_least_bits(parts, radius), max(0, count // CELL).bit_length())
+
+
+def _least_bits(parts: int, radius: int) -> int:
+    """Bits of the ``parts - radius`` shortest of ``parts`` parts of 64 bits."""
+    return sum(sorted((k + 1) * 64 // parts - k * 64 // parts for k in range(parts))[: parts - radius])
+
+
+def in_cells(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, parts: int | None = None) -> DataFrame:
+    """``reps(fp, rep)`` in the cells of their parts, and more often only in cells of over ``chunk``.
+
+    Cells are as many as give them ``CELL`` fingerprints or the parts have bits for.
+    ``parts`` are as ``layout`` finds them unless given.
+    """
+    fitting, slots = layout(reps.count(), radius)
+    parts = parts or fitting
     cuts = [k * 64 // parts for k in range(parts + 1)]
-    count = reps.count()
-    slots = 1 << min(64 // parts, max(0, count // CELL).bit_length())
-    bits = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1)) for low, high in zip(cuts, cuts[1:], strict=False)]
-    cells = F.array(*[F.pmod(b, F.lit(slots)) * parts + k for k, b in enumerate(bits)])
+    chosen = list(combinations(range(parts), parts - radius))
+
+    def bits(choice: tuple[int, ...]) -> Column:
+        """The bits of some parts side by side."""
+        pieces = [(F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)), cuts[k + 1] - cuts[k]) for k in choice]
+        return reduce(lambda done, piece: (F.shiftleft(done[0], piece[1]).bitwiseOR(piece[0]), done[1] + piece[1]), pieces)[0]
+
+    cells = F.array(*[F.pmod(bits(c), F.lit(slots)) * len(chosen) + i for i, c in enumerate(chosen)])
     rows = _spread(reps.select("fp", "rep")).select(F.explode(cells).alias("band"), "fp", "rep")
     return _met(_cut(rows, chunk))
 
 
-def near_links(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def near_links(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, parts: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` between the ``rep`` of distinct ``reps(fp, rep)`` that connect all pairs within ``radius`` bits."""
-    return in_cells(reps, radius, chunk).mapInArrow(_compare(radius, ["fp"], radius), "a long, b long")
+    return in_cells(reps, radius, chunk, parts).mapInArrow(_compare(radius, ["fp"], radius), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -304,17 +335,30 @@ def least_shingles(hashes: np.ndarray) -> np.ndarray:
     return np.array([(hashes * k).min() for k in _ORDERS] if len(hashes) else [], np.uint64)
 
 
-def set_fingerprints(docs: DataFrame, words: int = SET_WORDS) -> DataFrame:
-    """``(doc_id, content, n, fp, fp2, least)``: hash and size of each row's shingle set, its 128-bit fingerprint and its least shingles."""
+def shorter_contents(hashes: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """``content_of`` each subset of one shingle less, for sets of ``FEW_SHINGLES`` at most where it is similar enough.
+
+    At similarity 0.8 sets of which the smaller has under 8 shingles are similar if and
+    only if they are equal or the smaller is such a subset of the other.
+    """
+    n = len(hashes)
+    if not 1 < n <= FEW_SHINGLES or (n - 1) / n < similarity - 1e-12:
+        return []
+    return [content_of(np.delete(hashes, k)) for k in range(n)]
+
+
+def set_fingerprints(docs: DataFrame, words: int = SET_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, content, n, fp, fp2, least, shorter)``: hash and size of each row's shingle set, its 128-bit fingerprint, its least shingles and the hashes of its subsets."""
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
         bits = [majority_bits(sets), majority_bits([_mixed(s) for s in sets])]
         made = [pa.array([content_of(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), *[pa.array(b.view(np.int64)) for b in bits]]
         least = pa.array([least_shingles(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), *made, least], names=["doc_id", "content", "n", "fp", "fp2", "least"])
+        shorter = pa.array([shorter_contents(s, similarity) for s in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), *made, least, shorter], names=["doc_id", "content", "n", "fp", "fp2", "least", "shorter"])
 
-    return map_rows(docs, "doc_id long, content long, n long, fp long, fp2 long, least array<long>", per_batch, text=1)
+    return map_rows(docs, "doc_id long, content long, n long, fp long, fp2 long, least array<long>, shorter array<long>", per_batch, text=1)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -345,6 +389,18 @@ def set_candidates(reps: DataFrame, radius: int = SET_RADIUS, chunk: int | None
     return sets_in_cells(reps, chunk).mapInArrow(_compare(radius, ["fp", "fp2"], SET_FIRST), "a long, b long")
 
 
+def subset_links(reps: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` from each of ``reps(content, rep, shorter)`` to the sets that ``shorter`` names.
+
+    A set that many others hold is a hub, which is broadcast.
+    """
+    named = reps.where(F.size("shorter") > 0).select(F.explode("shorter").alias("u"), F.col("rep").alias("v"), F.lit(False).alias("own"))
+    rows = named.union(reps.where(F.col("n") < FEW_SHINGLES).select("content", "rep", F.lit(True)))
+    many = max(MANY_NEIGHBOURS, rows.count() // MOST_HUBS)
+    linked = with_least(rows, F.min(F.when(F.col("own"), F.col("v"))), many)
+    return linked.where("m is not null and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+
+
 def _similar(similarity: float, radius: int):
     """Edges between the members of a group whose whole sets are similar enough; a spanning set."""
 
@@ -400,19 +456,19 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SE
     shingle and blank texts are equal. Sets of ``similarity`` or more link, and
     ``component_id`` is the smallest ``doc_id`` reachable. Fingerprints of 128 bits
     propose groups: a pair at similarity 0.8 lies within ``SET_RADIUS`` bits with
-    probability 0.98 and in a common cell with 0.9999, nearer ones almost surely. Sets of
-    few shingles have coarser fingerprints: 4 of 5 are proposed with probability 0.84,
-    5 of 6 with 0.97, from ten on with 0.98 and more. In a
+    probability 0.99 (0.986 for 12 shingles of 15) and in a common cell with 0.9999, nearer ones almost surely. Sets of
+    few shingles have coarser fingerprints, so where the smaller has under
+    ``FEW_SHINGLES`` all pairs at 0.8 or more are found by the hashes of subsets. In a
     proposed group whole sets decide; members already known to be linked aren't
     compared again, and groups of more than ``most_hashes`` shingles, or a 64th of all
     groups' shingles, are cut to pieces, each pair of which is a task.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    signed = checkpointed(set_fingerprints(docs, words))
-    first = F.first(F.struct("n", "fp", "fp2", "least")).alias("x")
+    signed = checkpointed(set_fingerprints(docs, words, similarity))
+    first = F.first(F.struct("n", "fp", "fp2", "least", "shorter")).alias("x")
     reps = checkpointed(signed.groupBy("content").agg(F.min("doc_id").alias("rep"), first).select("content", "rep", "x.*"))
     proposed = connected_components(set_candidates(reps)).select(F.col("vertex").alias("rep"), F.col("component").alias("group"))
-    members = checkpointed(reps.drop("least").join(proposed, "rep"))
+    members = checkpointed(reps.drop("least", "shorter").join(proposed, "rep"))
     texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = _sets(texts, words).dropDuplicates(["own_content"])
     total = members.agg(F.sum("n")).first()[0] or 0
@@ -423,7 +479,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SE
     links = checkpointed(_met(rows).mapInArrow(_similar(similarity, SET_RADIUS), "a long, b long"))
     # A repeated doc_id may have several sets, which its id holds together.
     own = signed.join(reps.select("content", "rep"), "content").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    components = connected_components(links.union(own))
+    components = connected_components(links.union(subset_links(reps)).union(own))
     return signed.select("doc_id").distinct().join(components, F.col("doc_id") == F.col("vertex"), "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -96,12 +96,13 @@ def random_reps(seed, n=1500):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("chunk", [1 << 16, 7])
-def test_tiles_lose_no_link(spark, chunk):
+@pytest.mark.parametrize("chunk, parts", [(1 << 16, None), (7, None), (1 << 16, 6), (7, 7)])
+def test_tiles_lose_no_link(spark, monkeypatch, chunk, parts):
+    monkeypatch.setattr(simhash, "CELL", 16)
     values = random_reps(chunk)
     signed = [(v - 2**64 if v >= 2**63 else v, i) for i, v in enumerate(values)]
     reps = spark.createDataFrame(signed, "fp bigint, rep bigint").repartition(3)
-    got = {r["vertex"]: r["component"] for r in connected_components(simhash.near_links(reps, 4, chunk)).collect()}
+    got = {r["vertex"]: r["component"] for r in connected_components(simhash.near_links(reps, 4, chunk, parts)).collect()}
     want = plain_groups(dict(enumerate(values)), 4)
     assert {i: got.get(i, i) for i in want} == want
 
@@ -120,6 +121,20 @@ def test_copies_of_a_fingerprint_do_not_grow_with_the_corpus(spark, monkeypatch,
     assert cells >= 5 * slots
 
 
+def test_cells_keep_their_size():
+    """On average from a million fingerprints to a million times as many, at a bounded number of copies."""
+    sizes = {n: simhash.layout(n) for n in (10**k for k in range(6, 13))}
+    assert all(n / slots <= simhash.FULL_CELL for n, (_, slots) in sizes.items())
+    assert [parts for parts, _ in sizes.values()] == [5, 5, 5, 6, 6, 7, 7]
+
+
+def test_cells_of_more_parts(spark):
+    """A fingerprint is in a cell for each choice of parts."""
+    reps = spark.createDataFrame([(int(v), i) for i, v in enumerate(np.random.default_rng(9).integers(-(2**63), 2**63, 500))], "fp bigint, rep bigint")
+    for parts, copies in ((5, 5), (6, 15), (7, 35)):
+        assert simhash.in_cells(reps, 4, parts=parts).count() == copies * 500
+
+
 def test_tiles_compare_what_their_counts_allow():
     rnd = np.random.default_rng(3)
     fp = rnd.integers(0, 2**64, (3000, 2), np.uint64)

@@ -83,6 +83,43 @@ def test_pairs_at_the_similarity_are_proposed(spark):
     assert len(want) > 200 and got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_few_shingles_against_all_pairs(spark):
+    """Texts of one to ten shingles and those with a word more or less at an end: none is missed."""
+    rnd = random.Random(12)
+    rows = []
+    for _ in range(400):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(5, 15))]
+        rows += [" ".join(w) for w in (words, words[1:], [*words, "more"], words[:-1]) if rnd.random() < 0.8]
+    rows = list(enumerate(rows))
+    want = plain_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(i != c for i, c in want.items()) > 400 and got == want
+
+
+def test_subset_links_with_a_hub(spark, monkeypatch):
+    """A set that many others hold, with and without broadcast; sets that only share a missing subset aren't linked."""
+    content = lambda *x: simhash.content_of(np.array(x, np.uint64))
+    sets = [(7, 8, 9, 10), *[(7, 8, 9, 10, 11 + k) for k in range(40)], (1, 2, 3, 4, 50), (1, 2, 3, 4, 60), (20, 21, 22), (20, 21, 22, 23)]
+    rows = [(content(*s), i, len(s), simhash.shorter_contents(np.array(s, np.uint64))) for i, s in enumerate(sets)]
+    reps = spark.createDataFrame(rows, "content bigint, rep bigint, n bigint, shorter array<bigint>")
+    for many in (2, 1000):
+        monkeypatch.setattr(simhash, "MANY_NEIGHBOURS", many)
+        assert sorted(map(tuple, simhash.subset_links(reps).collect())) == [(k, 0) for k in range(1, 41)]
+
+
+@pytest.mark.parametrize("common, one, two", [(8, 1, 0), (8, 1, 1), (12, 2, 1), (20, 3, 2), (400, 50, 50)])
+def test_share_of_pairs_that_fingerprints_propose(common, one, two):
+    """At similarity 0.8 to 0.89, where subsets don't decide."""
+    rnd = np.random.default_rng(common)
+    near = 0
+    for _ in range(1000):
+        sets = rnd.integers(0, 2**64, common + one + two, np.uint64)
+        pair = [sets[: common + one], np.r_[sets[:common], sets[common + one :]]]
+        first, second = (np.bitwise_count(np.bitwise_xor(*simhash.majority_bits(p))) for p in (pair, [simhash._mixed(x) for x in pair]))
+        near += first <= simhash.SET_FIRST and int(first) + int(second) <= simhash.SET_RADIUS
+    assert near >= 970
+
+
 def test_least_shingles_agree_as_often_as_sets_do():
     """In each order by itself, as a share of many pairs of a known similarity."""
     rnd = np.random.default_rng(4)
