@@ -41,8 +41,14 @@ class Pieces:
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         total = math.log(sum(1 / r for r in range(1, len(plain) + 1)))
         self.score = {model.id_to_piece(i): -math.log(r) - total for r, i in enumerate(plain, 1)}
-        self.suffixes = {p[k:] for p in self.score for k in range(len(p))}
         self.byte = min(self.score.values()) - 10
+        #: The pieces read backwards: ``(nodes below by character, score or None)``.
+        self.backwards: list = [{}, None]
+        for piece, score in self.score.items():
+            node = self.backwards
+            for c in reversed(piece):
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = score
 
 
 class Trie:
@@ -63,22 +69,23 @@ class Trie:
 
         Equal scores take fewer pieces.
         """
-        known, suffixes = self.pieces.score, self.pieces.suffixes
-        last = word[end - 1]
-        before = path[end - 1]
-        size = len(last.encode("utf-8", "surrogatepass"))
-        best = (before[0] + size * self.pieces.byte, before[1] - size)
         start = end - 1
-        piece = last
-        while piece in suffixes:
-            if piece in known:
-                before = path[start]
-                best = max(best, (before[0] + known[piece], before[1] - 1))
+        last = word[start]
+        score, pieces = path[start]
+        size = 1 if last < "\x80" else len(last.encode("utf-8", "surrogatepass"))
+        score += size * self.pieces.byte
+        pieces -= size
+        node = self.pieces.backwards[0].get(last)
+        while node:
+            below, value = node
+            if value is not None:
+                before, fewer = path[start]
+                before += value
+                if before > score or (before == score and fewer - 1 > pieces):
+                    score, pieces = before, fewer - 1
             start -= 1
-            if start < 0:
-                break
-            piece = word[start:end]
-        return best
+            node = below.get(word[start]) if start >= 0 else None
+        return score, pieces
 
     def count(self, word: str) -> int:
         """Pieces of the best path through ``word``."""
