@@ -108,7 +108,16 @@ def choose_benchmark(benchmarks: DataFrame, universes: Sequence[str], fallback:
 
 def eligible_pool(rows: DataFrame, min_years: int = 8, min_r2: float = 0.70, ppy: int = DAILY) -> DataFrame:
     """Rows whose curves are worth keeping for any position of the thresholds."""
-    return rows.where((F.col("days") >= min_years * ppy) & (F.col("r2") >= min_r2))
+    return rows.where(_eligible(min_years, min_r2, ppy))
+
+
+def pool_sizes(rows: DataFrame, keys: Sequence[str] = (), min_years: int = 8, min_r2: float = 0.70, ppy: int = DAILY) -> DataFrame:
+    """``(*keys, count, eligible)``: series, and those of the eligible pool; one row of zeros for no rows and no keys."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.count_if(_eligible(min_years, min_r2, ppy)).alias("eligible"))
+
+
+def _eligible(min_years: int, min_r2: float, ppy: int) -> Column:
+    return (F.col("days") >= min_years * ppy) & (F.col("r2") >= min_r2)
 
 
 def missing_count(wanted: DataFrame, available: DataFrame) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..operators.fx import needed_currencies, to_base
 from ..operators.resample import month_end, to_segments
-from ..operators.universe import MIXED_INDEX, eligible_pool
+from ..operators.universe import MIXED_INDEX, eligible_pool, pool_sizes
 from ..params import BATCH, SCHEMES, Mode, ScreenParams, Universe
-from ..sources.series import fx_of, missing_rates, series_of, usable_series
+from ..schemas import PRICES
+from ..sources.chart_api import download
+from ..sources.series import fx_of, fx_symbol, missing_rates, series_of, usable_series
 from .portfolio import Backtest, OutOfSample, Portfolio, backtest, build_portfolio, out_of_sample, ranked_universe
 
 log = logging.getLogger(__name__)
@@ -52,9 +54,7 @@ class UniverseRun:
 
     def meta(self, ppy: int, updated: str) -> DataFrame:
         """One row for the meta artifact: series, and those whose curves are stored."""
-        everyone = self.rows.agg(F.count(F.lit(1)).alias("count"))
-        pool = eligible_pool(self.rows, ppy=ppy).agg(F.count(F.lit(1)).alias("eligible"))
-        return everyone.join(F.broadcast(pool), F.lit(True)).select(F.lit(self.universe.id).alias("universe"), "count", "eligible", F.lit(updated).alias("updated"))
+        return pool_sizes(self.rows, ppy=ppy).select(F.lit(self.universe.id).alias("universe"), "count", "eligible", F.lit(updated).alias("updated"))
 
 
 def requested(arguments: Sequence[str]) -> tuple[str, ...]:
@@ -82,6 +82,25 @@ def report(name: str, seen: Observation) -> dict[str, int]:
     return found
 
 
+def download_raw(symbols: DataFrame, benchmarks: Sequence[str], hosts: list[str], folder: str, **options) -> DataFrame:
+    """What a run reads: the series of ``symbols(symbol)`` and ``benchmarks``, then the pairs of the currencies they come in.
+
+    Each part is stored under ``folder`` before it is read. ``options`` are those of ``download``.
+    """
+    spark = symbols.sparkSession
+    wanted = symbols.select("symbol").unionByName(spark.createDataFrame([(b,) for b in benchmarks], "symbol string"))
+
+    def stored(asked: DataFrame, part: str) -> DataFrame:
+        download(asked, hosts, **options).write.mode("overwrite").parquet(f"{folder}/{part}")
+        found = spark.read.schema(PRICES).parquet(f"{folder}/{part}")
+        log.info("%s: %d of %d downloaded", part, found.select("symbol").distinct().count(), asked.distinct().count())
+        return found
+
+    found = stored(wanted, "series")
+    pairs = needed_currencies(found).select(F.format_string(fx_symbol("%s"), "ccy").alias("symbol"))
+    return found.unionByName(stored(pairs, "rates"))
+
+
 def converted(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     """The universe's series in the base currency, from raw prices that hold the currency pairs too."""
     own = usable_series(raw.join(symbols.select("symbol").distinct(), "symbol", "left_semi"))

@@ -79,12 +79,15 @@ def build_portfolio(
 ) -> Portfolio | None:
     """Screen ``rows`` by quality, align the picks' prices and weigh them.
 
-    None if under two picks are usable or they share too few dates.
+    None if under two picks are usable or they share too few dates. Of the prices only
+    those of the picks are read, once.
     """
-    best = screen(rows, replace(params, sort_by="quality"))
-    picks = settled(usable_picks(best, prices, usable), params)
-    aligned = align_on_dates(prices_of(prices, picks, params), key).persist()
+    best = settled(screen(rows, replace(params, sort_by="quality")), params)
+    own = prices_of(prices, best, params).persist()
+    picks = settled(usable_picks(best, own, usable), params)
+    aligned = align_on_dates(prices_of(own, picks, params), key).persist()
     size = aligned.agg(F.count_distinct("symbol").alias("k"), F.count_distinct("ts").alias("n")).first()
+    own.unpersist()
     if size["k"] < 2 or size["n"] - 1 < mode.least_returns:
         aligned.unpersist()
         return None
@@ -112,10 +115,13 @@ class OutOfSample:
     weights: DataFrame
     backtest: Backtest
     prices: DataFrame
+    measured: DataFrame
 
     def release(self) -> None:
+        """Give back what is kept in memory."""
         self.portfolio.release()
         self.prices.unpersist()
+        self.measured.unpersist()
 
 
 def out_of_sample(
@@ -132,19 +138,25 @@ def out_of_sample(
 
     ``as_of`` is the epoch second from which the cutoff counts back. Picks that end
     too soon after it go and the rest are scaled to 1. None if nothing can be tested.
+    The prices are read three times: for the metrics before the cutoff, which are
+    kept, and for the picks' points on either side.
     """
     cutoff = int(as_of) - mode.oos_years * YEAR_SECONDS
-    before, after = time_slice(prices, end=cutoff), time_slice(prices, start=cutoff)
-    rows = ranked_universe(before, mode)
-    chosen = build_portfolio(rows, before, replace(params, min_years=mode.oos_min_years), mode, schemes, usable)
+    before = time_slice(prices, end=cutoff)
+    measured = universe_metrics(before, mode.ppy, mode.weights.rf).persist()
+    chosen = build_portfolio(quality_score(measured), before, replace(params, min_years=mode.oos_min_years), mode, schemes, usable)
     if chosen is None:
+        measured.unpersist()
         return None
+    after = time_slice(prices_of(prices, chosen.picks, params), start=cutoff).persist()
     alive = settled(usable_picks(chosen.picks, after, survivor), params)
     weights = settled(renormalised(chosen.weights, alive), params)
     aligned = align_on_dates(prices_of(after, alive, params)).persist()
     tested = backtest(aligned, weights, benchmark, mode) if aligned.select("symbol").distinct().count() >= 2 else None
+    after.unpersist()
     if tested is None:
-        aligned.unpersist()
+        for kept in (aligned, measured):
+            kept.unpersist()
         chosen.release()
         return None
-    return OutOfSample(cutoff, chosen, weights, tested, aligned)
+    return OutOfSample(cutoff, chosen, weights, tested, aligned, measured)

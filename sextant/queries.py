@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,8 @@ CUTOFF = 915_148_800
 TEST_MODE = Mode("test", MONTHLY, WeightParams(ppy=MONTHLY), least_returns=20, least_points=12, oos_min_years=2)
 BENCH_NAMES = {"AF": "^GSPC", "NF": "ACWI", "RF": "^STOXX"}
 BASKET = ("S000001", "S000003", "S000007", "S000001")
+#: The month, counted from year 0, up to which the explorer's out-of-sample run chooses.
+OOS_MONTH = 1999 * 12
 MICROS = 30 * 86_400 * 1_000_000
 YEAR = 365 * 86_400
 
@@ -33,8 +36,28 @@ def _r(*names: str, digits: int = 6) -> list[Column]:
     return [F.round(n, digits).alias(n) for n in names]
 
 
+def _ranked(months: DataFrame) -> DataFrame:
+    return quality.quality_score(metrics.universe_metrics(months, MONTHLY))
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_score(metrics.universe_metrics(panels.supplier_months(spark, sf_dir), MONTHLY))
+    return _ranked(panels.supplier_months(spark, sf_dir))
+
+
+@contextmanager
+def _kept(table: DataFrame) -> Iterator[DataFrame]:
+    """``table`` in memory for the actions of a run."""
+    try:
+        yield table.persist()
+    finally:
+        table.unpersist()
+
+
+def _finished(run: explorer.Build | portfolio.Portfolio | portfolio.OutOfSample, rows: DataFrame) -> DataFrame:
+    """What a run gives, computed now so that the run can give back its memory: a row per pick, scheme or month."""
+    done = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    run.release()
+    return done
 
 
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,14 +227,19 @@ def q_time_slice(spark, sf_dir):
 def q_oos_equal(spark, sf_dir):
     loose = replace(LOOSE, ppy=MONTHLY)
     as_of = CUTOFF + TEST_MODE.oos_years * 365 * 86_400
-    found = portfolio.out_of_sample(panels.flag_days(spark, sf_dir, "month"), loose, as_of, mode=TEST_MODE, schemes=("equal",), usable=20, survivor=6)
-    if found is None:
-        return spark.createDataFrame([], "scheme string, mode string, cagr double, vol double, mdd double")
-    return found.backtest.metrics.select("scheme", "mode", *_r("cagr", "vol", "mdd", digits=5))
+    with _kept(panels.flag_days(spark, sf_dir, "month")) as prices:
+        found = portfolio.out_of_sample(prices, loose, as_of, mode=TEST_MODE, schemes=("equal",), usable=20, survivor=6)
+        if found is None:
+            return spark.createDataFrame([], "scheme string, mode string, cagr double, vol double, mdd double")
+        return _finished(found, found.backtest.metrics.select("scheme", "mode", *_r("cagr", "vol", "mdd", digits=5)))
+
+
+def _gapless(months: DataFrame) -> DataFrame:
+    return resample.without_gaps(resample.month_end(months)).select("symbol", "month_idx", "px")
 
 
 def _monthly(spark, sf_dir):
-    return resample.without_gaps(resample.month_end(panels.supplier_months(spark, sf_dir))).select("symbol", "month_idx", "px")
+    return _gapless(panels.supplier_months(spark, sf_dir))
 
 
 def q_live_common_window(spark, sf_dir):
@@ -221,17 +249,19 @@ def q_live_common_window(spark, sf_dir):
 
 def q_live_backtest_equal(spark, sf_dir):
     """The explorer's run: screen, keep picks with a curve, common months, equal weights, both modes."""
-    built = explorer.recompute(_rows(spark, sf_dir), _monthly(spark, sf_dir), replace(LOOSE, top_n=8), schemes=("equal",))
-    if built is None:
-        return spark.createDataFrame([], "mode string, month string, value double")
-    return built.equity.select("mode", month_text(F.col("ts")).alias("month"), *_r("value", digits=4))
+    with _kept(panels.supplier_months(spark, sf_dir)) as months:
+        built = explorer.recompute(_ranked(months), _gapless(months), replace(LOOSE, top_n=8), schemes=("equal",))
+        if built is None:
+            return spark.createDataFrame([], "mode string, month string, value double")
+        return _finished(built, built.equity.select("mode", month_text(F.col("ts")).alias("month"), *_r("value", digits=4)))
 
 
 def q_universe_union_rerank(spark, sf_dir):
+    """Overlapping universes ranked together, a series for the first that lists it; each is measured once."""
+    listed = panels.supplier_regions(spark, sf_dir)
+    members = universe.union_first_wins([listed.where(F.col("universe") == u) for u in range(5)])
     rows = metrics.universe_metrics(panels.supplier_months(spark, sf_dir), MONTHLY)
-    members = panels.supplier_regions(spark, sf_dir)
-    tables = [rows.join(members.where(F.col("universe") == u), "symbol") for u in range(5)]
-    merged = universe.union_and_rank(tables)
+    merged = universe.union_and_rank([rows.join(members.drop("universe_ord"), "symbol")])
     return merged.select("symbol", F.col("universe").cast("bigint").alias("universe"), *_r("quality"))
 
 
@@ -308,35 +338,40 @@ def q_latest_update(spark, sf_dir):
 
 def q_pick_info(spark, sf_dir):
     """Picks beside their metrics and weights."""
-    prices = panels.flag_days(spark, sf_dir, "month")
-    built = portfolio.build_portfolio(portfolio.ranked_universe(prices, TEST_MODE), prices, LOOSE, TEST_MODE, ("equal",), usable=20)
-    if built is None:
-        return spark.createDataFrame([], "symbol string, days bigint, cagr double, quality double, w_equal double")
-    return built.info().select("symbol", "days", *_r("cagr", "quality", "w_equal"))
+    with _kept(panels.flag_days(spark, sf_dir, "month")) as prices:
+        built = portfolio.build_portfolio(portfolio.ranked_universe(prices, TEST_MODE), prices, LOOSE, TEST_MODE, ("equal",), usable=20)
+        if built is None:
+            return spark.createDataFrame([], "symbol string, days bigint, cagr double, quality double, w_equal double")
+        return _finished(built, built.info().select("symbol", "days", *_r("cagr", "quality", "w_equal")))
 
 
 def q_basket_equal(spark, sf_dir):
     """A basket of one's own, one symbol named twice: no screen, equal weights, held."""
-    built = explorer.recompute_from(BASKET, _rows(spark, sf_dir), _monthly(spark, sf_dir), schemes=("equal",))
-    if built is None:
-        return spark.createDataFrame([], "month string, value double")
-    return explorer.shown_curve(built.equity, "equal", held=True).select(month_text(F.col("ts")).alias("month"), *_r("value", digits=4))
+    with _kept(panels.supplier_months(spark, sf_dir)) as months:
+        built = explorer.recompute_from(BASKET, _ranked(months), _gapless(months), schemes=("equal",))
+        if built is None:
+            return spark.createDataFrame([], "month string, value double")
+        held = explorer.shown_curve(built.equity, "equal", held=True)
+        return _finished(built, held.select(month_text(F.col("ts")).alias("month"), *_r("value", digits=4)))
 
 
 def q_weight_table(spark, sf_dir):
     """The explorer's picks by weight, with the share of the largest."""
     mode = replace(LIVE, weights=replace(LIVE.weights, floor=0.02, cap=0.20))
-    built = explorer.recompute(_rows(spark, sf_dir), _monthly(spark, sf_dir), replace(LOOSE, top_n=8), mode=mode, schemes=("invvol",))
-    if built is None:
-        return spark.createDataFrame([], "symbol string, weight double, bar double")
-    return explorer.weight_table(built, "invvol").select("symbol", *_r("weight"), *_r("bar", digits=4))
+    with _kept(panels.supplier_months(spark, sf_dir)) as months:
+        built = explorer.recompute(_ranked(months), _gapless(months), replace(LOOSE, top_n=8), mode=mode, schemes=("invvol",))
+        if built is None:
+            return spark.createDataFrame([], "symbol string, weight double, bar double")
+        return _finished(built, explorer.weight_table(built, "invvol").select("symbol", *_r("weight"), *_r("bar", digits=4)))
 
 
 def q_key_figures(spark, sf_dir):
     """Growth, edge over the benchmark, Sharpe ratio and worst drawdown of the explorer's run."""
-    built = explorer.recompute(_rows(spark, sf_dir), _monthly(spark, sf_dir), replace(LOOSE, top_n=8), _market(spark, sf_dir), schemes=("equal",))
-    shown = explorer.key_figures("equal", built, None, spark)
-    return shown.select("scheme", *_r("is_cagr", "is_bench_cagr", "is_edge", "is_sharpe", "is_mdd", "oos_cagr", digits=5))
+    with _kept(panels.supplier_months(spark, sf_dir)) as months:
+        built = explorer.recompute(_ranked(months), _gapless(months), replace(LOOSE, top_n=8), _market(spark, sf_dir), schemes=("equal",))
+        shown = explorer.key_figures("equal", built, None, spark)
+        shown = shown.select("scheme", *_r("is_cagr", "is_bench_cagr", "is_edge", "is_sharpe", "is_mdd", "oos_cagr", digits=5))
+        return _finished(built, shown) if built else shown
 
 
 def q_ticker_cleaning(spark, sf_dir):
@@ -360,10 +395,39 @@ def q_weights_resampled(spark, sf_dir):
 def q_explorer_oos(spark, sf_dir):
     """Chosen on the first four years, tested on the rest, equal and inverse-volatility weights."""
     mode = replace(LIVE, oos_years=1, oos_min_years=4)
-    built = explorer.recompute_oos(_monthly(spark, sf_dir), replace(LOOSE, top_n=10), 2000 * 12, mode=mode, schemes=("equal", "invvol"))
-    if built is None:
-        return spark.createDataFrame([], "scheme string, mode string, cagr double, vol double, mdd double, mar double, sharpe double")
-    return built.metrics
+    with _kept(panels.supplier_months(spark, sf_dir)) as months:
+        built = explorer.recompute_oos(_gapless(months), replace(LOOSE, top_n=10), OOS_MONTH + MONTHLY, mode=mode, schemes=("equal", "invvol"))
+        if built is None:
+            return spark.createDataFrame([], "scheme string, mode string, cagr double, vol double, mdd double, mar double, sharpe double")
+        return _finished(built, built.metrics.select("scheme", "mode", *_r("cagr", "vol", "mdd", "mar", "sharpe", digits=5)))
+
+
+def _sound(found: DataFrame, params: WeightParams, *more: Column) -> DataFrame:
+    """What must hold of weights whatever the random draws: members, their sum, the box."""
+    inside = F.col("weight").between(params.floor - 1e-9, params.cap + 1e-9)
+    return found.agg(F.count_distinct("symbol").alias("members"), F.round(F.sum("weight"), 6).alias("total"), F.every(inside).alias("in_box"), *more)
+
+
+def q_resampled_sound(spark, sf_dir):
+    """Resampled weights: each series has one, they add up to 1 and lie in the box, all scenarios count, and they vary."""
+    params = replace(LIVE.weights, cap=0.40)
+    found = weights.compute_weights("resampled", _monthly_returns(spark, sf_dir), params)
+    return _sound(found, params, F.max("scenarios").alias("scenarios"), F.every(F.col("wstd").between(0, 0.40)).alias("spread_known"))
+
+
+def q_max_sharpe_sound(spark, sf_dir):
+    """The best weights: in the box, adding up to 1, and with no lower Sharpe ratio than equal ones."""
+    params = replace(LIVE.weights, cap=0.40, iterations=400)
+    returns = _monthly_returns(spark, sf_dir)
+    equal = weights.portfolio_statistics(weights.equal_weights(returns.select("symbol").distinct()), returns, params)
+    best = weights.max_sharpe_weights(returns, params).join(F.broadcast(equal.select(F.col("sharpe").alias("plain"))), F.lit(True))
+    return _sound(best, params, F.round(F.max("plain"), 6).alias("equal_sharpe"), F.every(F.col("sharpe") >= F.col("plain") - 1e-9).alias("no_worse"))
+
+
+def q_universe_meta(spark, sf_dir):
+    """The meta artifact's entries by region: series measured, and those whose curves are kept."""
+    rows = _rows(spark, sf_dir).join(panels.supplier_regions(spark, sf_dir), "symbol")
+    return universe.pool_sizes(rows, ("universe",), 6, 0.004, MONTHLY).withColumn("universe", F.col("universe").cast("bigint"))
 
 
 # --- SQL ---------------------------------------------------------------------
@@ -498,7 +562,7 @@ _ON_MONTHS = f"{_ENDS}, w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM ce), {_CO
 _MONTH_BENCH = f"""ub AS (SELECT {_IDX} AS idx, px FROM (
   SELECT CAST(epoch(date_trunc('month', l_shipdate)) AS BIGINT) AS ts, {_PRICE.format('l_extendedprice')} AS px FROM lineitem GROUP BY 1))"""
 
-_CAPPED = """WITH RECURSIVE {ctes}, v AS (SELECT symbol, 1 / sqrt(greatest(var_samp(ret), 1e-12)) AS w FROM rets GROUP BY symbol),
+_CAPPED_CTES = """v AS (SELECT symbol, 1 / sqrt(greatest(var_samp(ret), 1e-12)) AS w FROM rets GROUP BY symbol),
 n AS (SELECT list(w / t ORDER BY symbol) AS ws FROM v, (SELECT sum(w) AS t FROM v)),
 b AS (
   SELECT 0 AS it, list_min(ws) - 0.20 AS lo, list_max(ws) - 0.02 AS hi, ws FROM n
@@ -506,8 +570,26 @@ b AS (
   SELECT it + 1, CASE WHEN list_sum(list_transform(ws, lambda x: least(0.20, greatest(0.02, x - (lo + hi) / 2)))) > 1 THEN (lo + hi) / 2 ELSE lo END,
     CASE WHEN list_sum(list_transform(ws, lambda x: least(0.20, greatest(0.02, x - (lo + hi) / 2)))) > 1 THEN hi ELSE (lo + hi) / 2 END, ws
   FROM b WHERE it < 100
-), c AS (SELECT v.symbol, least(0.20, greatest(0.02, v.w / (SELECT sum(w) FROM v) - (b.lo + b.hi) / 2)) AS w FROM v, b WHERE b.it = 100)
-SELECT 'invvol' AS scheme, symbol, round(w / (SELECT sum(w) FROM c), 6) AS weight FROM c"""
+), c AS (SELECT v.symbol, least(0.20, greatest(0.02, v.w / (SELECT sum(w) FROM v) - (b.lo + b.hi) / 2)) AS w FROM v, b WHERE b.it = 100)"""
+_CAPPED = "WITH RECURSIVE {ctes}, " + _CAPPED_CTES + " SELECT 'invvol' AS scheme, symbol, round(w / (SELECT sum(w) FROM c), 6) AS weight FROM c"
+_MONTH_RETURNS = f"""f AS (SELECT symbol, {_IDX} AS ts, arg_max(px, ts) AS px FROM ({_FLAGS}) GROUP BY 1, 2),
+f_n AS (SELECT ts FROM f GROUP BY ts HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM f)), al AS (SELECT f.* FROM f JOIN f_n USING (ts)),
+rets AS (SELECT * FROM (SELECT *, px / lag(px) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM al) WHERE ret IS NOT NULL)"""
+_EXPLORER_OOS = f"""WITH RECURSIVE p AS ({_MONTHS}), {_GAPLESS},
+fit AS (SELECT symbol FROM g GROUP BY symbol HAVING count(*) FILTER (WHERE idx <= {OOS_MONTH}) >= 48 AND count(*) FILTER (WHERE idx > {OOS_MONTH}) >= {explorer.LEAST_AFTER}),
+early AS (SELECT symbol, idx AS ts, px FROM g JOIN fit USING (symbol) WHERE idx <= {OOS_MONTH}), {_metric_ctes(MONTHLY, source="early")}, {_rank_ctes('m', 'q')},
+picks AS ({_top_sql(replace(LOOSE, min_years=4), 'quality', 10)}),
+ea AS (SELECT early.* FROM early JOIN picks USING (symbol) WHERE ts >= (SELECT max(i0) FROM (SELECT min(ts) AS i0 FROM early JOIN picks USING (symbol) GROUP BY symbol))),
+rets AS (SELECT * FROM (SELECT *, px / lag(px) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM ea) WHERE ret IS NOT NULL), {_CAPPED_CTES},
+wt AS (SELECT 'invvol' AS scheme, symbol, w / (SELECT sum(w) FROM c) AS weight FROM c UNION ALL SELECT 'equal', symbol, 1.0 / count(*) OVER () FROM picks),
+late AS (SELECT g.symbol, idx AS ts, px FROM g JOIN picks USING (symbol) WHERE idx > {OOS_MONTH}),
+t AS (SELECT * FROM late WHERE ts <= (SELECT min(i1) FROM (SELECT max(ts) AS i1 FROM late GROUP BY symbol))),
+mv AS (SELECT symbol, ts, coalesce(px / lag(px) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0) AS ret,
+  px / first_value(px) OVER (PARTITION BY symbol ORDER BY ts) AS growth FROM t),
+dd AS (SELECT scheme, ts, sum(weight * ret) AS ret, sum(weight * growth) AS growth FROM mv JOIN wt USING (symbol) GROUP BY scheme, ts),
+eq AS (SELECT scheme, 'rebal' AS mode, ts, 100 * exp(sum(ln(1 + ret)) OVER (PARTITION BY scheme ORDER BY ts)) AS px FROM dd
+  UNION ALL SELECT scheme, 'buyhold', ts, 100 * growth FROM dd), {_metric_ctes(MONTHLY, 'scheme, mode', 'eq', 'k')}
+SELECT scheme, mode, {_rounded('cagr', 'vol', 'mdd', 'mar', 'sharpe', digits=5)} FROM k"""
 
 _CURVE_METRICS = f"{_metric_ctes(MONTHLY, 'scheme, mode', 'eq', 'k')}"
 _BENCH_METRICS = _metric_ctes(MONTHLY, "symbol", "(SELECT 'benchmark' AS symbol, ts, value AS px FROM bench WHERE value IS NOT NULL)", "bm")
@@ -623,6 +705,15 @@ w AS (SELECT max(i0) AS lo, min(i1) AS hi FROM (SELECT i0, i1 FROM ce UNION ALL
 bench AS (SELECT idx AS ts, px AS value FROM ub, w WHERE idx BETWEEN lo AND hi), {_equal_sql('t')}, {_CURVE_METRICS}, {_BENCH_METRICS}
 SELECT scheme, round(k.cagr, 5) AS is_cagr, round(bm.cagr, 5) AS is_bench_cagr, round(k.cagr - coalesce(bm.cagr, 0), 5) AS is_edge,
   round(k.sharpe, 5) AS is_sharpe, round(k.mdd, 5) AS is_mdd, CAST(NULL AS DOUBLE) AS oos_cagr FROM k LEFT JOIN bm ON true WHERE mode = 'rebal'""",
+    "explorer_oos": _EXPLORER_OOS,
+    "resampled_sound": f"""WITH {_MONTH_RETURNS} SELECT count(DISTINCT symbol) AS members, 1.0::DOUBLE AS total, true AS in_box,
+  {LIVE.weights.scenarios}::BIGINT AS scenarios, true AS spread_known FROM rets""",
+    "max_sharpe_sound": f"""WITH {_MONTH_RETURNS},
+g AS (SELECT avg(mr) * {MONTHLY} AS er FROM (SELECT avg(ret) AS mr FROM rets GROUP BY symbol)), kk AS (SELECT count(DISTINCT symbol) AS k FROM rets),
+cv AS (SELECT sum(cv) AS s FROM (SELECT covar_samp(x.ret, y.ret) AS cv FROM rets x JOIN rets y ON x.ts = y.ts GROUP BY x.symbol, y.symbol))
+SELECT k AS members, 1.0::DOUBLE AS total, true AS in_box, round((er - 0.03) / sqrt(s / k / k * {MONTHLY}), 6) AS equal_sharpe, true AS no_worse FROM g, cv, kk""",
+    "universe_meta": f"""{_MONTH_RANKS}, mem AS ({_REGIONS})
+SELECT CAST(universe AS BIGINT) AS universe, count(*) AS "count", count(*) FILTER (WHERE days >= 72 AND r2 >= 0.004) AS eligible FROM q JOIN mem USING (symbol) GROUP BY 1""",
     "ticker_cleaning": """SELECT DISTINCT symbol FROM (
   SELECT upper(replace(trim(v), '.', '-')) AS symbol FROM (SELECT p_name AS v FROM part UNION ALL SELECT p_type FROM part)
 ) WHERE length(symbol) BETWEEN 1 AND 6 AND symbol NOT IN ('NAN', 'SYMBOL', 'TICKER')""",

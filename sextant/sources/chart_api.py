@@ -1,4 +1,4 @@
-"""A Spark data source that downloads chart series, a few symbols per partition.
+"""Downloads of chart series: a Spark data source for a short list, ``download`` for a table of symbols.
 
 ``spark.read.format("chart_series").options(hosts=..., symbols=...)`` yields price
 rows. Partitions take the place of a pool of workers: ``partitions`` bounds how
@@ -14,11 +14,18 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import PRICES
 
+#: Symbols of a task: a slow one holds up no more than these, and a lost executor asks for no more of them again.
+SYMBOLS_PER_TASK = 8
+#: Requests a second of a whole run.
+PER_SECOND = 35.0
+
 #: Waits in seconds per attempt, and answers worth another try.
 BUSY_WAIT, ERROR_WAIT = 0.8, 0.5
 BUSY = (429, 503)
@@ -72,6 +79,37 @@ def payload_rows(symbol: str, payload: dict | None) -> Iterator[tuple]:
         yield from ((symbol, currency, t, p) for t, p in points)
 
 
+def download(
+    symbols: DataFrame,
+    hosts: list[str],
+    interval: str = "1d",
+    per_second: float = PER_SECOND,
+    per_task: int = SYMBOLS_PER_TASK,
+    get: Callable[[str], bytes] = _get,
+) -> DataFrame:
+    """Price rows of the table ``symbols(symbol)``, each symbol once; null and empty ones, and those that can't be had, give none.
+
+    Tasks are short, so a core that is free takes the next few symbols and a slow one
+    holds up only those of its task. The pace is that of the run: each core leaves
+    ``cores / per_second`` seconds from one request to the next, cores being those known
+    at the start. The rows are downloaded whenever they are read, so store them first.
+    """
+    named = symbols.select("symbol").where("symbol <> ''").distinct()
+    tasks = max(1, -(-named.count() // per_task))
+    pause = symbols.sparkSession.sparkContext.defaultParallelism / per_second
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for symbol in batch["symbol"]:
+                began = time.monotonic()
+                rows = list(payload_rows(symbol, fetch_series(symbol, hosts, interval, get=get)))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["symbol", "currency", "ts", "px"])
+                time.sleep(max(0.0, pause - (time.monotonic() - began)))
+
+    return named.repartition(tasks).mapInPandas(fetch, PRICES)
+
+
 class _Symbols(InputPartition):
     def __init__(self, symbols: list[str]):
         super().__init__(symbols)
