@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DAILY
@@ -70,9 +70,18 @@ def _orderable(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def union_curves(tables: Sequence[DataFrame]) -> DataFrame:
     """Monthly curves of several universes; a symbol's curve comes from the first that has it."""
     tagged = [t.withColumn("universe_ord", F.lit(i)) for i, t in enumerate(tables)]
-    both = reduce(lambda a, b: a.unionByName(b), tagged)
-    first = both.groupBy("symbol").agg(F.min("universe_ord").alias("universe_ord"))
-    return both.join(first, ["symbol", "universe_ord"], "left_semi").drop("universe_ord")
+    return first_curves(reduce(lambda a, b: a.unionByName(b), tagged)).drop("universe_ord")
+
+
+def first_curves(curves: DataFrame) -> DataFrame:
+    """The rows of ``curves(symbol, universe_ord, ...)`` whose universe is the first that has the symbol.
+
+    The rows are read once, and a task holds one series at a time. Universes that come
+    of one table are better tagged there than put together by ``union_curves``: Spark
+    runs equally dealt branches of a union in the same tasks, each with its own sorts.
+    """
+    first = F.min("universe_ord").over(Window.partitionBy("symbol"))
+    return curves.where("symbol is not null").withColumn("__first", first).where(F.col("universe_ord") == F.col("__first")).drop("__first")
 
 
 def union_and_rank(tables: Sequence[DataFrame], undefined_as_zero: bool = True) -> DataFrame:

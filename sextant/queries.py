@@ -287,10 +287,9 @@ def q_segment_round_trip(spark, sf_dir):
 
 def q_curve_union(spark, sf_dir):
     """Curves that differ by universe: a symbol's comes from the first that has it."""
-    members = panels.supplier_regions(spark, sf_dir)
-    monthly = _monthly(spark, sf_dir)
-    tables = [monthly.join(members.where(F.col("universe") == u), "symbol").select("symbol", "month_idx", (F.col("px") * (u + 1)).alias("px")) for u in range(5)]
-    return universe.union_curves(tables).select("symbol", month_text(F.col("month_idx")).alias("month"), *_r("px"))
+    members = panels.supplier_regions(spark, sf_dir).distinct()
+    curves = _monthly(spark, sf_dir).join(members, "symbol").select("symbol", "month_idx", (F.col("px") * (F.col("universe") + 1)).alias("px"), F.col("universe").alias("universe_ord"))
+    return universe.first_curves(curves).select("symbol", month_text(F.col("month_idx")).alias("month"), *_r("px"))
 
 
 def q_missing_count(spark, sf_dir):

@@ -6,9 +6,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sextant import queries
 from sextant.operators import fx, universe
 from sextant.operators.resample import from_segments, month_end, to_segments, without_gaps
 
+from .conftest import data
+
 
 @settings(max_examples=8, deadline=None)
 @given(
@@ -63,6 +66,28 @@ def test_union_takes_the_first(spark):
     assert universe.union_curves(curves).count() == 3
 
 
+def test_first_curves(spark):
+    """A symbol's rows are those of its first universe, also where that one has fewer months."""
+    rows = [("x", 2, 1), ("x", 2, 2), ("x", 1, 2), ("y", 3, 1), ("y", 3, 5), (None, 0, 1), ("z", None, 1)]
+    curves = spark.createDataFrame(rows, "symbol string, universe_ord int, month_idx int")
+    assert sorted(tuple(r) for r in universe.first_curves(curves).collect()) == [("x", 1, 2), ("y", 3, 1), ("y", 3, 5)]
+
+
+def test_curve_union_reads_prices_once_for_all_universes(spark):
+    """No branch per universe: branches of a union share tasks, and each brings its own sorts and joins."""
+    plan = queries.q_curve_union(spark, data("sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("lineitem.parquet") <= 2
+
+
+def test_curve_union_of_suppliers_listed_twice(spark, tmp_path):
+    for name in ("lineitem", "nation"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{data('sf0.001')}/{name}.parquet")
+    suppliers = spark.read.parquet(f"{data('sf0.001')}/supplier.parquet")
+    suppliers.union(suppliers).write.parquet(f"{tmp_path}/supplier.parquet")
+    once, twice = (sorted(map(tuple, queries.q_curve_union(spark, d).collect())) for d in (data("sf0.001"), str(tmp_path)))
+    assert once == twice and once
+
+
 def test_choices():
     assert universe.select_universes(["STOXX600", "SP500"]) == ("SP500", "STOXX600")
     with pytest.raises(ValueError):
