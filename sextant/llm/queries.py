@@ -14,7 +14,7 @@ from .html_text import extract_main_text
 from .line_dedup import DIGEST_SQL, line_digest
 from .packing import pack_documents
 from .pii import scan_personal_data
-from .quality_rules import fit_bands, score_documents
+from .quality_rules import score_fitted
 from .resharding import shard_digest
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
@@ -69,8 +69,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word measures and the verdict of the compression bands, fitted on labels, for all documents."""
-    docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, fit_bands(docs, table(spark, sf_dir, "labels")))
+    return score_fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,6 +333,58 @@ def test_bands_without_labels(spark):
     assert quality_rules.fit_bands(docs, told) == quality_rules.Bands()
 
 
+def test_bands_from_all_labels(spark):
+    """Each of 26,000 labelled good documents counts, as a plain fit over all of them has it."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    ids = spark.range(32_500).select(F.col("id").alias("doc_id")).where(~held)
+    # The one long document comes last by the hash of its id.
+    last = ids.orderBy(F.xxhash64("doc_id").desc()).first()["doc_id"]
+    words = F.when(F.col("doc_id") == last, 2000).otherwise(20 + F.col("doc_id") % 97).cast("int")
+    text = F.array_join(F.transform(F.sequence(F.lit(1), words), lambda i: F.substring(F.md5(F.concat_ws("-", "doc_id", i)), 1, 7)), " ")
+    docs = ids.select("doc_id", text.alias("text")).localCheckpoint()
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert ids.count() > 25_000
+    bands = quality_rules.fit_bands(docs, labels)
+    assert bands.sizes[-2] == 2 * (8 * 2000 - 1)
+    fit = quality_rules.Fit()
+    raws = [r["text"].encode() for r in docs.collect()]
+    pack = zstandard.ZstdCompressor(level=3)
+    x = np.log2([len(r) for r in raws])
+    y = np.array([len(pack.compress(r)) / len(r) for r in raws])
+    steps, n = np.unique(np.floor(x * fit.steps), return_counts=True)
+    starts = quality_rules._class_starts(n, -(-len(raws) // fit.classes))
+    part = np.searchsorted(steps[starts[1:]], np.floor(x * fit.steps), side="right")
+    classes = [part == i for i in range(len(starts))]
+    at = [(np.median(np.floor(x[c] * fit.steps)) + 0.5) / fit.steps for c in classes]
+    rest = y - np.interp(x, at, [np.median(y[c]) for c in classes])
+    knots = slice(len(bands.sizes) - 2 - len(classes), -2)
+    assert 40 < len(classes) <= fit.classes and bands.sizes[knots] == tuple(round(2**a) for a in at)
+    for limits, tail, sign in ((bands.low, fit.tail, -1), (bands.high, 1 - fit.tail, 1)):
+        want = [np.median(y[c]) + np.quantile(rest[c], tail) + sign * fit.margin for c in classes]
+        assert limits[knots] == pytest.approx(want, abs=2e-4)
+
+
+def test_quantiles_and_classes_of_counts():
+    rnd = np.random.default_rng(3)
+    for _ in range(50):
+        values, n = np.unique(rnd.integers(0, 40, rnd.integers(1, 200)), return_counts=True)
+        for q in (0, 0.002, 0.3, 0.5, 0.998, 1):
+            assert quality_rules._quantile(values, n, q) == pytest.approx(np.quantile(np.repeat(values, n), q))
+        least = int(rnd.integers(1, 60))
+        starts = quality_rules._class_starts(n, least)
+        sums = [n[i:j].sum() for i, j in zip(starts, [*starts[1:], len(n)], strict=True)]
+        assert sum(sums) == n.sum() and (min(sums) >= least or len(sums) == 1)
+
+
+def test_query_judges_by_the_fitted_bands(fitted_bands):
+    """The query compresses once; fitting and scoring apart give the same rows."""
+    docs, labels, bands = fitted_bands
+    key = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    found = quality_rules.score_fitted(docs, labels)
+    assert found.schema == quality_rules.score_documents(docs, bands).schema
+    assert key(found) == key(quality_rules.score_documents(docs, bands))
+
+
 def test_kept_rows_have_their_columns(spark):
     docs = docs_of(spark, REPEATS).withColumn("n_words", F.lit("mine")).withColumn("extra", F.array(F.lit(1)))
     docs = docs.withColumn("__text", F.lit(5)).withColumn("c0", F.lit(6)).withColumn("__kept", F.lit(False))
